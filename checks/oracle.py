@@ -199,15 +199,15 @@ def unpivoted(source: str, keep: str, columns) -> str:
     return " UNION ALL ".join(f"SELECT {keep}, '{c}' AS metric, {c} AS value FROM {source}" for c in columns)
 
 
-def grams(low: int, high: int, k: int) -> str:
-    """n-gram occurrences, vocabulary, and normalised weights of the documents."""
+def grams(high: int, k: int, source: str = DPREP) -> str:
+    """n-gram occurrences, vocabulary, and normalised weights of the prepared letters."""
     levels = ["SELECT letter_id, class, w1 AS term FROM placed"]
     if high > 1:
         levels += [
             "SELECT letter_id, class, w1 || ' ' || w2 FROM placed WHERE w2 IS NOT NULL",
             "SELECT letter_id, class, w1 || ' ' || w2 || ' ' || w3 FROM placed WHERE w3 IS NOT NULL",
         ]
-    return f"""{DPREP},
+    return f"""{source},
 tokens AS (SELECT letter_id, class, regexp_extract_all(lower(text_cleaned), '{WORD}') AS words FROM prep),
 words AS (SELECT letter_id, class, unnest(words) AS w1, unnest(range(1, len(words) + 1)) AS i FROM tokens),
 placed AS (
@@ -237,6 +237,25 @@ hits AS (
   FROM prep, phrases WHERE regexp_matches(text_cleaned, '(?i)' || regexp_escape(keyword)) GROUP BY ALL)"""
 
 
+def long_rows(section: str, sql: str, labels, values) -> str:
+    """A section's result as (section, item, measure, value) rows."""
+    item = "concat_ws('|', " + ", ".join(f"coalesce({c}::VARCHAR, '-')" for c in labels) + ")" if labels else "''"
+    parts = [f"SELECT '{section}' AS section, {item} AS item, '{v}' AS measure, round({v}::DOUBLE, 6) AS value FROM s" for v in values]
+    return f"SELECT * FROM (WITH s AS ({sql}) " + " UNION ALL ".join(parts) + ")"
+
+
+def top_terms_sql(source: str) -> str:
+    return f"""WITH {source}, m AS (SELECT term, sum(weight) / any_value(n) AS mean FROM weights, totals GROUP BY 1)
+      SELECT term, {r6('mean', 'mean_weight')} FROM m ORDER BY round(mean, 12) DESC, term LIMIT 20"""
+
+
+def top_terms_by_class_sql(source: str) -> str:
+    return f"""WITH {source}, sizes AS (SELECT class, count(*) AS k FROM prep GROUP BY 1),
+      m AS (SELECT class, term, sum(weight) / any_value(k) AS mean FROM weights JOIN sizes USING (class) GROUP BY ALL)
+      SELECT class, term, {r6('mean', 'mean_weight')}, position FROM (SELECT *, row_number() OVER (
+        PARTITION BY class ORDER BY round(mean, 12) DESC, term)::INTEGER AS position FROM m) WHERE position <= 10"""
+
+
 DOC_LISTS = ((0, inp.DOCUMENTS.class_0_phrases), (1, inp.DOCUMENTS.class_1_phrases))
 LET_LISTS = ((0, dm.CLASS_0_PHRASES), (1, dm.CLASS_1_PHRASES))
 FREQUENCY = " SELECT list_class::INTEGER AS list_class, keyword, count FROM hits"
@@ -416,7 +435,7 @@ def oracle_queries() -> dict[str, str]:
       count(*) FILTER ((class = 1) <> has_service_codes) AS potential_labeling_errors FROM prep"""
     out["data_quality"] = f"WITH {PREP} {quality}"
     out["data_quality_documents"] = f"WITH {DPREP} {quality}"
-    out["general_statistics"] = f"""WITH {DPREP} SELECT class, grouping(class)::INTEGER AS is_overall, count(*) AS sample_count,
+    out["general_statistics"] = f"""WITH {DPREP} SELECT CASE grouping(class) WHEN 1 THEN 'overall' ELSE class::VARCHAR END AS scope, count(*) AS sample_count,
       {r6('avg(text_length)', 'avg_text_length')}, {r6('avg(num_words)', 'avg_words')} FROM prep GROUP BY ROLLUP (class)"""
     profile = f"""SELECT class, count(*) AS sample_count, {r6('avg(has_service_codes::INTEGER)', 'has_service_codes_ratio')},
       {r6('avg(num_service_codes)', 'avg_service_codes')}, {r6('avg(text_length)', 'length_mean')},
@@ -462,16 +481,12 @@ def oracle_queries() -> dict[str, str]:
       SELECT class, measure, {quantiles} FROM s GROUP BY ALL"""
 
     # text vectors
-    analysis = grams(1, 3, 100)
+    analysis = grams(3, 100)
     out["tfidf_vocabulary"] = f"WITH {analysis} SELECT term, term_count, document_count, {r6('idf', 'idf')} FROM idfs"
     out["tfidf_weights"] = f"WITH {analysis} SELECT letter_id, term, {r6('weight', 'weight')} FROM weights"
-    out["tfidf_top_terms"] = f"""WITH {analysis}, m AS (SELECT term, sum(weight) / any_value(n) AS mean FROM weights, totals GROUP BY 1)
-      SELECT term, {r6('mean', 'mean_weight')} FROM m ORDER BY round(mean, 12) DESC, term LIMIT 20"""
-    out["tfidf_top_terms_by_class"] = f"""WITH {analysis}, sizes AS (SELECT class, count(*) AS k FROM prep GROUP BY 1),
-      m AS (SELECT class, term, sum(weight) / any_value(k) AS mean FROM weights JOIN sizes USING (class) GROUP BY ALL)
-      SELECT class, term, {r6('mean', 'mean_weight')}, position FROM (SELECT *, row_number() OVER (
-        PARTITION BY class ORDER BY round(mean, 12) DESC, term)::INTEGER AS position FROM m) WHERE position <= 10"""
-    single = grams(1, 1, 200)
+    out["tfidf_top_terms"] = top_terms_sql(analysis)
+    out["tfidf_top_terms_by_class"] = top_terms_by_class_sql(analysis)
+    single = grams(1, 200)
     out["similar_letters"] = f"""WITH {single}, target AS (SELECT term, weight FROM weights
         WHERE letter_id = (SELECT min(letter_id) FROM prep)),
       s AS (SELECT w.letter_id, sum(w.weight * t.weight) AS s FROM weights w JOIN target t USING (term) GROUP BY 1)
@@ -545,6 +560,8 @@ def oracle_queries() -> dict[str, str]:
       {r6(f'1 - avg({coded}) FILTER (class = 0)', 'class_0_no_codes')} FROM made"""
 
     # features and models
+    out["document_vectors"] = f"""WITH {DOC} SELECT letter_id, 128 AS size,
+      regexp_matches(lower(guarantee_letter_text), '{WORD}')::INTEGER::DOUBLE AS norm FROM doc"""
     out["scaled_features"] = f"WITH {LET}, {LET_FEATURES} SELECT letter_id, " + ", ".join(
         r6(scaled_sql(f), f"{f}_scaled") for f in FEATURES
     ) + " FROM features"
@@ -622,6 +639,42 @@ def oracle_queries() -> dict[str, str]:
         WHEN g > 0 THEN 'slight' ELSE 'none_or_negative' END AS improvement_level FROM g"""
 
     # experiments and presentation
+    letter_terms = grams(3, 100, PREP)
+    sections = [
+        ("general_stats", f"""WITH {PREP} SELECT CASE grouping(class) WHEN 1 THEN 'overall' ELSE class::VARCHAR END AS scope,
+          count(*) AS sample_count, avg(text_length) AS avg_text_length, avg(num_words) AS avg_words FROM prep GROUP BY ROLLUP (class)""",
+         ["scope"], ["sample_count", "avg_text_length", "avg_words"]),
+        ("class_patterns", out["class_profile_letters"], ["class"], ["sample_count", "has_service_codes_ratio",
+         "avg_service_codes", "length_mean", "length_std", "length_min", "length_max"]),
+        ("class_companies", out["class_company_counts"], ["class", "insurance_company"], ["count"]),
+        ("class_differences", out["class_differences"], [], ["class_0_with_codes", "class_1_with_codes", "text_length_difference"]),
+        ("company_patterns", out["company_profile"], ["insurance_company"], ["sample_count", "class_0", "class_1",
+         "avg_text_length", "has_service_codes_ratio"]),
+        ("code_statistics", out["code_statistics"], [], ["total_unique_codes", "total_code_occurrences"]),
+        ("code_top", out["top_codes"], ["code"], ["count"]),
+        ("code_prefixes", out["top_prefixes"], ["prefix"], ["count"]),
+        ("codes_per_letter", out["codes_per_letter"], [], ["letters_with_codes", "mean_codes", "max_codes"]),
+        ("codes_distribution", out["code_counts_by_value"], ["num_service_codes"], ["count"]),
+        ("codes_by_class", out["codes_by_class"], ["class"], ["unique_codes", "total_occurrences"]),
+        ("codes_top_by_class", out["top_codes_by_class"], ["class", "code"], ["count", "position"]),
+        ("keyword_frequency", out["keyword_frequency_letters"], ["list_class", "keyword"], ["count"]),
+        ("keyword_effectiveness", out["keyword_purity_letters"], ["list_class", "keyword"],
+         ["total_occurrences", "class_0_ratio", "class_1_ratio", "preferred_class"]),
+        ("tfidf_vocabulary", f"WITH {letter_terms} SELECT term, term_count, document_count, idf FROM idfs", ["term"],
+         ["term_count", "document_count", "idf"]),
+        ("tfidf_top", top_terms_sql(letter_terms), ["term"], ["mean_weight"]),
+        ("tfidf_top_by_class", top_terms_by_class_sql(letter_terms), ["class", "term"], ["mean_weight", "position"]),
+    ]
+    out["letter_patterns"] = " UNION ALL ".join(long_rows(*s) for s in sections)
+    train_prep = DOC.replace("doc AS (", "every_doc AS (", 1) + f""",
+      doc AS (SELECT * FROM every_doc WHERE {SPLIT} < 7), {prep('doc', EMAIL)}"""
+    measured = ["total_samples", "missing_texts", "empty_texts", "avg_text_length", "avg_words",
+                "class_1_without_codes", "class_0_with_codes", "potential_labeling_errors"]
+    out["load_and_analyze"] = " UNION ALL ".join([
+        long_rows("quality_metrics", f"WITH {train_prep} {quality}", [], measured),
+        long_rows("class_distribution", f"WITH {train_prep} SELECT class, count(*) AS count FROM prep GROUP BY 1", ["class"], ["count"]),
+        long_rows("test_stats", f"WITH {DOC} SELECT count(*) AS total_samples FROM doc WHERE {SPLIT} >= 7", [], ["total_samples"]),
+    ])
     gain = "(f1_weighted - b_f1_weighted) / b_f1_weighted * 100"
     out["run_summary"] = f"""WITH {RUN} SELECT family, run_id, size, {r6('f1_weighted', 'f1_weighted')}, {r6('accuracy', 'accuracy')},
       {r6(gain, 'improvement_percent')}, {r6('mean_quality', 'mean_quality')} FROM best, base"""

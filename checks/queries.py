@@ -701,7 +701,7 @@ def forest_training(spark, sf):
 def train_with_folds(spark, sf):
     train, _ = _splits(spark, sf)
     model = clf.train(train, "logistic", "vector")
-    return clf.training_record(model, train, clf.cross_validate(train))
+    return clf.training_record(model, train, clf.cross_validate(train, parallelism=4))
 
 
 @query
@@ -832,7 +832,7 @@ def _experiment(spark, sf, vectors="hashing"):
     else:
         rows = inp.embeddings(spark, sf)
         train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
-    return experiments.Prepared(train, test, vectors, DEFAULT)
+    return experiments.Prepared(train, test, vectors, DEFAULT, parallelism=4)
 
 
 @query
@@ -870,6 +870,7 @@ def full_suite(spark, sf):
         folds=False,
         path=sink.work_folder(spark),
         run_label="20240101_000000",
+        parallelism=4,
     )
 
 
@@ -877,7 +878,8 @@ def full_suite(spark, sf):
 def synthetic_mode(spark, sf):
     rows = letters(spark, sf)
     split = inp.split_of(F.col("letter_id"))
-    return experiments.run_synthetic(rows.where(split == "train"), rows.where(split == "test"), sizes=(50,))
+    train, test = rows.where(split == "train"), rows.where(split == "test")
+    return experiments.run_synthetic(train, test, sizes=(50,), parallelism=4)
 
 
 @query

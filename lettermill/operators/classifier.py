@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -29,6 +32,8 @@ DEPTH = 10
 SEED = 42
 FOLDS = 5
 
+T = TypeVar("T")
+
 SAVED = "classifier_type string, vector_source string, means array<double>, deviations array<double>"
 
 
@@ -45,6 +50,18 @@ def check_kind(kind: str) -> None:
         raise ValueError(f"unsupported classifier type: {kind}")
 
 
+def side_by_side(tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
+    """Run independent fits from that many driver threads.
+
+    A fit is a chain of short jobs, so several of them share the cluster well
+    as long as their cached rows fit together.
+    """
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [task() for task in tasks]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
+
+
 def _label_counts(df: DataFrame, *by: str) -> list:
     """Rows per class (and fold): a handful of numbers."""
     return df.groupBy(*by, "class").agg(F.count("*").alias("n")).collect()
@@ -123,6 +140,7 @@ def cross_validate(
     folds: int = FOLDS,
     leak_free: bool = False,
     key: str = "letter_id",
+    parallelism: int = 1,
 ) -> DataFrame:
     """Weighted F1 per stratified fold: (fold, f1_weighted).
 
@@ -135,19 +153,21 @@ def cross_validate(
     dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     counted = _label_counts(dealt, "fold")
     overall = None if leak_free else fit_scaler(dealt)
-    parts = []
-    for fold in sorted({r["fold"] for r in counted}):
+
+    def held_out(fold: int) -> DataFrame:
         inside, outside = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
         counts: dict[int, int] = {}
         for r in counted:
             if r["fold"] != fold:
                 counts[r["class"]] = counts.get(r["class"], 0) + r["n"]
-        if not counts:
-            continue
         scaler = fit_scaler(inside) if leak_free else overall
         model = _fit(feature_matrix(inside, scaler), kind, counts)
-        held_out = predict(TrainedClassifier(kind, model, scaler), outside)
-        parts.append(held_out.select("fold", "class", "prediction"))
+        return predict(TrainedClassifier(kind, model, scaler), outside).select("fold", "class", "prediction")
+
+    dealt_folds = sorted({r["fold"] for r in counted})
+    if len(dealt_folds) < 2:
+        raise ValueError("too few labelled rows to cross-validate")
+    parts = side_by_side([lambda f=f: held_out(f) for f in dealt_folds], parallelism)
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

@@ -119,17 +119,16 @@ def data_quality(letters: DataFrame) -> DataFrame:
 
 
 def general_statistics(letters: DataFrame) -> DataFrame:
-    """Sample count and mean sizes, overall (null class) and by class."""
-    return (
-        letters.rollup("class")
-        .agg(
-            F.grouping("class").alias("is_overall"),
-            F.count("*").alias("sample_count"),
-            F.avg("text_length").alias("avg_text_length"),
-            F.avg("num_words").alias("avg_words"),
-        )
-        .where((F.col("is_overall") == 1) | F.col("class").isNotNull())
-        .select("class", F.col("is_overall").cast("int"), "sample_count", "avg_text_length", "avg_words")
+    """Sample count and mean sizes; `scope` is "overall" or a class."""
+    totals = letters.rollup("class").agg(
+        F.grouping("class").alias("is_overall"),
+        F.count("*").alias("sample_count"),
+        F.avg("text_length").alias("avg_text_length"),
+        F.avg("num_words").alias("avg_words"),
+    )
+    scope = F.when(F.col("is_overall") == 1, "overall").otherwise(F.col("class").cast("string"))
+    return totals.select(scope.alias("scope"), "sample_count", "avg_text_length", "avg_words").where(
+        F.col("scope").isNotNull()
     )
 
 

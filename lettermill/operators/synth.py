@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lettermill.domain import DEFAULT, Domain
 from lettermill.functions.picks import choose, hex_modulo, pick, row_hash, shuffle_key
 
+ROWS_PER_TASK = 50_000
 SCHEMA = "letter_id string, guarantee_letter_text string, class int"
 
 
@@ -85,10 +86,15 @@ def class_1_letter(index: Column, seed: int = 42, domain: Domain = DEFAULT) -> C
     )
 
 
+def numbered(spark: SparkSession, count: int) -> DataFrame:
+    """Rows 0 to count-1, with as many tasks as the count needs."""
+    return spark.range(0, count, 1, max(1, -(-count // ROWS_PER_TASK)))
+
+
 def _letters(spark: SparkSession, label: int, count: int, prefix: str, seed: int, domain: Domain) -> DataFrame:
     make = class_0_letter if label == 0 else class_1_letter
     index = F.concat(F.lit(f"{label}:"), F.col("id").cast("string"))
-    return spark.range(count).select(
+    return numbered(spark, count).select(
         F.concat(F.lit(f"{prefix}_{label}_"), F.col("id").cast("string")).alias("letter_id"),
         make(index, seed, domain).alias("guarantee_letter_text"),
         F.lit(label).alias("class"),

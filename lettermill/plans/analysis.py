@@ -49,7 +49,7 @@ def as_long(sections: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in sections.items():
         numeric = {"bigint", "int", "double"}
-        labels = [c for c, t in df.dtypes if t == "string" or c in ("class", "is_overall", "list_class", "num_service_codes")]
+        labels = [c for c, t in df.dtypes if t == "string" or c in ("class", "list_class", "num_service_codes")]
         values = [c for c, t in df.dtypes if t in numeric and c not in labels]
         item = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in labels])
         flat = df.select(item.alias("item"), *[F.col(c).cast("double").alias(c) for c in values])

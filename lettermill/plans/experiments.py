@@ -20,6 +20,7 @@ from lettermill.operators.classifier import (
     cross_validate,
     evaluate,
     save_classifier,
+    side_by_side,
     train,
     training_record,
 )
@@ -45,11 +46,20 @@ RUN_SCHEMA = (
 
 
 class Prepared:
-    """Persisted features of the training and the test letters."""
-
-    def __init__(self, train_letters: DataFrame, test_letters: DataFrame, vectors: str, domain: Domain):
-        self.vectors, self.domain = vectors, domain
-        self.letters = train_letters
+    """Persisted features of the training and the test letters.
+
+    `parallelism` is the number of fits that may run at the same time.
+    """
+
+    def __init__(
+        self,
+        train_letters: DataFrame,
+        test_letters: DataFrame,
+        vectors: str = "hashing",
+        domain: Domain = DEFAULT,
+        parallelism: int = 1,
+    ):
+        self.vectors, self.domain, self.parallelism = vectors, domain, parallelism
         self.train = self.features(train_letters).persist(StorageLevel.MEMORY_AND_DISK)
         self.test = self.features(test_letters).persist(StorageLevel.MEMORY_AND_DISK)
         self.test_size = self.test.count()
@@ -76,7 +86,7 @@ def _run(
     """Train, cross-validate and test once; the result is one row of metrics."""
     spark = features.sparkSession
     model = train(features, kind, data.vectors)
-    scores = cross_validate(features, kind) if folds else None
+    scores = cross_validate(features, kind, parallelism=data.parallelism) if folds else None
     fitted = training_record(model, features, scores).first().asDict()
     tested = evaluate(model, data.test).first().asDict()
     if model_path is not None:
@@ -112,14 +122,17 @@ def synthetic_augmentation(
     path: str | None = None,
 ) -> DataFrame:
     """Real letters plus `size` template letters, for each size."""
-    counts = class_counts(data.train)
-    rows = []
-    for size in sizes:
-        extra = ratio_preserving_set(data.letters, counts[0] + size, domain=data.domain)
+    total = class_counts(data.train)[0]
+
+    def one(size: int) -> DataFrame:
+        extra = ratio_preserving_set(data.train, total + size, domain=data.domain)
         features = data.train.unionByName(data.features(extra), allowMissingColumns=True)
         features = features.persist(StorageLevel.MEMORY_AND_DISK)
-        rows.append(_run(data, features, f"synthetic_{size}", "synthetic", size, kind, folds=folds, model_path=path))
+        row = _run(data, features, f"synthetic_{size}", "synthetic", size, kind, folds=folds, model_path=path)
         features.unpersist()
+        return row
+
+    rows = side_by_side([lambda s=s: one(s) for s in sizes], data.parallelism)
     return _together(rows, data.train.sparkSession)
 
 
@@ -136,28 +149,32 @@ def generated_augmentation(
     if responses is None:
         return _together([], spark)
     counts = class_counts(data.train)
-    rows = []
-    for size in sizes:
+
+    def one(size: int) -> DataFrame:
         requests = generation_requests(spark, split_size(size, counts, "truncate"), domain=data.domain)
         extra = generated_set(requests, responses, domain=data.domain).persist(StorageLevel.MEMORY_AND_DISK)
         quality = extra.agg(F.avg("quality_score")).first()[0]
         features = data.train.unionByName(data.features(extra), allowMissingColumns=True)
         features = features.persist(StorageLevel.MEMORY_AND_DISK)
-        rows.append(
-            _run(data, features, f"generated_{size}", "generated", size, kind, quality, folds=folds, model_path=path)
-        )
+        row = _run(data, features, f"generated_{size}", "generated", size, kind, quality, folds=folds, model_path=path)
         if path is not None:
             write_letters_csv(extra, f"{path}/generated_{size}_letters")
         features.unpersist()
         extra.unpersist()
-    return _together(rows, spark)
+        return row
+
+    return _together(side_by_side([lambda s=s: one(s) for s in sizes], data.parallelism), spark)
 
 
 def classifier_comparison(
     data: Prepared, kinds: Sequence[str] = KINDS, folds: bool = True, path: str | None = None
 ) -> DataFrame:
     """Each kind of classifier on the same letters."""
-    rows = [_run(data, data.train, kind, "classifier", 0, kind, folds=folds, model_path=path) for kind in kinds]
+
+    def one(kind: str) -> DataFrame:
+        return _run(data, data.train, kind, "classifier", 0, kind, folds=folds, model_path=path)
+
+    rows = side_by_side([lambda k=k: one(k) for k in kinds], data.parallelism)
     return _together(rows, data.train.sparkSession)
 
 
@@ -170,9 +187,10 @@ def full_suite(
     folds: bool = True,
     path: str | None = None,
     run_label: str = "unlabelled",
+    parallelism: int = 1,
 ) -> DataFrame:
     """All four experiments; saved with table and report when `path` is given."""
-    data = Prepared(train_letters, test_letters, vectors, domain)
+    data = Prepared(train_letters, test_letters, vectors, domain, parallelism)
     out = None if path is None else f"{path}/models_{run_label}"
     runs = _together(
         [
@@ -215,9 +233,10 @@ def run_synthetic(
     sizes: Sequence[int] = SYNTHETIC_SIZES,
     vectors: str = "hashing",
     domain: Domain = DEFAULT,
+    parallelism: int = 1,
 ) -> DataFrame:
     """Baseline and template augmentation, summarised."""
-    data = Prepared(train_letters, test_letters, vectors, domain)
+    data = Prepared(train_letters, test_letters, vectors, domain, parallelism)
     runs = baseline(data).unionByName(synthetic_augmentation(data, sizes))
     data.release()
     return run_summary(runs)
@@ -231,5 +250,7 @@ def run_full(
     domain: Domain = DEFAULT,
     path: str | None = None,
     run_label: str = "unlabelled",
+    parallelism: int = 1,
 ) -> DataFrame:
-    return run_summary(full_suite(train_letters, test_letters, responses, vectors, domain, True, path, run_label))
+    runs = full_suite(train_letters, test_letters, responses, vectors, domain, True, path, run_label, parallelism)
+    return run_summary(runs)
