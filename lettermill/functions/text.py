@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.domain import DEFAULT, Domain
@@ -119,6 +119,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def exploded(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """One row per item of an array.
+
+    A plain explode makes the planner add a filter on the array's size, which
+    evaluates the regular expressions behind the array a second time.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def fixed_3(value: Column) -> Column:
     """A metric printed with three decimals."""
     return F.format_string("%.3f", value)

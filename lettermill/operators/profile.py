@@ -222,7 +222,7 @@ def size_quantiles(letters: DataFrame) -> DataFrame:
 def exploded_codes(letters: DataFrame) -> DataFrame:
     """One row per code occurrence."""
     keep = [c for c in ("class",) if c in letters.columns]
-    return letters.select(*keep, F.explode("service_codes_list").alias("code"))
+    return text.exploded(letters, keep, F.col("service_codes_list"), "code")
 
 
 def code_statistics(letters: DataFrame) -> DataFrame:

@@ -62,13 +62,26 @@ def _only(words: Column, kept: list[str]) -> Column:
     return F.transform(words, lambda w: F.when(w.isin(kept), w))
 
 
-def _most_frequent(grams: DataFrame, k: int) -> list[tuple[str, int]]:
-    counts = grams.groupBy("term").agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.desc("n"), F.asc("term")).limit(k).collect()
-    return [(r["term"], r["n"]) for r in rows]
+def _most_frequent(words: DataFrame, grams: Column, k: int) -> list[tuple[str, int, int]]:
+    """The k commonest terms with their occurrences and their letters.
+
+    A letter's different terms are emitted once more beside all of its terms,
+    so one aggregation by term yields both numbers without grouping by letter.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    terms = words.select(grams.alias("grams")).select(
+        F.concat(
+            F.transform("grams", lambda g: F.struct(g.alias("term"), one.alias("n"), none.alias("df"))),
+            F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), none.alias("n"), one.alias("df"))),
+        ).alias("terms")
+    )
+    rows = text.exploded(terms, [], F.col("terms"), "t")
+    counts = rows.groupBy("t.term").agg(F.sum("t.n").alias("n"), F.sum("t.df").alias("df"))
+    best = counts.orderBy(F.desc("n"), F.asc("term")).limit(k).collect()
+    return [(r["term"], r["n"], r["df"]) for r in best]
 
 
-def _vocabulary(words: DataFrame, k: int, low: int, high: int) -> list[tuple[str, int]]:
+def _vocabulary(words: DataFrame, k: int, low: int, high: int) -> list[tuple[str, int, int]]:
     """The k n-grams with the highest counts; ties go by the term.
 
     An n-gram is never more frequent than its rarest word. Once the k most
@@ -79,18 +92,18 @@ def _vocabulary(words: DataFrame, k: int, low: int, high: int) -> list[tuple[str
     """
     column = F.col("words")
     if low > 1:
-        return _most_frequent(words.select(F.explode(_ngrams(column, low, high)).alias("term")), k)
+        return _most_frequent(words, _ngrams(column, low, high), k)
 
     room = max(10 * k, 1000)
-    single = _most_frequent(words.select(F.explode(column).alias("term")), room + 1)
+    single = _most_frequent(words, column, room + 1)
     if high == 1:
         return single[:k]
     floor = single[k - 1][1] if len(single) >= k else 0
-    frequent = [t for t, n in single if n >= floor]
+    frequent = [t for t, n, _ in single if n >= floor]
     # More words tie with the last one than fit a literal set: count them all.
     pruned = column if len(frequent) > room else _only(column, frequent)
-    longer = _most_frequent(words.select(F.explode(_ngrams(pruned, 2, high)).alias("term")), k)
-    return sorted(single[:k] + longer, key=lambda tn: (-tn[1], tn[0]))[:k]
+    longer = _most_frequent(words, _ngrams(pruned, 2, high), k)
+    return sorted(single[:k] + longer, key=lambda t: (-t[1], t[0]))[:k]
 
 
 def _counted(letters: DataFrame, terms: list[str], low: int, high: int, text_col: str) -> DataFrame:
@@ -112,17 +125,11 @@ def fit_tfidf(
     low, high = ngram_range
     words = letters.select(text.tokens(F.col(text_col)).alias("words"))
     ranked = _vocabulary(words, max_features, low, high)
-    terms = [t for t, _ in ranked]
-    if not terms:
-        return TfidfModel((), (), (), letters.count(), ngram_range)
-    counted = _counted(letters.select(text_col), terms, low, high, text_col)
-    seen = counted.select(Summarizer.metrics("numNonZeros", "count").summary(F.col("_counts")).alias("s"))
-    row = seen.select("s.numNonZeros", "s.count").first()
     return TfidfModel(
-        tuple(terms),
-        tuple(n for _, n in ranked),
-        tuple(int(x) for x in row["numNonZeros"]),
-        int(row["count"]),
+        tuple(t for t, _, _ in ranked),
+        tuple(n for _, n, _ in ranked),
+        tuple(df for _, _, df in ranked),
+        letters.count(),
         ngram_range,
     )
 
