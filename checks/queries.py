@@ -575,7 +575,8 @@ def distinct_companies(spark, sf):
 
 
 def _orders(spark, sf):
-    return inp.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("i"))
+    orders = spread(inp.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.select(F.col("o_orderkey").cast("string").alias("i"))
 
 
 @query

@@ -13,8 +13,10 @@ _ANY = rf"(?:{_ITEM}|None)"
 _ITEMS = rf"(?:{_ITEM}(?:\s*,\s*{_ITEM})*\s*,?)?"
 
 _LIST = rf"^\[\s*{_ITEMS}\s*\]$"
-# A list holding something no integer can be made of.
-_ODD_LIST = r"^\[(?=.*(?:None|\[|\(|\{))[\s\w.,'\"+\-\[\](){}:]*\]$"
+# A list with an item no integer can be made of: None or another collection.
+_INNER = rf"(?:{_ANY}(?:\s*[,:]\s*{_ANY})*\s*,?)?"
+_ODD = rf"(?:{_ANY}|\[\s*{_INNER}\s*\]|\(\s*{_INNER}\s*\)|\{{\s*{_INNER}\s*\}})"
+_ODD_LIST = rf"^\[\s*{_ODD}(?:\s*,\s*{_ODD})*\s*,?\s*\]$"
 _SINGLE = rf"^(?:\(\s*)?({_NUMBER}|True|False)(?:\s*\))?$"
 _TUPLE = rf"^(?:\(\s*\)|\(\s*{_ANY}\s*,\s*(?:{_ANY}(?:\s*,\s*{_ANY})*\s*,?)?\s*\)|{_ANY}\s*,\s*(?:{_ANY}(?:\s*,\s*{_ANY})*\s*,?)?)$"
 _DICT = rf"^\{{\s*(?:{_ANY}\s*:\s*{_ANY}(?:\s*,\s*{_ANY}\s*:\s*{_ANY})*\s*,?)?\s*\}}$"

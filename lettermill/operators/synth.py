@@ -39,14 +39,13 @@ def service_codes(
             head = F.concat(F.lit("F"), (hex_modulo(h, 1, 6, 90) + 10).cast("string"))
         else:
             head = F.get(F.array(*[F.lit(p) for p in prefixes]), hex_modulo(h, 1, 6, len(prefixes)).cast("int"))
-        return F.format_string(
-            "%s.%d.%d.%d.%d",
-            head,
+        numbers = (
             hex_modulo(h, 7, 6, 90) + 10,
             hex_modulo(h, 13, 6, 90) + 10,
             hex_modulo(h, 19, 6, 10),
             hex_modulo(h, 25, 6, 900) + 100,
         )
+        return F.concat_ws(".", head, *[n.cast("string") for n in numbers])
 
     if count == 0:
         return F.array().cast("array<string>")

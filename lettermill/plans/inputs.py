@@ -68,10 +68,9 @@ def order_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     therefore never collected.
     """
     part, supp, order, line = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"))
-    code = F.format_string(
-        "F%d.%d.%d.%d.%d", 10 + part % 90, 10 + supp % 90, 10 + order % 90, line % 10, 100 + (part * 7) % 900
-    )
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", code.alias("code"))
+    numbers = (10 + part % 90, 10 + supp % 90, 10 + order % 90, line % 10, 100 + (part * 7) % 900)
+    code = F.concat(F.lit("F"), F.concat_ws(".", *[n.cast("string") for n in numbers]))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_partkey", code.alias("code"))
     distinct = lines.groupBy("l_orderkey", "code").agg(
         F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high")
     )
@@ -85,7 +84,7 @@ def order_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One letter per order: company, body with or without codes, id list."""
     key = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     joined = orders.join(order_codes(spark, sf_dir), orders.o_orderkey == F.col("l_orderkey"), "left")
     picked = joined.select(
         key.cast("string").alias("letter_id"),
@@ -152,7 +151,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with a binary class and the text of the document of the same id."""
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return vectors.join(docs, "vec_id", "left").select(
         F.col("vec_id").cast("string").alias("letter_id"),
@@ -196,7 +195,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generation requests and responses per order: good, broken, partial or absent."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     key = F.col("o_orderkey")
     good = F.to_json(
         F.struct(
