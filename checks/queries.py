@@ -497,8 +497,12 @@ def similar_letters(spark, sf):
 
 @query
 def similar_letters_batch(spark, sf):
+    # Every benchmark passage is a target.
     rows = prepared_documents(spark, sf)
-    return rounded(ti.similar_letters_batch(rows, rows, _similarity_model(rows)))
+    passages = inp.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("letter_id"), tx.clean_text(F.col("text")).alias("text_cleaned")
+    )
+    return rounded(ti.similar_letters_batch(rows, passages, _similarity_model(rows)))
 
 
 @query
@@ -880,7 +884,7 @@ def synthetic_mode(spark, sf):
     rows = letters(spark, sf)
     split = inp.split_of(F.col("letter_id"))
     train, test = rows.where(split == "train"), rows.where(split == "test")
-    return experiments.run_synthetic(train, test, sizes=(50,), parallelism=4)
+    return experiments.run_synthetic(train, test, sizes=(50, 100), folds=False, parallelism=4)
 
 
 @query

@@ -58,8 +58,9 @@ def side_by_side(tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
     """
     if parallelism <= 1 or len(tasks) <= 1:
         return [task() for task in tasks]
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
+        return pool.map(lambda task: task(), [inherit(task) for task in tasks])
 
 
 def _label_counts(df: DataFrame, *by: str) -> list:

@@ -8,11 +8,13 @@ row-local from there on (MLlib's vectors, on the JVM), so no text and no
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import text, vectors
 
+# The functions run in tasks travel with the query: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Similarities are compared at this many decimals: copies of a letter then tie
 # and are ordered by their id, whatever the order of the additions was.
 SCORE_DECIMALS = 9
@@ -206,45 +211,58 @@ def similar_letters_batch(
     model: TfidfModel,
     n: int = 5,
     key: str = "letter_id",
-    block_size: int = 4096,
+    block_size: int = 1024,
+    chunk_size: int = 4096,
 ) -> DataFrame:
     """The n letters most like each target: (target_id, key, similarity, position).
 
-    Targets are cut into blocks of about `block_size`, and a block's vectors
-    (block_size x terms doubles) are broadcast. Tasks multiply their letters by
-    the block and keep the n best per target, so what is shuffled is n rows per
-    target and task and never a pair table. More targets mean more blocks, not
-    larger ones.
+    A letter with the target's own key is left out. Up to `block_size` targets
+    are broadcast as one matrix, and tasks multiply their letters by it. More
+    targets are cut into blocks and the letters into chunks by a hash of the
+    key, and every (chunk, block) cell is one bounded group. Either way a task
+    keeps the n best letters per target, so no table of pairs is shuffled.
     """
-    spark = letters.sparkSession
-    corpus = add_weights(letters.select(key, "text_cleaned"), model).select(
-        key, vector_to_array("tfidf").alias("vector")
-    )
-    wanted = add_weights(targets.select(key, "text_cleaned"), model).select(
-        key, vector_to_array("tfidf").alias("vector")
-    )
-    blocks = max(1, math.ceil(targets.count() / block_size))
-    block_of = F.pmod(F.xxhash64(key), F.lit(blocks))
-    parts = []
-    for block in range(blocks):
-        rows = wanted.where(block_of == block).toPandas()
-        if len(rows):
-            shared = spark.sparkContext.broadcast((rows[key].to_numpy(), np.vstack(rows["vector"].to_numpy())))
-            parts.append(corpus.mapInPandas(_best_of_task(shared, n, key), _match_schema(corpus, key)))
-    if not parts:
-        return spark.createDataFrame([], _match_schema(corpus, key)).withColumn("position", F.lit(0))
-    matches = parts[0]
-    for part in parts[1:]:
-        matches = matches.unionByName(part)
+    corpus = _vectors(letters, model, key)
+    wanted = _vectors(targets, model, key)
+    schema = _match_schema(corpus, key)
+    found = wanted.limit(block_size + 1).toPandas()
+    if len(found) == 0:
+        return letters.sparkSession.createDataFrame([], schema + ", position int")
+    if len(found) <= block_size:
+        block = (found[key].to_numpy(), np.vstack(found["vector"].to_numpy()))
+        shared = letters.sparkSession.sparkContext.broadcast(block)
+        matches = corpus.mapInPandas(_best_of_task(shared, n, key), schema)
+    else:
+        matches = _best_of_cells(corpus, wanted, n, key, block_size, chunk_size, schema)
     order = Window.partitionBy("target_id").orderBy(F.desc("similarity"), F.asc(key))
     return matches.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
 
 
+def _vectors(letters: DataFrame, model: TfidfModel, key: str) -> DataFrame:
+    weighted = add_weights(letters.select(key, "text_cleaned"), model)
+    return weighted.select(key, vector_to_array("tfidf").alias("vector"))
+
+
 def _match_schema(corpus: DataFrame, key: str) -> str:
     kind = corpus.schema[key].dataType.simpleString()
     return f"target_id {kind}, {key} {kind}, similarity double"
 
 
+def _best(ids, letter_vectors, target_ids, target_vectors, n: int, key: str) -> pd.DataFrame:
+    """The n best of some letters per target, and whatever ties with the last of them."""
+    scores = np.round(letter_vectors @ target_vectors.T, SCORE_DECIMALS)
+    scores[ids[:, None] == target_ids[None, :]] = -1.0
+    cut = min(n, len(ids))
+    floor = np.partition(scores, len(ids) - cut, axis=0)[len(ids) - cut]
+    row, column = np.nonzero((scores >= floor) & (scores >= 0))
+    return pd.DataFrame({"target_id": target_ids[column], key: ids[row], "similarity": scores[row, column] + 0.0})
+
+
+def _first_n(pool: pd.DataFrame, n: int, key: str) -> pd.DataFrame:
+    ordered = pool.sort_values(["target_id", "similarity", key], ascending=[True, False, True])
+    return ordered.groupby("target_id", sort=False).head(n)
+
+
 def _best_of_task(shared, n: int, key: str):
     """A mapInPandas function: the n best letters per target among a task's rows."""
 
@@ -252,27 +270,42 @@ def _best_of_task(shared, n: int, key: str):
         target_ids, target_vectors = shared.value
         kept: pd.DataFrame | None = None
         for frame in frames:
-            if not len(frame):
-                continue
-            ids = frame[key].to_numpy()
-            scores = np.round(np.vstack(frame["vector"].to_numpy()) @ target_vectors.T, SCORE_DECIMALS)
-            scores[ids[:, None] == target_ids[None, :]] = -1.0
-            # A row ties with or beats the n-th best of its column.
-            cut = min(n, len(ids))
-            floor = np.partition(scores, len(ids) - cut, axis=0)[len(ids) - cut]
-            row, column = np.nonzero((scores >= floor) & (scores >= 0))
-            found = pd.DataFrame(
-                {"target_id": target_ids[column], key: ids[row], "similarity": scores[row, column] + 0.0}
-            )
-            pool = found if kept is None else pd.concat([kept, found])
-            pool = pool.sort_values(["target_id", "similarity", key], ascending=[True, False, True])
-            kept = pool.groupby("target_id", sort=False).head(n)
+            if len(frame):
+                vectors_here = np.vstack(frame["vector"].to_numpy())
+                found = _best(frame[key].to_numpy(), vectors_here, target_ids, target_vectors, n, key)
+                kept = _first_n(found if kept is None else pd.concat([kept, found]), n, key)
         if kept is not None:
             yield kept
 
     return best
 
 
+def _best_of_cells(
+    corpus: DataFrame, wanted: DataFrame, n: int, key: str, block_size: int, chunk_size: int, schema: str
+) -> DataFrame:
+    """The n best letters per target within each cell of a chunk and a block."""
+    blocks = math.ceil(wanted.count() / block_size)
+    chunks = max(1, math.ceil(corpus.count() / chunk_size))
+
+    def part(count: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = corpus.select("*", part(chunks).alias("chunk"), every(blocks).alias("block"))
+    right = wanted.select("*", part(blocks).alias("block"), every(chunks).alias("chunk"))
+
+    def cell(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"target_id": [], key: [], "similarity": []})
+        mine, theirs = np.vstack(own["vector"].to_numpy()), np.vstack(asked["vector"].to_numpy())
+        return _first_n(_best(own[key].to_numpy(), mine, asked[key].to_numpy(), theirs, n, key), n, key)
+
+    grouped = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block"))
+    return grouped.applyInPandas(cell, schema)
+
+
 def embedding_similarity(embeddings: DataFrame, target_id, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Cosine of every supplied vector to that of a target."""
     found = embeddings.where(F.col(key) == target_id).select(column).first()

@@ -233,11 +233,12 @@ def run_synthetic(
     sizes: Sequence[int] = SYNTHETIC_SIZES,
     vectors: str = "hashing",
     domain: Domain = DEFAULT,
+    folds: bool = True,
     parallelism: int = 1,
 ) -> DataFrame:
     """Baseline and template augmentation, summarised."""
     data = Prepared(train_letters, test_letters, vectors, domain, parallelism)
-    runs = baseline(data).unionByName(synthetic_augmentation(data, sizes))
+    runs = baseline(data, folds=folds).unionByName(synthetic_augmentation(data, sizes, folds=folds))
     data.release()
     return run_summary(runs)
 
