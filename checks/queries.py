@@ -673,7 +673,9 @@ def document_vectors(spark, sf):
 
 @query
 def scaled_features(spark, sf):
+    # Scaling reads the eight numbers twice.
     rows = handcrafted_features(letters(spark, sf)).select("letter_id", *FEATURE_NAMES)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     return rounded(rows.select("letter_id", *ft.scaled(ft.fit_scaler(rows))))
 
 

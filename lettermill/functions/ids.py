@@ -43,7 +43,7 @@ def parse_service_ids(raw: Column) -> Column:
     of digits. A number beyond bigint becomes a null item.
     """
     empty = F.array().cast("array<bigint>")
-    text = F.regexp_replace(raw, r"^[ \t]+|\s+$", "")
+    text = F.btrim(raw, F.lit(" \t\n\r\f\x0b"))
     digits = F.transform(
         F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda d: d.try_cast("bigint")
     )

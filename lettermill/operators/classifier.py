@@ -32,6 +32,10 @@ DEPTH = 10
 SEED = 42
 FOLDS = 5
 
+# A fit launches one job per iteration. Tasks of fewer rows than this would cost
+# more to launch than to run.
+ROWS_PER_FIT_TASK = 50_000
+
 T = TypeVar("T")
 
 SAVED = "classifier_type string, vector_source string, means array<double>, deviations array<double>"
@@ -79,6 +83,7 @@ def _fit(matrix: DataFrame, kind: str, counts: dict[int, int]):
     for label, n in counts.items():
         weight = F.when(F.col("class") == label, F.lit(total / (len(counts) * n))).otherwise(weight)
     weighted = matrix.select(F.col("class").cast("double").alias("label"), "features", weight.alias("weight"))
+    weighted = weighted.coalesce(max(1, -(-total // ROWS_PER_FIT_TASK)))
     if kind == "logistic":
         estimator = LogisticRegression(
             maxIter=MAX_ITERATIONS,

@@ -256,13 +256,11 @@ def codes_per_letter(letters: DataFrame) -> DataFrame:
 
 def codes_by_class(letters: DataFrame) -> DataFrame:
     """Different codes and occurrences per class; a class without codes has zeros."""
-    classes = letters.where(F.col("class").isNotNull()).groupBy("class").agg(F.sum("num_service_codes").alias("all"))
-    per_code = exploded_codes(letters).groupBy("class", "code").agg(F.count("*").alias("n"))
-    per_class = per_code.groupBy("class").agg(F.count("*").alias("unique_codes"))
-    return classes.join(per_class, "class", "left").select(
-        "class",
-        F.coalesce("unique_codes", F.lit(0)).alias("unique_codes"),
-        F.col("all").alias("total_occurrences"),
+    # Letters without codes keep one row, with a null code, so that their class stays.
+    codes = letters.where(F.col("class").isNotNull()).select("class", F.explode_outer("service_codes_list").alias("code"))
+    per_code = codes.groupBy("class", "code").agg(F.count("code").alias("n"))
+    return per_code.groupBy("class").agg(
+        F.count("code").alias("unique_codes"), F.sum("n").alias("total_occurrences")
     )
 
 

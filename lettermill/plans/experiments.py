@@ -189,7 +189,9 @@ def full_suite(
     run_label: str = "unlabelled",
     parallelism: int = 1,
 ) -> DataFrame:
-    """All four experiments; saved with table and report when `path` is given."""
+    """All four experiments; with `path`, also the analysis, models, table and report are saved."""
+    if path is not None:
+        load_and_analyze(train_letters, test_letters, domain, f"{path}/analysis_{run_label}")
     data = Prepared(train_letters, test_letters, vectors, domain, parallelism)
     out = None if path is None else f"{path}/models_{run_label}"
     runs = _together(
