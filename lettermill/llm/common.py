@@ -56,8 +56,8 @@ def text_batches(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int
-) -> list[tuple[str, str]]:
-    """(label, text) of at most `rows` documents of each label, for the driver.
+) -> tuple[list[tuple], dict]:
+    """(label, text) of at most `rows` documents of each label, for the driver, and the learnable ids of each label.
 
     labels: doc_id and one label for it. Only labelled ids are counted first; the share of ids that the sample
     needs is then chosen by hash, so the texts of no other rows leave their tasks. Rows of over `max_chars`
@@ -68,7 +68,7 @@ def labelled_sample(
     known = known.where(~held_out())
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
     if not counts:
-        return []
+        return [], {}
     order = F.xxhash64("doc_id", F.lit(17))
     share = F.lit(0.0)
     for value, n in counts.items():
@@ -81,4 +81,4 @@ def labelled_sample(
     for value in sorted(counts, key=str):
         mine = found.where(F.col("_label") == F.lit(value)) if len(counts) > 1 else found
         out += [(value, r["_text"]) for r in mine.orderBy(F.xxhash64("_id", F.lit(17)), "_id", "_text").limit(rows).collect()]
-    return out
+    return out, counts

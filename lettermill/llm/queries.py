@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, tokencount, urlfilter
+from lettermill.llm import bpe, langid, quality, simhash, tokencount, urlfilter
 from lettermill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,17 @@ def query(function):
     return function
 
 
+@query
+def op2_language(spark, sf_dir):
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op5_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
@@ -28,6 +40,11 @@ def op8_bpe(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+@query
+def op9_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_url_filter(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
