@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, langid, quality, simhash, tokencount, urlfilter
+from lettermill.llm import bpe, langid, mixing, quality, secrets, simhash, tokencount, urlfilter
 from lettermill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,22 @@ def op5_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_mixing(spark, sf_dir):
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+SQL["op6_mixing"] = mixing.mix_sql()
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    # A source is an owner; its texts in one language are a repository.
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secret_spans(docs, F.col("source"), F.struct("source", "lang"))
+
+
 @query
 def op8_bpe(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents"), with_ids=False)
