@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, langid, mixing, quality, secrets, simhash, tokencount, urlfilter
+from lettermill.llm import bpe, fingerprint, langid, mixing, quality, secrets, simhash, tokencount, urlfilter
 from lettermill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op2_language(spark, sf_dir):
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_fingerprint(spark, sf_dir):
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
