@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, fingerprint, langid, mixing, quality, secrets, simhash, tokencount, urlfilter
+from lettermill.llm import ann, bpe, fingerprint, langid, mixing, quality, secrets, simhash, tokencount, urlfilter
 from lettermill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(function):
     return function
 
 
+@query
+def op1_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op2_language(spark, sf_dir):
     return langid.languages(table(spark, sf_dir, "documents"))
