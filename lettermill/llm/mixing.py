@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lettermill.llm.common import WORD, checkpointed
 
 RANK_RANGES = 4_096
+#: Rows of a per-source table that are sent to every task.
+SENT_SOURCES = 20_000
 
 
 @dataclass(frozen=True)
@@ -79,29 +81,62 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), weight: Column | None = None) -> Da
     Where a weighted document would need more than max_copies, its source falls short by the rest.
     """
     own = F.lit(1.0) if weight is None else weight.cast("double")
-    sized = docs.select(
-        "doc_id", F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), own.alias("_w"), uniform(F.col("doc_id"), mix.seed).alias("_u")
-    )
+    sized = docs.select("doc_id", F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), own.alias("_w"))
     sized = checkpointed(sized)
+    chosen = _cut(_ranked(sized, _rates(sized, mix), mix))
+    copies = (F.col("_whole") + F.col("_chosen")).cast("int")
+    return chosen.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, mix: Mix = Mix(), weight: Column | None = None) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it.
+
+    What the mix has decided is a row for each source (its rate, and the last of its order that is in), so the texts
+    are not shuffled. Rows that tie with that last one are in too.
+    """
+    own = F.lit(1.0) if weight is None else weight.cast("double")
+    narrow = [F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), own.alias("_w")]
+    sized = checkpointed(docs.select("doc_id", *narrow))
+    rates = _rates(sized, mix)
+    chosen = _cut(_ranked(sized, rates, mix)).where((F.col("_chosen") == 1) & F.col("_order").isNotNull())
+    last = chosen.groupBy("_source").agg(F.max(F.struct("_order", "doc_id", "size")).alias("_last"))
+    decided = checkpointed(_by_source(rates, last))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("doc_id"), *narrow)
+    ranked = _ranked(whole, decided, mix)
+    taken = F.col("_whole") + F.coalesce((F.struct("_order", "doc_id", "size") <= F.col("_last")) & F.col("_order").isNotNull(), F.lit(False)).cast("int")
+    times = ranked.select("_row", taken.cast("int").alias("_times")).where(F.col("_times") > 0)
+    copies = times.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _rates(sized: DataFrame, mix: Mix) -> DataFrame:
+    """_source, source_size, target and _rate: expected copies of a document of weight 1."""
     sums = sized.groupBy("_source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighted"))
+    sums = checkpointed(sums)
     targets = source_targets(sums.select("_source", "source_size"), mix)
-    rates = checkpointed(_by_source(sums.drop("source_size"), targets).withColumn("_rate", F.col("target") / F.col("_weighted")))
+    return checkpointed(_by_source(sums.drop("source_size"), targets).withColumn("_rate", F.col("target") / F.col("_weighted")).drop("_weighted"))
+
+
+def _ranked(rows: DataFrame, rates: DataFrame, mix: Mix) -> DataFrame:
+    """Adds the columns of rates, _whole (certain copies), _order (0 to 1; null without a fraction) and _range."""
     expected = F.when(F.col("size") > 0, F.least(F.col("_w") * F.col("_rate"), F.lit(float(mix.max_copies)))).otherwise(0.0)
-    rated = _by_source(sized, rates).withColumn("_expected", expected)
+    rated = _by_source(rows.withColumn("_u", uniform(F.col("doc_id"), mix.seed)), rates).withColumn("_expected", expected)
     rated = rated.withColumn("_whole", F.floor("_expected")).withColumn("_p", F.col("_expected") - F.col("_whole"))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    # Odds are mapped to 0..1 in the same order; a document without a fraction has no rank.
+    # Odds are mapped to 0..1 in the same order.
     rated = rated.withColumn("_order", F.when(F.col("_p") > 0, odds / (1 + odds)))
     rated = rated.withColumn("_range", F.least(F.floor(F.col("_order") * RANK_RANGES), F.lit(RANK_RANGES - 1)))
-    columns = ["doc_id", "_source", "size", "source_size", "target", "_whole", "_order", "_range"]
-    rated = checkpointed(rated.select(*columns))
-    chosen = _cut(rated)
-    copies = (F.col("_whole") + F.col("_chosen")).cast("int")
-    return chosen.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return rated.drop("_u", "_w", "_p", "_expected", "_rate")
 
 
 def _by_source(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on the source, null included; right has one row for a source, so a hot source's rows can be split."""
+    """Join on the source, null included; right has one row for a source.
+
+    Up to SENT_SOURCES of them are sent to every task; more are joined by a shuffle, in which a hot source's rows can
+    be split, as the other side has one row for it.
+    """
+    if right.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES:
+        right = F.broadcast(right)
     return left.join(right.withColumnRenamed("_source", "_other"), F.col("_source").eqNullSafe(F.col("_other")), "left").drop("_other")
 
 
@@ -110,11 +145,12 @@ def _cut(rated: DataFrame) -> DataFrame:
 
     A document is in if the middle of its words, in the running sum, is not beyond the lack.
     """
+    rated = checkpointed(rated)
     lack = rated.groupBy("_source").agg(F.first("target").alias("_t"), F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
     ranges = rated.where(F.col("_order").isNotNull()).groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
     running = Window.partitionBy("_source").orderBy("_range")
     ends = ranges.withColumn("_end", F.sum("_words").over(running))
-    found = _by_source(ends, lack).withColumn("_lack", F.col("_t") - F.col("_certain"))
+    found = _by_source(ends, checkpointed(lack)).withColumn("_lack", F.col("_t") - F.col("_certain"))
     # The range of the cut: the first whose end is beyond the lack.
     cut = found.groupBy("_source").agg(
         F.min(F.when(F.col("_end") > F.col("_lack"), F.struct("_range", (F.col("_end") - F.col("_words")).alias("_start")))).alias("_cut"),
@@ -134,10 +170,9 @@ def _cut(rated: DataFrame) -> DataFrame:
 def mix_sql(mix: Mix = Mix(), rows: str = "documents", out: str = "doc_id, size, source_size, round(target, 6) as target, taken") -> str:
     """The same in DuckDB's SQL, over a table or subquery of doc_id, text and source."""
     weights = ", ".join(map(str, mix.weights))
-    pattern = WORD.replace("\\", "\\")
     return f"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '{pattern}')), 0)::bigint as size,
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
          (('0x' || substr(md5('{mix.seed}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / {float(1 << 52)!r} as u
   from {rows}),
 sources as (select source, sum(size)::bigint as source_size from sized group by source),

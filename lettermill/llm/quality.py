@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lettermill.llm.common import held_out, labelled_sample, text_batches
 
@@ -153,7 +154,7 @@ def with_scores(docs: DataFrame, model: QualityModel, name: str = "score", least
             out = batch.append_column(name, pa.array(scores, pa.float64()))
             yield out if least is None else out.filter(pa.array([s >= least for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, good_from: float = GOOD_FROM) -> DataFrame:
