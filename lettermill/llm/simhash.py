@@ -28,6 +28,8 @@ from lettermill.llm.components import connected
 SEED = 42
 #: Nodes of a cell, and nodes that visit it, in one tile.
 LEFT_ROWS, RIGHT_ROWS = 4_096, 32_768
+#: Words of wide fingerprints that are compared first; the others only where those are close.
+COARSE_WORDS = 4
 #: Rows compared at once.
 BLOCK = 512
 #: Parts of a 64-bit fingerprint whose population counts are a cell.
@@ -146,10 +148,10 @@ def bit_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 class Tile:
     """The nodes of one cell's block, and the links that visiting nodes make among and to them."""
 
-    def __init__(self, left: np.ndarray, radius: int) -> None:
+    def __init__(self, left: np.ndarray, radius: int, coarse: int) -> None:
         counts = np.bitwise_count(left).sum(axis=1, dtype=np.int64)
         order = np.argsort(counts, kind="stable")
-        self.left, self.counts, self.radius = left[order], counts[order], radius
+        self.left, self.counts, self.radius, self.coarse = left[order], counts[order], radius, coarse
         self.label = np.arange(len(left))
 
     def meet(self, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -165,12 +167,23 @@ class Tile:
             high = int(np.searchsorted(self.counts, own[-1] + self.radius, "right"))
             for j in range(low, high, BLOCK):
                 part = slice(j, min(j + BLOCK, high))
-                far = bit_distances(self.left[part], block)
-                hit = (far <= self.radius) & (far > 0)  # nodes differ, so 0 is the node itself
+                hit = self._near(self.left[part], block)
                 if hit.any():
                     out += self._join(hit, part, block)
         return out
 
+    def _near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each right row is within the radius of each left row, and is not that row."""
+        far = bit_distances(left[:, :COARSE_WORDS], right[:, :COARSE_WORDS])
+        if left.shape[1] <= COARSE_WORDS:
+            return (far <= self.radius) & (far > 0)  # nodes differ, so 0 is the node itself
+        hit = far <= self.coarse
+        rows, columns = np.nonzero(hit)
+        if len(rows):
+            rest = np.bitwise_count(right[rows] ^ left[columns]).sum(axis=1, dtype=np.int64)
+            hit[rows, columns] = (rest <= self.radius) & (rest > 0)
+        return hit
+
     def _join(self, hit: np.ndarray, part: slice, block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(hit.any(axis=1))
         columns = np.flatnonzero(hit.any(axis=0))
@@ -191,9 +204,20 @@ class Tile:
         return out
 
 
+def coarse_radius(radius: int, width: int) -> int:
+    """Differing bits among the first words beyond which a pair within the radius is as good as impossible.
+
+    Six standard deviations above the mean of a pair at the radius.
+    """
+    share, bits = radius / (64 * width), 64 * min(width, COARSE_WORDS)
+    return math.ceil(share * bits + 6 * math.sqrt(bits * share * (1 - share)))
+
+
 def _links(radius: int, width: int):
     """Function of mapInArrow over rows (cell, a, b, side, fp) sorted so; gives links (a, b)."""
 
+    coarse = coarse_radius(radius, width)
+
     def words(column: pa.Array) -> np.ndarray:
         data = b"".join(column.to_pylist())
         return np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, width)
@@ -220,7 +244,7 @@ def _links(radius: int, width: int):
                 if side == 0:
                     waiting.append(nodes[low:high])
                 elif waiting:
-                    tile = tile or Tile(np.concatenate(waiting), radius)
+                    tile = tile or Tile(np.concatenate(waiting), radius, coarse)
                     pairs += tile.meet(nodes[low:high])
             if pairs and sum(len(p[0]) for p in pairs):
                 yield link(pairs)
@@ -284,12 +308,12 @@ def near_duplicates(
 
 
 def one_of_each(
-    docs: DataFrame, words: int = 5, radius: int = 40, width: int = 4, similarity: float = 0.8
+    docs: DataFrame, words: int = 5, radius: int = 88, width: int = 8, similarity: float = 0.8
 ) -> DataFrame:
     """Documents with all their columns, of each group of near duplicates the one with the smallest doc_id.
 
-    A radius of 40 of 256 bits is an angle between sets of shingles that a similarity of 0.8 or more has; fewer words
-    than a shingle are compared as a whole. Of rows that repeat the kept id one stays; rows without an id all stay.
+    Two sets of shingles with a similarity of 0.8 differ in 78 of 512 bits on average, give or take 8; the radius takes
+    nine of ten such pairs, and hardly any below 0.7. Texts of fewer words than a shingle are compared as a whole. Of rows that repeat the kept id one stays; rows without an id all stay.
     """
     kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, radius, width, True, similarity)
     ids = kept.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
