@@ -97,17 +97,16 @@ def class_1_sql(index: str) -> str:
 
 DOC = """doc AS (
   SELECT d.doc_id::VARCHAR AS letter_id, d.text AS guarantee_letter_text, l.quality AS class, d.source AS company
-  FROM documents d JOIN labels l USING (doc_id))"""
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+LABELLED = f"""{DOC},
+labelled AS (SELECT * FROM doc WHERE class IS NOT NULL)"""
 
 LET = f"""lines AS (
   SELECT l_orderkey, l_partkey, 'F' || (10 + l_partkey % 90) || '.' || (10 + l_suppkey % 90) || '.' ||
     (10 + l_orderkey % 90) || '.' || (l_linenumber % 10) || '.' || (100 + (l_partkey * 7) % 900) AS code
   FROM lineitem),
-ranked AS (
-  SELECT l_orderkey, code, row_number() OVER (PARTITION BY l_orderkey ORDER BY code) AS place
-  FROM (SELECT DISTINCT l_orderkey, code FROM lines)),
-top_five AS (
-  SELECT l_orderkey, string_agg(code, chr(10) ORDER BY code) AS codes FROM ranked WHERE place <= 5 GROUP BY 1),
+all_codes AS (
+  SELECT l_orderkey, string_agg(code, chr(10) ORDER BY code) AS codes FROM (SELECT DISTINCT l_orderkey, code FROM lines) GROUP BY 1),
 extremes AS (SELECT l_orderkey, min(l_partkey) AS low, max(l_partkey) AS high FROM lines GROUP BY 1),
 picked AS (
   SELECT o_orderkey AS k, ({pick('cls', 'o_orderkey', 162)} < 118)::INTEGER AS class,
@@ -116,7 +115,7 @@ picked AS (
     {choose(inp.CODED_BODIES, 'tpl', 'o_orderkey')} AS coded,
     {choose(inp.PLAIN_BODIES, 'tpl', 'o_orderkey')} AS plain,
     {pick('ids', 'o_orderkey', 4)} AS id_form, coalesce(codes, '') AS codes, low, high
-  FROM orders LEFT JOIN top_five t ON t.l_orderkey = o_orderkey LEFT JOIN extremes e ON e.l_orderkey = o_orderkey),
+  FROM orders LEFT JOIN all_codes t ON t.l_orderkey = o_orderkey LEFT JOIN extremes e ON e.l_orderkey = o_orderkey),
 letters AS (
   SELECT k::VARCHAR AS letter_id,
     name || chr(10) || chr(10) || CASE WHEN (class = 1) <> flipped THEN replace(coded, '{{codes}}', codes) ELSE plain END
@@ -250,7 +249,7 @@ def top_terms_sql(source: str) -> str:
 
 
 def top_terms_by_class_sql(source: str) -> str:
-    return f"""WITH {source}, sizes AS (SELECT class, count(*) AS k FROM prep GROUP BY 1),
+    return f"""WITH {source}, sizes AS (SELECT class, count(*) AS k FROM prep WHERE class IS NOT NULL GROUP BY 1),
       m AS (SELECT class, term, sum(weight) / any_value(k) AS mean FROM weights JOIN sizes USING (class) GROUP BY ALL)
       SELECT class, term, {r6('mean', 'mean_weight')}, position FROM (SELECT *, row_number() OVER (
         PARTITION BY class ORDER BY round(mean, 12) DESC, term)::INTEGER AS position FROM m) WHERE position <= 10"""
@@ -339,13 +338,20 @@ def oracle_queries() -> dict[str, str]:
     out: dict[str, str] = {}
 
     # sources and sinks
-    out["read_training_letters"] = f"WITH {DOC} SELECT letter_id, guarantee_letter_text, class FROM doc WHERE {SPLIT} < 7"
-    out["read_test_letters"] = f"WITH {DOC} SELECT letter_id, guarantee_letter_text, class FROM doc WHERE {SPLIT} >= 7"
+    out["read_training_letters"] = f"WITH {DOC} SELECT letter_id, guarantee_letter_text, class::VARCHAR AS class FROM doc WHERE {SPLIT} < 7"
+    out["read_test_letters"] = f"WITH {DOC} SELECT letter_id, guarantee_letter_text, class::VARCHAR AS class FROM doc WHERE {SPLIT} >= 7"
     out["read_service_catalogue"] = """SELECT p_partkey AS service_id,
       'F' || (10 + p_partkey % 90) || '.' || (100 + (p_partkey * 7) % 900) AS ServiceCode, p_name AS ServiceName FROM part"""
-    out["write_letters_csv"] = f"WITH {LET}, {SYNTHETIC} SELECT * FROM synthetic"
-    out["write_analysis_json"] = f"""WITH {PREP} SELECT count(*) AS total_samples, {r6('avg(text_length)', 'avg_text_length')},
-      count(*) FILTER ((class = 1) <> has_service_codes) AS potential_labeling_errors FROM prep"""
+    out["ratio_preserving_set"] = f"WITH {LET}, {SYNTHETIC} SELECT * FROM synthetic"
+    edges = """CASE o_orderkey % 7 WHEN 0 THEN '  lead ' || o_orderkey WHEN 1 THEN 'trail ' || o_orderkey || ' ' || chr(10)
+      WHEN 2 THEN 'say "' || o_orderkey || '", then, end' WHEN 3 THEN 'two' || chr(13) || chr(10) || 'lines ' || o_orderkey
+      WHEN 4 THEN '\\' || o_orderkey || '\\' WHEN 5 THEN '' END"""
+    out["write_letters_csv"] = out["ratio_preserving_set"] + f" UNION ALL SELECT 'edge_' || o_orderkey, {edges}, 0 FROM orders"
+    loaded = f"""SELECT CASE WHEN {SPLIT} < 7 THEN 'train' ELSE 'test' END AS part, letter_id AS id, class::VARCHAR AS class,
+        md5(coalesce(guarantee_letter_text, 'none')) AS text FROM doc
+      UNION ALL SELECT 'services', p_partkey::VARCHAR, NULL,
+        md5('F' || (10 + p_partkey % 90) || '.' || (100 + (p_partkey * 7) % 900) || p_name) FROM part"""
+    out["load_three_tables"] = f"WITH {DOC}, loaded AS ({loaded}) SELECT k AS kind, loaded.* FROM loaded, unnest(['parquet', 'json', 'csv']) u(k)"
     table = f"""SELECT CASE family WHEN 'baseline' THEN 'Базовая модель (только реальные данные)'
         WHEN 'synthetic' THEN 'Шаблонные синтетические данные (' || size || ')'
         ELSE 'LLM синтетические данные (' || size || ')' END AS experiment, train_size, size AS synthetic_size,
@@ -357,13 +363,13 @@ def oracle_queries() -> dict[str, str]:
       lines AS (SELECT family, size, printf('%.3f', f1_weighted) AS f1, printf('%.3f', accuracy) AS acc,
         printf('%.1f', (f1_weighted - b_f1_weighted) / b_f1_weighted * 100) AS gain, printf('%.3f', mean_quality) AS quality
         FROM best, base)
-      SELECT unnest(['# Отчет по экспериментам классификации страховых писем', 'Дата проведения: 20240101_000000', '## Сводка результатов']) AS line
-      UNION ALL SELECT unnest(['**Базовая модель (только реальные данные):**', '- F1-score: ' || f1, '- Accuracy: ' || acc])
+      SELECT unnest(['# Отчет по экспериментам классификации страховых писем', 'Дата проведения: 20240101_000000', '', '## Сводка результатов', '']) AS line
+      UNION ALL SELECT unnest(['**Базовая модель (только реальные данные):**', '- F1-score: ' || f1, '- Accuracy: ' || acc, ''])
         FROM lines WHERE family = 'baseline'
       UNION ALL SELECT unnest(['**Лучший результат с синтетическими данными:**', '- Размер синтетической выборки: ' || size,
-        '- F1-score: ' || f1, '- Улучшение: +' || gain || '%']) FROM lines WHERE family = 'synthetic'
+        '- F1-score: ' || f1, '- Улучшение: +' || gain || '%', '']) FROM lines WHERE family = 'synthetic'
       UNION ALL SELECT unnest(['**Лучший результат с LLM данными:**', '- Размер LLM выборки: ' || size, '- F1-score: ' || f1,
-        '- Средняя оценка качества: ' || quality]) FROM lines WHERE family = 'generated'"""
+        '- Средняя оценка качества: ' || quality, '']) FROM lines WHERE family = 'generated'"""
     out["latest_run"] = f"""WITH {RUN} SELECT run_id, family, size, {r6('f1_weighted', 'f1_weighted')},
       '20240102_000000' AS experiment FROM runs"""
 
@@ -385,7 +391,7 @@ def oracle_queries() -> dict[str, str]:
       num_service_codes, insurance_company, text_length, num_words"""
     out["preprocess"] = f"""WITH {PREP} SELECT letter_id, guarantee_letter_text, class, service_ids_list, {flat},
       parsed_service_ids FROM prep"""
-    out["preprocess_documents"] = f"WITH {DPREP} SELECT letter_id, guarantee_letter_text, class, company, {flat} FROM prep"
+    out["preprocess_documents"] = f"WITH {DPREP} SELECT letter_id, guarantee_letter_text, class::VARCHAR AS class, company, {flat} FROM prep"
     out["handcrafted"] = f"WITH {LET}, {LET_FEATURES} SELECT letter_id, {', '.join(FEATURES)} FROM features"
     doc_features = features_sql("doc", EMAIL, ("src", "the"), ("the", "of"), ("und", "le"))
     out["handcrafted_documents"] = f"WITH {DOC}, {doc_features} SELECT letter_id, {', '.join(FEATURES)} FROM features"
@@ -420,12 +426,12 @@ def oracle_queries() -> dict[str, str]:
       FROM letters l LEFT JOIN named USING (letter_id) GROUP BY 1"""
 
     # aggregations
-    out["class_value_counts"] = f"WITH {DOC} SELECT class, count(*) AS count FROM doc GROUP BY 1"
+    out["class_value_counts"] = f"WITH {LABELLED} SELECT class, count(*) AS count FROM labelled GROUP BY 1"
     out["company_value_counts"] = f"WITH {PREP} SELECT insurance_company, count(*) AS count FROM prep GROUP BY 1"
     out["code_count_value_counts"] = f"WITH {PREP} SELECT num_service_codes, count(*) AS count FROM prep GROUP BY 1"
     out["code_counts_by_value"] = out["code_count_value_counts"]
-    out["class_shares"] = f"""WITH {DOC}, c AS (SELECT count(*) AS total, count(*) FILTER (class = 0) AS class_0,
-        count(*) FILTER (class = 1) AS class_1 FROM doc)
+    out["class_shares"] = f"""WITH {LABELLED}, c AS (SELECT count(*) AS total, count(*) FILTER (class = 0) AS class_0,
+        count(*) FILTER (class = 1) AS class_1 FROM labelled)
       SELECT *, {r6('class_0 * 100.0 / total', 'class_0_percent')}, {r6('class_1 * 100.0 / total', 'class_1_percent')},
         {r6('class_0 / class_1::DOUBLE', 'imbalance_ratio')} FROM c"""
     quality = f"""SELECT count(*) AS total_samples, count(*) FILTER (guarantee_letter_text IS NULL) AS missing_texts,
@@ -435,31 +441,35 @@ def oracle_queries() -> dict[str, str]:
       count(*) FILTER ((class = 1) <> has_service_codes) AS potential_labeling_errors FROM prep"""
     out["data_quality"] = f"WITH {PREP} {quality}"
     out["data_quality_documents"] = f"WITH {DPREP} {quality}"
-    out["general_statistics"] = f"""WITH {DPREP} SELECT CASE grouping(class) WHEN 1 THEN 'overall' ELSE class::VARCHAR END AS scope, count(*) AS sample_count,
-      {r6('avg(text_length)', 'avg_text_length')}, {r6('avg(num_words)', 'avg_words')} FROM prep GROUP BY ROLLUP (class)"""
+    general = f"""SELECT CASE grouping(class) WHEN 1 THEN 'overall' ELSE class::VARCHAR END AS scope, count(*) AS sample_count,
+      {r6('avg(text_length)', 'avg_text_length')}, {r6('avg(num_words)', 'avg_words')} FROM prep GROUP BY ROLLUP (class) HAVING grouping(class) = 1 OR class IS NOT NULL"""
+    out["general_statistics"] = f"WITH {DPREP} {general}"
     profile = f"""SELECT class, count(*) AS sample_count, {r6('avg(has_service_codes::INTEGER)', 'has_service_codes_ratio')},
       {r6('avg(num_service_codes)', 'avg_service_codes')}, {r6('avg(text_length)', 'length_mean')},
       {r6('stddev_samp(text_length)', 'length_std')}, min(text_length) AS length_min, max(text_length) AS length_max
-      FROM prep GROUP BY class"""
+      FROM prep WHERE class IS NOT NULL GROUP BY class"""
     out["class_profile"] = f"WITH {DPREP} {profile}"
     out["class_profile_letters"] = f"WITH {PREP} {profile}"
     out["class_company_counts"] = f"WITH {PREP} SELECT class, insurance_company, count(*) AS count FROM prep GROUP BY ALL"
-    out["class_differences"] = f"""WITH {PREP} SELECT
+    differences = f"""SELECT
       {r6('avg(has_service_codes::INTEGER) FILTER (class = 0)', 'class_0_with_codes')},
       {r6('avg(has_service_codes::INTEGER) FILTER (class = 1)', 'class_1_with_codes')},
       {r6('avg(text_length) FILTER (class = 1) - avg(text_length) FILTER (class = 0)', 'text_length_difference')} FROM prep"""
-    out["company_profile"] = f"""WITH {PREP} SELECT insurance_company, count(*) AS sample_count,
+    out["class_differences"] = f"WITH {PREP} {differences}"
+    companies = f"""SELECT insurance_company, count(*) AS sample_count,
       count(*) FILTER (class = 0) AS class_0, count(*) FILTER (class = 1) AS class_1,
       {r6('avg(text_length)', 'avg_text_length')}, {r6('avg(has_service_codes::INTEGER)', 'has_service_codes_ratio')}
       FROM prep GROUP BY 1"""
+    out["company_profile"] = f"WITH {PREP} {companies}"
     out["code_statistics"] = f"""WITH {PREP} SELECT count(DISTINCT code) AS total_unique_codes, count(*) AS total_code_occurrences
       FROM (SELECT unnest(codes) AS code FROM prep)"""
     out["top_codes"] = f"""WITH {PREP} SELECT code, count(*) AS count FROM (SELECT unnest(codes) AS code FROM prep)
       GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
     out["top_prefixes"] = f"""WITH {PREP} SELECT substr(code, 1, 3) AS prefix, count(*) AS count
       FROM (SELECT unnest(codes) AS code FROM prep) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
-    out["codes_per_letter"] = f"""WITH {PREP} SELECT count(*) FILTER (num_service_codes > 0) AS letters_with_codes,
+    per_letter = f"""SELECT count(*) FILTER (num_service_codes > 0) AS letters_with_codes,
       {r6('avg(num_service_codes) FILTER (num_service_codes > 0)', 'mean_codes')}, max(num_service_codes) AS max_codes FROM prep"""
+    out["codes_per_letter"] = f"WITH {PREP} {per_letter}"
     out["codes_by_class"] = f"""WITH {PREP} SELECT class, count(DISTINCT code) AS unique_codes, count(code) AS total_occurrences
       FROM (SELECT class, unnest(codes) AS code FROM prep) GROUP BY 1"""
     out["top_codes_by_class"] = f"""WITH {PREP}, c AS (
@@ -478,7 +488,7 @@ def oracle_queries() -> dict[str, str]:
     )
     out["size_quantiles"] = f"""WITH {DPREP}, s AS (SELECT class, 'text_length' AS measure, text_length AS size FROM prep
         UNION ALL SELECT class, 'num_words', num_words FROM prep)
-      SELECT class, measure, {quantiles} FROM s GROUP BY ALL"""
+      SELECT class, measure, {quantiles} FROM s WHERE class IS NOT NULL GROUP BY ALL"""
 
     # text vectors
     analysis = grams(3, 100)
@@ -508,8 +518,8 @@ def oracle_queries() -> dict[str, str]:
       SELECT vec_id, {r6('list_cosine_similarity(e, te)', 'similarity')} FROM v, t"""
 
     # windows, sorts and sets
-    out["stratified_folds"] = f"""WITH {DOC} SELECT letter_id, class, ((row_number() OVER (
-      PARTITION BY class ORDER BY md5('42:' || letter_id), letter_id) - 1) % 5)::INTEGER AS fold FROM doc"""
+    out["stratified_folds"] = f"""WITH {LABELLED} SELECT letter_id, class, ((row_number() OVER (
+      PARTITION BY class ORDER BY md5('42:' || letter_id), letter_id) - 1) % 5)::INTEGER AS fold FROM labelled"""
     out["score_midranks"] = f"""WITH {PRD}, r AS (SELECT y, score, rank() OVER (ORDER BY score) AS r FROM prd)
       SELECT score, count(*) AS n, sum(y)::BIGINT AS positives, {r6('min(r) + (count(*) - 1) / 2.0', 'midrank')}
       FROM r GROUP BY score"""
@@ -520,8 +530,8 @@ def oracle_queries() -> dict[str, str]:
     out["seeded_shuffle"] = f"WITH {LET} SELECT letter_id, md5('42:' || letter_id) AS shuffle_key FROM letters"
     out["append_synthetic"] = f"""WITH {LET}, {SYNTHETIC} SELECT letter_id, guarantee_letter_text, class, service_ids_list,
       'real' AS origin FROM letters UNION ALL SELECT letter_id, guarantee_letter_text, class, NULL, 'synthetic' FROM synthetic"""
-    out["append_projected"] = f"""WITH {LET}, {SYNTHETIC}, both_sets AS (SELECT class, 0 AS added FROM letters
-      UNION ALL SELECT class, 1 FROM synthetic) SELECT class, added, count(*) AS count FROM both_sets GROUP BY ALL"""
+    out["append_projected"] = f"""WITH {LET}, {SYNTHETIC} SELECT letter_id, guarantee_letter_text, class, service_ids_list FROM letters
+      UNION ALL SELECT NULL, guarantee_letter_text, class, NULL FROM synthetic"""
     out["distinct_companies"] = f"WITH {PREP} SELECT DISTINCT insurance_company FROM prep"
 
     # synthetic letters
@@ -529,7 +539,6 @@ def oracle_queries() -> dict[str, str]:
     out["generated_codes"] = f"SELECT {i} AS i, array_to_string({codes_sql(i, dm.CODES_PER_LETTER)}, '|') AS codes FROM orders"
     out["class_0_letters"] = f"SELECT {i} AS i, {class_0_sql(i)} AS letter FROM orders"
     out["class_1_letters"] = f"SELECT {i} AS i, {class_1_sql(i)} AS letter FROM orders"
-    out["ratio_preserving_set"] = out["write_letters_csv"]
     out["balancing_set"] = f"""WITH {LET}, c AS (
         SELECT count(*) FILTER (class = 0) AS c0, count(*) FILTER (class = 1) AS c1 FROM letters),
       rows_0 AS (SELECT unnest(range(c1 - c0)) AS i FROM c), rows_1 AS (SELECT unnest(range(c0 - c1)) AS i FROM c)
@@ -545,8 +554,8 @@ def oracle_queries() -> dict[str, str]:
         replace(replace(CASE WHEN class = 0 THEN {q(dm.USER_PROMPTS[0])} ELSE {q(dm.USER_PROMPTS[1])} END,
           '{{company}}', company), '{{service_codes}}', array_to_string(codes, ', ')) AS user_prompt FROM r"""
     out["parse_responses"] = f"WITH {MADE} SELECT * REPLACE (round(quality_score, 6) AS quality_score) FROM made"
-    out["class_targets"] = f"""WITH {DOC}, c AS (SELECT count(*) AS n, count(*) FILTER (class = 0) AS c0,
-        count(*) FILTER (class = 1) AS c1 FROM doc)
+    out["class_targets"] = f"""WITH {LABELLED}, c AS (SELECT count(*) AS n, count(*) FILTER (class = 0) AS c0,
+        count(*) FILTER (class = 1) AS c1 FROM labelled)
       SELECT 0 AS class, trunc(1000 * (c0 / n::DOUBLE))::INTEGER AS target FROM c
       UNION ALL SELECT 1, trunc(1000 * (c1 / n::DOUBLE))::INTEGER FROM c"""
     out["generated_set"] = f"""WITH {LET}, {REQUESTS}, c AS (SELECT count(*) AS n, count(*) FILTER (class = 0) AS c0,
@@ -564,8 +573,11 @@ def oracle_queries() -> dict[str, str]:
       {r6(f'1 - avg({coded}) FILTER (class = 0)', 'class_0_no_codes')} FROM made"""
 
     # features and models
-    out["document_vectors"] = f"""WITH {DOC} SELECT letter_id, 128 AS size,
-      regexp_matches(lower(guarantee_letter_text), '{WORD}')::INTEGER::DOUBLE AS norm FROM doc"""
+    out["document_vectors"] = f"""WITH {DOC},
+      words AS (SELECT letter_id, unnest(regexp_extract_all(lower(guarantee_letter_text), '{WORD}')) AS w FROM doc),
+      counts AS (SELECT letter_id, {digits('md5(w)', 1, 8, 128)}::INTEGER AS position, count(*) AS n FROM words GROUP BY ALL),
+      lengths AS (SELECT letter_id, sqrt(sum(n * n)) AS l FROM counts GROUP BY 1)
+      SELECT letter_id, 128 AS size, position, {r6('n / l', 'value')} FROM counts JOIN lengths USING (letter_id)"""
     out["scaled_features"] = f"WITH {LET}, {LET_FEATURES} SELECT letter_id, " + ", ".join(
         r6(scaled_sql(f), f"{f}_scaled") for f in FEATURES
     ) + " FROM features"
@@ -576,7 +588,7 @@ def oracle_queries() -> dict[str, str]:
       m AS (SELECT letter_id, {values} AS v FROM features JOIN letters USING (letter_id)),
       flat AS (SELECT letter_id, unnest(range(len(v)))::INTEGER AS position, unnest(v) AS value FROM m)
       SELECT letter_id, position, {r6('value', 'value')} FROM flat"""
-    out["class_weights"] = f"""WITH {DOC}, c AS (SELECT class, count(*) AS n FROM doc GROUP BY 1)
+    out["class_weights"] = f"""WITH {LABELLED}, c AS (SELECT class, count(*) AS n FROM labelled GROUP BY 1)
       SELECT class, n, {r6('(SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n)', 'weight')} FROM c"""
     out["score_with_coefficients"] = f"""WITH z AS (
         SELECT vec_id, 1 / (1 + exp(-(list_dot_product(embedding::DOUBLE[], {coefficients}) - 0.25))) AS p FROM embeddings)
@@ -643,47 +655,63 @@ def oracle_queries() -> dict[str, str]:
         WHEN g > 0 THEN 'slight' ELSE 'none_or_negative' END AS improvement_level FROM g"""
 
     # experiments and presentation
-    letter_terms = grams(3, 100, PREP)
-    sections = [
-        ("general_stats", f"""WITH {PREP} SELECT CASE grouping(class) WHEN 1 THEN 'overall' ELSE class::VARCHAR END AS scope,
-          count(*) AS sample_count, avg(text_length) AS avg_text_length, avg(num_words) AS avg_words FROM prep GROUP BY ROLLUP (class)""",
-         ["scope"], ["sample_count", "avg_text_length", "avg_words"]),
-        ("class_patterns", out["class_profile_letters"], ["class"], ["sample_count", "has_service_codes_ratio",
-         "avg_service_codes", "length_mean", "length_std", "length_min", "length_max"]),
-        ("class_companies", out["class_company_counts"], ["class", "insurance_company"], ["count"]),
-        ("class_differences", out["class_differences"], [], ["class_0_with_codes", "class_1_with_codes", "text_length_difference"]),
-        ("company_patterns", out["company_profile"], ["insurance_company"], ["sample_count", "class_0", "class_1",
-         "avg_text_length", "has_service_codes_ratio"]),
-        ("code_statistics", out["code_statistics"], [], ["total_unique_codes", "total_code_occurrences"]),
-        ("code_top", out["top_codes"], ["code"], ["count"]),
-        ("code_prefixes", out["top_prefixes"], ["prefix"], ["count"]),
-        ("codes_per_letter", out["codes_per_letter"], [], ["letters_with_codes", "mean_codes", "max_codes"]),
-        ("codes_distribution", out["code_counts_by_value"], ["num_service_codes"], ["count"]),
-        ("codes_by_class", out["codes_by_class"], ["class"], ["unique_codes", "total_occurrences"]),
-        ("codes_top_by_class", out["top_codes_by_class"], ["class", "code"], ["count", "position"]),
-        ("keyword_frequency", out["keyword_frequency_letters"], ["list_class", "keyword"], ["count"]),
-        ("keyword_effectiveness", out["keyword_purity_letters"], ["list_class", "keyword"],
-         ["total_occurrences", "class_0_ratio", "class_1_ratio", "preferred_class"]),
-        ("tfidf_vocabulary", f"WITH {letter_terms} SELECT term, term_count, document_count, idf FROM idfs", ["term"],
-         ["term_count", "document_count", "idf"]),
-        ("tfidf_top", top_terms_sql(letter_terms), ["term"], ["mean_weight"]),
-        ("tfidf_top_by_class", top_terms_by_class_sql(letter_terms), ["class", "term"], ["mean_weight", "position"]),
-    ]
-    out["letter_patterns"] = " UNION ALL ".join(long_rows(*s) for s in sections)
+    def analysed(prefix: str, lists) -> list[tuple]:
+        """The sections of prepared letters; prefix: their common table expressions."""
+        terms, codes = grams(3, 100, prefix), "(SELECT class, unnest(codes) AS code FROM prep)"
+        return [
+            ("general_stats", f"WITH {prefix} {general}", ["scope"], ["sample_count", "avg_text_length", "avg_words"]),
+            ("class_patterns", f"WITH {prefix} {profile}", ["class"], ["sample_count", "has_service_codes_ratio",
+             "avg_service_codes", "length_mean", "length_std", "length_min", "length_max"]),
+            ("class_companies", f"""WITH {prefix} SELECT class, insurance_company, count(*) AS count FROM prep
+              WHERE class IS NOT NULL GROUP BY ALL""", ["class", "insurance_company"], ["count"]),
+            ("class_differences", f"WITH {prefix} {differences}", [], ["class_0_with_codes", "class_1_with_codes", "text_length_difference"]),
+            ("company_patterns", f"WITH {prefix} {companies}", ["insurance_company"], ["sample_count", "class_0", "class_1",
+             "avg_text_length", "has_service_codes_ratio"]),
+            ("code_statistics", f"WITH {prefix} SELECT count(DISTINCT code) AS total_unique_codes, count(*) AS total_code_occurrences FROM {codes}",
+             [], ["total_unique_codes", "total_code_occurrences"]),
+            ("code_top", f"WITH {prefix} SELECT code, count(*) AS count FROM {codes} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", ["code"], ["count"]),
+            ("code_prefixes", f"""WITH {prefix} SELECT substr(code, 1, 3) AS prefix, count(*) AS count FROM {codes}
+              GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", ["prefix"], ["count"]),
+            ("codes_per_letter", f"WITH {prefix} {per_letter}", [], ["letters_with_codes", "mean_codes", "max_codes"]),
+            ("codes_distribution", f"WITH {prefix} SELECT num_service_codes, count(*) AS count FROM prep GROUP BY 1", ["num_service_codes"], ["count"]),
+            ("codes_by_class", f"""WITH {prefix}, k AS (SELECT DISTINCT class FROM prep WHERE class IS NOT NULL),
+              c AS (SELECT class, count(DISTINCT code) AS u, count(code) AS t FROM {codes} GROUP BY 1)
+              SELECT class, coalesce(u, 0) AS unique_codes, coalesce(t, 0) AS total_occurrences FROM k LEFT JOIN c USING (class)""",
+             ["class"], ["unique_codes", "total_occurrences"]),
+            ("codes_top_by_class", f"""WITH {prefix}, c AS (SELECT class, code, count(*) AS count FROM {codes} WHERE class IS NOT NULL GROUP BY ALL)
+              SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY count DESC, code)::INTEGER AS position FROM c)
+              WHERE position <= 5""", ["class", "code"], ["count", "position"]),
+            ("keyword_frequency", keyword_sql(prefix, lists) + FREQUENCY, ["list_class", "keyword"], ["count"]),
+            ("keyword_effectiveness", keyword_sql(prefix, lists) + PURITY, ["list_class", "keyword"],
+             ["total_occurrences", "class_0_ratio", "class_1_ratio", "preferred_class"]),
+            ("tfidf_vocabulary", f"WITH {terms} SELECT term, term_count, document_count, idf FROM idfs", ["term"],
+             ["term_count", "document_count", "idf"]),
+            ("tfidf_top", top_terms_sql(terms), ["term"], ["mean_weight"]),
+            ("tfidf_top_by_class", top_terms_by_class_sql(terms), ["class", "term"], ["mean_weight", "position"]),
+        ]
+
+    out["letter_patterns"] = " UNION ALL ".join(long_rows(*s) for s in analysed(PREP, LET_LISTS))
     train_prep = DOC.replace("doc AS (", "every_doc AS (", 1) + f""",
       doc AS (SELECT * FROM every_doc WHERE {SPLIT} < 7), {prep('doc', EMAIL)}"""
     measured = ["total_samples", "missing_texts", "empty_texts", "avg_text_length", "avg_words",
                 "class_1_without_codes", "class_0_with_codes", "potential_labeling_errors"]
     out["load_and_analyze"] = " UNION ALL ".join([
         long_rows("quality_metrics", f"WITH {train_prep} {quality}", [], measured),
-        long_rows("class_distribution", f"WITH {train_prep} SELECT class, count(*) AS count FROM prep GROUP BY 1", ["class"], ["count"]),
+        long_rows("class_distribution", f"WITH {train_prep} SELECT class, count(*) AS count FROM prep WHERE class IS NOT NULL GROUP BY 1", ["class"], ["count"]),
+        long_rows("company_distribution", f"WITH {train_prep} SELECT insurance_company, count(*) AS count FROM prep GROUP BY 1", ["insurance_company"], ["count"]),
         long_rows("test_stats", f"WITH {DOC} SELECT count(*) AS total_samples FROM doc WHERE {SPLIT} >= 7", [], ["total_samples"]),
+        *[long_rows(*s) for s in analysed(train_prep, DOC_LISTS)],
+    ])
+    patterns = {s[0]: s for s in analysed(PREP, LET_LISTS)}
+    out["write_analysis_json"] = " UNION ALL ".join([
+        long_rows("quality_metrics", f"WITH {PREP} {quality}", [], measured),
+        *[long_rows(*patterns[name]) for name in ("general_stats", "class_patterns", "company_patterns")],
     ])
     gain = "(f1_weighted - b_f1_weighted) / b_f1_weighted * 100"
     out["run_summary"] = f"""WITH {RUN} SELECT family, run_id, size, {r6('f1_weighted', 'f1_weighted')}, {r6('accuracy', 'accuracy')},
       {r6(gain, 'improvement_percent')}, {r6('mean_quality', 'mean_quality')} FROM best, base"""
-    out["class_distribution_series"] = f"""WITH {DOC} SELECT class, count(*) AS count,
-      {r6('count(*) * 100.0 / sum(count(*)) OVER ()', 'percent')} FROM doc GROUP BY 1"""
+    out["class_distribution_series"] = f"""WITH {LABELLED} SELECT class, count(*) AS count,
+      {r6('count(*) * 100.0 / sum(count(*)) OVER ()', 'percent')} FROM labelled GROUP BY 1"""
     out["metric_series"] = f"""WITH {RUN}, long AS ({unpivoted('runs', 'run_id', HEADLINE)})
       SELECT run_id, metric, {r6('value', 'value')} FROM long"""
     out["ablation_series"] = f"""WITH {RUN} SELECT size, {r6('f1_weighted', 'value')}, {r6(gain, 'improvement_percent')}

@@ -30,8 +30,8 @@ from lettermill.operators.catalogue import resolve_services, service_mapping
 from lettermill.operators.preprocess import FEATURE_NAMES, handcrafted_features, preprocess_letters
 from lettermill.plans import analysis, experiments
 from lettermill.plans import inputs as inp
+from lettermill.sources import letters as src
 from lettermill.sources import results as sink
-from lettermill.sources.letters import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,14 +86,19 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks -----------------------------------------------------------
 
 
+def _class() -> Column:
+    """The class as text, as it may be null."""
+    return F.col("class").cast("string").alias("class")
+
+
 @query
 def read_training_letters(spark, sf):
-    return documents(spark, sf).where(inp.split_of(F.col("letter_id")) == "train").select("letter_id", raw(), "class")
+    return documents(spark, sf).where(inp.split_of(F.col("letter_id")) == "train").select("letter_id", raw(), _class())
 
 
 @query
 def read_test_letters(spark, sf):
-    return documents(spark, sf).where(inp.split_of(F.col("letter_id")) == "test").select("letter_id", raw(), "class")
+    return documents(spark, sf).where(inp.split_of(F.col("letter_id")) == "test").select("letter_id", raw(), _class())
 
 
 @query
@@ -106,19 +111,58 @@ def _synthetic(spark, sf):
     return sy.ratio_preserving_set(base, 2 * base.count())
 
 
+def _edges(spark, sf):
+    """A letter per order whose text has blanks, quotes and line ends at its edges, or is empty or missing."""
+    key = F.col("o_orderkey")
+    forms = ["  lead {k}", "trail {k} \n", 'say "{k}", then, end', "two\r\nlines {k}", "\\{k}\\", "", None]
+    text = F.element_at(F.array(*[F.lit(f) for f in forms]), (key % len(forms) + 1).cast("int"))
+    text = F.replace(text, F.lit("{k}"), key.cast("string"))
+    rows = inp.table(spark, sf, "orders")
+    return rows.select(F.concat(F.lit("edge_"), key.cast("string")).alias("letter_id"), text.alias("guarantee_letter_text"), F.lit(0).alias("class"))
+
+
 @query
 def write_letters_csv(spark, sf):
     path = sink.work_folder(spark)
-    sink.write_letters_csv(_synthetic(spark, sf), path)
+    sink.write_letters_csv(_synthetic(spark, sf).unionByName(_edges(spark, sf)), path)
     return sink.read_letters_csv(spark, path, sy.SCHEMA)
 
 
+@query
+def load_three_tables(spark, sf):
+    """Both splits and the catalogue, written as a table of each kind and loaded from there."""
+    out = []
+    catalogue = inp.services(spark, sf)
+    train, test = _document_splits(spark, sf)
+    for kind in ("parquet", "json", "csv"):
+        path = sink.work_folder(spark)
+        for name, rows in (("train", train), ("test", test), ("services", catalogue)):
+            if kind == "csv":
+                sink.write_letters_csv(rows, f"{path}/{name}")
+            else:
+                rows.write.format(kind).save(f"{path}/{name}")
+        loaded = src.load_data(spark, f"{path}/train", f"{path}/test", f"{path}/services", kind)
+        for name, rows in zip(("train", "test"), loaded[:2]):
+            digest = F.md5(F.coalesce("guarantee_letter_text", F.lit("none")))
+            out.append(rows.select(F.lit(kind).alias("kind"), F.lit(name).alias("part"), F.col("letter_id").alias("id"), _class(), digest.alias("text")))
+        services = loaded[2].select(F.lit(kind).alias("kind"), F.lit("services").alias("part"), F.col("service_id").cast("string").alias("id"), F.lit(None).cast("string").alias("class"), F.md5(F.concat("ServiceCode", "ServiceName")).alias("text"))
+        out.append(services)
+    return pf.union_all(out)
+
+
 @query
 def write_analysis_json(spark, sf):
     path = sink.work_folder(spark)
-    sink.write_analysis({"quality": pf.data_quality(prepared(spark, sf))}, path)
-    schema = "total_samples bigint, avg_text_length double, potential_labeling_errors bigint"
-    return rounded(spark.read.schema(schema).json(f"{path}/quality"))
+    rows = prepared(spark, sf)
+    sections = {
+        "quality_metrics": pf.data_quality(rows),
+        "general_stats": pf.general_statistics(rows),
+        "class_patterns": pf.class_profile(rows),
+        "company_patterns": pf.company_profile(rows),
+    }
+    sink.write_analysis(sections, path)
+    saved = {name: spark.read.schema(df.schema).json(f"{path}/{name}") for name, df in sections.items()}
+    return rounded(analysis.as_long(saved))
 
 
 @query
@@ -133,8 +177,7 @@ def write_results_table(spark, sf):
 def write_summary_report(spark, sf):
     path = sink.work_folder(spark)
     sink.write_report(rn.summary_lines(inp.runs(spark, sf), "20240101_000000"), path)
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
-    return lines.where(F.col("line") != "")
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 RUN_COLUMNS = "run_id string, family string, size int, f1_weighted double"
@@ -154,7 +197,7 @@ def latest_run(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    return documents(spark, sf).select("letter_id", tx.clean_text(raw()).alias("text_cleaned"))
+    return inp.texts(spark, sf).select("letter_id", tx.clean_text(raw()).alias("text_cleaned"))
 
 
 @query
@@ -164,7 +207,7 @@ def code_presence(spark, sf):
 
 @query
 def code_presence_documents(spark, sf):
-    return documents(spark, sf).select(
+    return inp.texts(spark, sf).select(
         "letter_id", tx.has_codes(tx.clean_text(raw()), DOC).cast("int").alias("has_service_codes")
     )
 
@@ -186,12 +229,12 @@ def insurance_company(spark, sf):
 
 @query
 def text_length(spark, sf):
-    return documents(spark, sf).select("letter_id", tx.text_length(tx.clean_text(raw())).alias("text_length"))
+    return inp.texts(spark, sf).select("letter_id", tx.text_length(tx.clean_text(raw())).alias("text_length"))
 
 
 @query
 def word_count(spark, sf):
-    cleaned = documents(spark, sf).select("letter_id", tx.clean_text(raw()).alias("text_cleaned"))
+    cleaned = inp.texts(spark, sf).select("letter_id", tx.clean_text(raw()).alias("text_cleaned"))
     return cleaned.select("letter_id", tx.word_count(clean()).alias("num_words"))
 
 
@@ -226,7 +269,7 @@ def preprocess(spark, sf):
 
 @query
 def preprocess_documents(spark, sf):
-    return _flat(prepared_documents(spark, sf))
+    return _flat(prepared_documents(spark, sf)).withColumn("class", _class())
 
 
 @query
@@ -242,17 +285,17 @@ def handcrafted_documents(spark, sf):
 
 @query
 def model_text(spark, sf):
-    return documents(spark, sf).select("letter_id", tx.model_text(raw()).alias("model_text"))
+    return inp.texts(spark, sf).select("letter_id", tx.model_text(raw()).alias("model_text"))
 
 
 @query
 def keyword_substring(spark, sf):
-    return documents(spark, sf).select("letter_id", tx.contains_lower(raw(), "und").cast("int").alias("found"))
+    return inp.texts(spark, sf).select("letter_id", tx.contains_lower(raw(), "und").cast("int").alias("found"))
 
 
 @query
 def phrase_contains(spark, sf):
-    folded = documents(spark, sf).select("letter_id", tx.fold_case(tx.clean_text(raw())).alias("folded"))
+    folded = inp.texts(spark, sf).select("letter_id", tx.fold_case(tx.clean_text(raw())).alias("folded"))
     return folded.select("letter_id", tx.contains_phrase(F.col("folded"), "And The").cast("int").alias("found"))
 
 
@@ -327,7 +370,7 @@ def resolve_service_ids(spark, sf):
 
 @query
 def class_value_counts(spark, sf):
-    return pf.value_counts(documents(spark, sf), "class")
+    return pf.value_counts(inp.labelled(spark, sf), "class")
 
 
 @query
@@ -342,7 +385,7 @@ def code_count_value_counts(spark, sf):
 
 @query
 def class_shares(spark, sf):
-    return rounded(pf.class_shares(documents(spark, sf)))
+    return rounded(pf.class_shares(inp.labelled(spark, sf)))
 
 
 @query
@@ -517,7 +560,7 @@ def embedding_similarity(spark, sf):
 
 @query
 def stratified_folds(spark, sf):
-    return rk.stratified_folds(documents(spark, sf).select("letter_id", "class"))
+    return rk.stratified_folds(inp.labelled(spark, sf).select("letter_id", "class"))
 
 
 @query
@@ -567,7 +610,7 @@ def append_synthetic(spark, sf):
 @query
 def append_projected(spark, sf):
     both = sy.append_projected(letters(spark, sf), _synthetic(spark, sf))
-    return both.groupBy("class", F.col("letter_id").isNull().cast("int").alias("added")).agg(F.count("*").alias("count"))
+    return both.select("letter_id", "guarantee_letter_text", "class", "service_ids_list")
 
 
 @query
@@ -579,7 +622,7 @@ def distinct_companies(spark, sf):
 
 
 def _orders(spark, sf):
-    orders = spread(inp.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    orders = inp.table(spark, sf, "orders")
     return orders.select(F.col("o_orderkey").cast("string").alias("i"))
 
 
@@ -631,7 +674,7 @@ def parse_responses(spark, sf):
 
 @query
 def class_targets(spark, sf):
-    sizes = sy.split_size(1000, sy.class_counts(documents(spark, sf)), "truncate")
+    sizes = sy.split_size(1000, sy.class_counts(inp.labelled(spark, sf)), "truncate")
     return spark.createDataFrame(list(sizes.items()), "class int, target int")
 
 
@@ -668,7 +711,8 @@ def _splits(spark, sf):
 @query
 def document_vectors(spark, sf):
     rows = ft.add_vectors(documents(spark, sf))
-    return rounded(rows.select("letter_id", F.size("embedding").alias("size"), vx.norm(F.col("embedding")).alias("norm")))
+    values = rows.select("letter_id", F.size("embedding").alias("size"), F.posexplode("embedding").alias("position", "value"))
+    return rounded(values.where(F.col("value") != 0))
 
 
 @query
@@ -689,7 +733,7 @@ def feature_matrix(spark, sf):
 
 @query
 def class_weights(spark, sf):
-    return rounded(ft.class_weights(documents(spark, sf)))
+    return rounded(ft.class_weights(inp.labelled(spark, sf)))
 
 
 @query
@@ -828,7 +872,8 @@ def load_and_analyze(spark, sf):
     train, test = _document_splits(spark, sf)
     path = sink.work_folder(spark)
     sections = analysis.load_and_analyze(train, test, DOC, path)[2]
-    return rounded(analysis.as_long({n: sections[n] for n in ("quality_metrics", "class_distribution", "test_stats")}))
+    saved = {name: spark.read.schema(df.schema).json(f"{path}/{name}") for name, df in sections.items()}
+    return rounded(analysis.as_long(saved))
 
 
 def _experiment(spark, sf, vectors="hashing"):
@@ -901,7 +946,7 @@ def results_table(spark, sf):
 
 @query
 def class_distribution_series(spark, sf):
-    return rounded(pf.class_distribution(documents(spark, sf)))
+    return rounded(pf.class_distribution(inp.labelled(spark, sf)))
 
 
 @query

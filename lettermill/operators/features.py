@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,11 @@ def add_vectors(
         return letters.withColumn("embedding", F.col(source).cast("array<double>"))
     if source != "hashing":
         raise ValueError(f"no vector column {source!r}")
-    worded = letters.withColumn("_words", text.tokens(text.model_text(F.col(text_col))))
-    hashed = HashingTF(numFeatures=size, inputCol="_words", outputCol="_hashed").transform(worded)
+    words = text.tokens(text.model_text(F.col(text_col)))
+    bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % size).cast("string")
+    worded = letters.withColumn("_words", F.transform(words, bucket))
+    buckets = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_words", outputCol="_hashed")
+    hashed = buckets.transform(worded)
     normal = Normalizer(p=2.0, inputCol="_hashed", outputCol="_normal").transform(hashed)
     return normal.withColumn("embedding", vector_to_array("_normal")).drop("_words", "_hashed", "_normal")
 

@@ -150,7 +150,7 @@ def class_profile(letters: DataFrame) -> DataFrame:
 
 def class_company_counts(letters: DataFrame) -> DataFrame:
     """Letters by class and company."""
-    return letters.groupBy("class", "insurance_company").agg(F.count("*").alias("count"))
+    return letters.where(F.col("class").isNotNull()).groupBy("class", "insurance_company").agg(F.count("*").alias("count"))
 
 
 def class_differences(letters: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def size_quantiles(letters: DataFrame) -> DataFrame:
     once, with its frequency: its state grows with the number of different
     sizes and not with the letters.
     """
-    sizes = letters.select(
+    sizes = letters.where(F.col("class").isNotNull()).select(
         "class",
         F.explode(
             F.array(
@@ -267,7 +267,7 @@ def codes_by_class(letters: DataFrame) -> DataFrame:
 def top_codes_by_class(letters: DataFrame, k: int = 5) -> DataFrame:
     # The filter on row_number is pushed below the shuffle as a group limit,
     # so a task sends at most k rows per class.
-    counts = exploded_codes(letters).groupBy("class", "code").agg(F.count("*").alias("count"))
+    counts = exploded_codes(letters.where(F.col("class").isNotNull())).groupBy("class", "code").agg(F.count("*").alias("count"))
     order = Window.partitionBy("class").orderBy(F.desc("count"), F.asc("code"))
     ranked = counts.withColumn("position", F.row_number().over(order))
     return ranked.where(F.col("position") <= k)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.domain import Domain
 from lettermill.functions.picks import choose, pick
 from lettermill.operators.metrics import confusion_cells, metrics_from_cells
-from lettermill.sources.letters import spread
 
 SEED = 42
 
@@ -44,15 +43,43 @@ RUNS = (
 )
 
 
+# Columns of the given tables that are read; a given schema saves a job for each table.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "orders": "o_orderkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_discount double, l_tax double, "
+        "l_returnflag string"
+    ),
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. `spark.lettermill.inputTasks` deals small tables of few splits out to so many tasks."""
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get("spark.lettermill.inputTasks", None)
+    return rows.repartition(int(tasks)) if tasks else rows
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as letters without a class; the company is the source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("letter_id"),
+        F.col("text").alias("guarantee_letter_text"),
+        F.col("source").alias("company"),
+    )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as letters; the company is the source."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    """All documents as letters; the class of an unlabelled one is null."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("class"))
-    return docs.join(labels, "doc_id").select(
+    return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("letter_id"),
         F.col("text").alias("guarantee_letter_text"),
         "class",
@@ -60,31 +87,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have a class."""
+    return documents(spark, sf_dir).where(F.col("class").isNotNull())
+
+
 def order_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order the five smallest codes and the extreme part keys of its lines.
+    """Per order all its distinct codes, sorted, and the extreme part keys of its lines.
 
-    Duplicates go first, with map-side partial results; then each task keeps
-    five codes per order before the shuffle. An order with very many lines is
-    therefore never collected.
+    Repeated codes go first, with map-side partial results.
     """
     part, supp, order, line = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"))
     numbers = (10 + part % 90, 10 + supp % 90, 10 + order % 90, line % 10, 100 + (part * 7) % 900)
     code = F.concat(F.lit("F"), F.concat_ws(".", *[n.cast("string") for n in numbers]))
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_partkey", code.alias("code"))
-    distinct = lines.groupBy("l_orderkey", "code").agg(
-        F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", code.alias("code"))
+    distinct = lines.groupBy("l_orderkey", "code").agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"))
+    return distinct.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list("code")).alias("codes"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    extremes = distinct.groupBy("l_orderkey").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    order_by = Window.partitionBy("l_orderkey").orderBy("code")
-    first = distinct.withColumn("place", F.row_number().over(order_by)).where("place <= 5")
-    codes = first.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    return extremes.join(codes, "l_orderkey")
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One letter per order: company, body with or without codes, id list."""
     key = F.col("o_orderkey")
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     joined = orders.join(order_codes(spark, sf_dir), orders.o_orderkey == F.col("l_orderkey"), "left")
     picked = joined.select(
         key.cast("string").alias("letter_id"),
@@ -151,7 +177,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with a binary class and the text of the document of the same id."""
-    vectors = spread(table(spark, sf_dir, "embeddings"), "vec_id")
+    vectors = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return vectors.join(docs, "vec_id", "left").select(
         F.col("vec_id").cast("string").alias("letter_id"),
@@ -195,7 +221,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generation requests and responses per order: good, broken, partial or absent."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     key = F.col("o_orderkey")
     good = F.to_json(
         F.struct(

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.sources.letters import CSV, read_table
+from lettermill.sources.letters import CSV, EMPTY_WRITTEN, read_table
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names.
-
-    Only where no shared folder is set, as in tests, a local one is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/lettermill-{uuid.uuid4().hex}"
+    """A new folder below the shared one the cluster names; without that setting, below the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/lettermill-{uuid.uuid4().hex}"
 
 
 def write_letters_csv(letters: DataFrame, path: str) -> None:
-    letters.write.mode("overwrite").options(**{k: CSV[k] for k in ("header", "quote", "escape")}).csv(path)
+    letters.write.mode("overwrite").options(**CSV, emptyValue=EMPTY_WRITTEN).csv(path)
 
 
 def read_letters_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
