@@ -184,8 +184,9 @@ def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
 
     Ranges are cut at quantiles of the ids; a range's first id is all that reaches the driver. Texts move once.
     """
-    ids = docs.select(F.col("doc_id").cast("double").alias("_x"))
-    cuts = sorted({float(x) for x in ids.stat.approxQuantile("_x", [i / buckets for i in range(1, buckets)], 0.2 / buckets)})
+    points = [i / buckets for i in range(1, buckets)] or [0.5]
+    row = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), points, 10 * buckets).alias("cuts")).first()
+    cuts = sorted(set(row["cuts"] or []))
     ranged = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("_x"), "text")
     edges = [float("-inf"), *cuts, float("inf")]
     if len(edges) > 2:
