@@ -110,11 +110,11 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), weight: Column | None = None) ->
 
 
 def _rates(sized: DataFrame, mix: Mix) -> DataFrame:
-    """_source, source_size, target and _rate: expected copies of a document of weight 1."""
+    """_source, source_size, target and _rate: expected copies of a document of weight 1 (null without words)."""
     sums = sized.groupBy("_source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighted"))
     sums = checkpointed(sums)
     targets = source_targets(sums.select("_source", "source_size"), mix)
-    return checkpointed(_by_source(sums.drop("source_size"), targets).withColumn("_rate", F.col("target") / F.col("_weighted")).drop("_weighted"))
+    return checkpointed(_by_source(sums.drop("source_size"), targets).withColumn("_rate", F.try_divide(F.col("target"), F.col("_weighted"))).drop("_weighted"))
 
 
 def _ranked(rows: DataFrame, rates: DataFrame, mix: Mix) -> DataFrame:
