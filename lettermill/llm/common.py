@@ -75,7 +75,8 @@ def labelled_sample(
         share = F.when(F.col("_label") == F.lit(value), F.lit(min(1.0, 2.0 * rows / n))).otherwise(share)
     chosen = known.where(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).select(F.col("doc_id").alias("_id"), "_label")
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.char_length("_text").between(1, max_chars))
-    found = texts.join(chosen, "_id")
+    # About 2 * rows ids for each label, whatever the number of documents.
+    found = texts.join(F.broadcast(chosen), "_id")
     # Each label's texts by id: at most rows per label travel to the driver.
     out = []
     for value in sorted(counts, key=str):
