@@ -727,4 +727,68 @@ def oracle_queries() -> dict[str, str]:
         UNION ALL SELECT 'baseline_confusion_matrix', '', 'p', p FROM matrix
         UNION ALL SELECT 'baseline_confusion_matrix', '', 'count', count FROM matrix)
       SELECT section, item, measure, {r6('value', 'value')} FROM all_rows"""
+    # training: what must hold of any right fit
+    def split_rows(source: str) -> str:
+        return f"""rows AS (SELECT letter_id, class, CASE WHEN {SPLIT} < 7 THEN 'train' ELSE 'test' END AS split FROM {source}),
+        sizes AS (SELECT count(*) FILTER (split = 'train') AS n, count(*) FILTER (split = 'test') AS t,
+          count(*) FILTER (split = 'train' AND class = 0) AS c0, count(*) FILTER (split = 'train' AND class = 1) AS c1 FROM rows)"""
+
+    vectors, real = f"{emb}, {split_rows('letters')}", f"{LET}, {split_rows('letters')}"
+    features = [f"embedding_{i}" for i in range(64)] + list(FEATURES)
+    named = f"SELECT unnest(range({len(features)}))::INTEGER AS position, unnest({array(features)}) AS feature"
+    out["logistic_training"] = f"{named}, 1 AS is_optimal"
+    out["forest_training"] = f"{named}, 1 AS in_range, 1.0::DOUBLE AS total"
+    out["feature_importance"] = f"{named}, 1 AS is_coefficient"
+    out["training_curve"] = "SELECT 0 AS first_iteration, 1 AS never_rises, 1 AS is_numbered, 1 AS falls"
+    out["train_with_folds"] = f"""WITH {vectors}, dealt AS (SELECT class, ((row_number() OVER (
+        PARTITION BY class ORDER BY md5('42:' || letter_id), letter_id) - 1) % 5)::INTEGER AS fold FROM rows WHERE split = 'train')
+      SELECT fold, class, count(*) AS n, 1 AS is_scored, 1 AS record_agrees FROM dealt GROUP BY ALL"""
+    out["predict_letters"] = f"WITH {vectors} SELECT letter_id, class, 1 AS agrees FROM rows WHERE split = 'test'"
+    out["save_and_load_model"] = out["predict_letters"]
+    held = "1 AS metrics_follow, 1 AS is_validated, 1 AS has_probability, 1 AS has_quality"
+
+    def run_rows(settings) -> str:
+        """One row for each (run, family, size, training rows added)."""
+        return " UNION ALL ".join(
+            f"""SELECT '{run}' AS run_id, '{family}' AS family, {size} AS size, (n + {added})::BIGINT AS train_size, t AS test_size,
+              t AS cells, {f'round(n / {size}.0::DOUBLE, 6)' if family == 'synthetic' else '0.0::DOUBLE'} AS ratio, {held} FROM sizes"""
+            for run, family, size, added in settings
+        )
+
+    def made(k: int) -> str:
+        return f"trunc({k} * (c0 / n::DOUBLE)) + trunc({k} * (c1 / n::DOUBLE))"
+
+    first = [("baseline", "baseline", 0, "0")]
+    template = [(f"synthetic_{k}", "synthetic", k, str(k)) for k in (50, 100, 200)]
+    generated = [(f"generated_{k}", "generated", k, made(k)) for k in (50, 100)]
+    kinds = [(k, "classifier", 0, "0") for k in ("logistic", "random_forest")]
+    out["baseline_experiment"] = f"WITH {vectors} {run_rows(first)}"
+    out["augmentation_experiment"] = f"WITH {real} {run_rows(template)}"
+    out["generated_experiment"] = f"WITH {real} {run_rows(generated)}"
+    out["classifier_comparison"] = f"WITH {vectors} {run_rows(kinds)}"
+    out["full_suite"] = f"WITH {real} {run_rows(first + template + generated + kinds)}"
+    head = ["# Отчет по экспериментам классификации страховых писем", "Дата проведения: 20240101_000000", "## Сводка результатов"]
+    titles = {"baseline": "**Базовая модель (только реальные данные):**", "synthetic": "**Лучший результат с синтетическими данными:**",
+              "generated": "**Лучший результат с LLM данными:**"}
+
+    def saved(settings) -> str:
+        families = dict.fromkeys(family for _, family, _, _ in settings)
+        lines = head + [titles[f] for f in families if f in titles]
+        return f"""WITH {real}, runs AS ({run_rows(settings)})
+          SELECT 'run' AS what, run_id AS item, train_size AS n FROM runs
+          UNION ALL SELECT 'predictions', run_id, test_size FROM runs
+          UNION ALL SELECT 'report', unnest({array(lines)}), 1
+          UNION ALL SELECT 'class', class::VARCHAR, count(*) FROM rows WHERE split = 'train' GROUP BY class"""
+
+    out["baseline_mode"] = saved(first)
+    out["synthetic_mode"] = saved(first + template)
+    out["full_mode"] = saved(first + template + generated + kinds) + " UNION ALL SELECT 'dashboard', 'matrix', t FROM sizes"
+    train_letters = f"""{LET.replace("letters AS (", "every_letter AS (", 1)},
+      letters AS (SELECT * FROM every_letter WHERE {SPLIT} < 7), {prep('letters', CODE)}"""
+    out["analysis_mode"] = " UNION ALL ".join([
+        long_rows("quality_metrics", f"WITH {train_letters} {quality}", [], measured),
+        long_rows("class_distribution", f"WITH {train_letters} SELECT class, count(*) AS count FROM prep GROUP BY 1", ["class"], ["count"]),
+        long_rows("company_distribution", f"WITH {train_letters} SELECT insurance_company, count(*) AS count FROM prep GROUP BY 1", ["insurance_company"], ["count"]),
+        long_rows("test_stats", f"WITH {LET} SELECT count(*) AS total_samples FROM letters WHERE {SPLIT} >= 7", [], ["total_samples"]),
+    ])
     return out

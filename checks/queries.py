@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.domain import DEFAULT
@@ -497,7 +497,9 @@ def size_quantiles(spark, sf):
 @query
 def letter_patterns(spark, sf):
     rows = prepared(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    return rounded(analysis.as_long(analysis.letter_patterns(rows)))
+    kept = _kept(rounded(analysis.as_long(analysis.letter_patterns(rows))))
+    rows.unpersist()
+    return kept
 
 
 # --- text vectors ----------------------------------------------------------------------
@@ -704,10 +706,19 @@ def _vector_features(spark, sf):
 
 
 def _splits(spark, sf):
-    rows = _vector_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _vector_features(spark, sf)
     return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Small rows computed now, so that what they are made from can be released."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def _is(condition: Column, name: str) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("int").alias(name)
+
+
 @query
 def document_vectors(spark, sf):
     rows = ft.add_vectors(documents(spark, sf))
@@ -717,9 +728,7 @@ def document_vectors(spark, sf):
 
 @query
 def scaled_features(spark, sf):
-    # Scaling reads the eight numbers twice.
     rows = handcrafted_features(letters(spark, sf)).select("letter_id", *FEATURE_NAMES)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     return rounded(rows.select("letter_id", *ft.scaled(ft.fit_scaler(rows))))
 
 
@@ -736,37 +745,88 @@ def class_weights(spark, sf):
     return rounded(ft.class_weights(inp.labelled(spark, sf)))
 
 
+def _matrix(features: DataFrame, model: clf.TrainedClassifier) -> DataFrame:
+    matrix = ft.feature_matrix(features, model.scaler)
+    return matrix.select("letter_id", "class", ft.vector_to_array(F.col("features")).alias("x"))
+
+
+def _own_probability(model: clf.TrainedClassifier) -> Column:
+    """P(class 1) from the coefficients alone."""
+    coefficients = [float(c) for c in model.model.coefficients.toArray()]
+    return vx.logistic_score(F.col("x"), coefficients, float(model.model.intercept))
+
+
 @query
 def logistic_training(spark, sf):
+    """Whether the gradient of the penalised, class-weighted loss is zero at each fitted coefficient."""
     train, _ = _splits(spark, sf)
-    return clf.feature_importance(clf.train(train, "logistic", "vector"), spark)
+    model = clf.train(train, "logistic", "vector")
+    weights = {r["class"]: r["weight"] for r in ft.class_weights(train).collect()}
+    weight = F.element_at(F.create_map(*[F.lit(v) for pair in weights.items() for v in pair]), F.col("class"))
+    size = train.count()
+    residual = _matrix(train, model).withColumn("r", weight * (_own_probability(model) - F.col("class")))
+    ranked = clf.feature_importance(model, spark)
+    n = ranked.count()
+    sums = residual.agg(F.array(*[F.sum(F.col("r") * F.get("x", F.lit(i))) for i in range(n)]).alias("g"))
+    slopes = sums.select(F.posexplode("g").alias("position", "slope"))
+    joined = ranked.join(slopes, "position")
+    gradient = (F.col("slope") + F.col("importance") / clf.INVERSE_PENALTY) / size
+    return joined.select("position", "feature", _is(F.abs(gradient) < 1e-4, "is_optimal"))
 
 
 @query
 def forest_training(spark, sf):
     train, _ = _splits(spark, sf)
-    return clf.feature_importance(clf.train(train, "random_forest", "vector"), spark)
+    ranked = clf.feature_importance(clf.train(train, "random_forest", "vector"), spark)
+    total = F.round(F.sum("importance").over(Window.partitionBy()), 6)
+    return ranked.select("position", "feature", _is(F.col("importance").between(0, 1), "in_range"), total.alias("total"))
 
 
 @query
 def train_with_folds(spark, sf):
+    """Rows of each fold and class; whether each fold's score and the record on the training rows hold."""
     train, _ = _splits(spark, sf)
     model = clf.train(train, "logistic", "vector")
-    return clf.training_record(model, train, clf.cross_validate(train, parallelism=4))
+    scores = clf.cross_validate(train, parallelism=4)
+    record = clf.training_record(model, train, scores).first()
+    guess = _matrix(train, model).select(F.col("class").alias("y"), (_own_probability(model) > 0.5).cast("int").alias("p"))
+    own = mt.comprehensive_metrics(guess).first()
+    held = {r["fold"]: r["f1_weighted"] for r in scores.collect()}
+    mean = sum(held.values()) / len(held)
+    names = (("train_accuracy", "accuracy"), ("train_precision", "precision_weighted"), ("train_recall", "recall_weighted"), ("train_f1", "f1_weighted"))
+    agrees = all(abs(record[a] - own[b]) < 1e-9 for a, b in names) and abs(record["cv_f1_mean"] - mean) < 1e-9
+    dealt = rk.stratified_folds(train.select("letter_id", "class")).groupBy("fold", "class").agg(F.count("*").alias("n"))
+    scored = F.col("fold").isin([f for f, value in held.items() if 0 < value <= 1])
+    return dealt.select("fold", "class", "n", _is(scored, "is_scored"), F.lit(int(agrees)).alias("record_agrees"))
+
+
+def _checked_predictions(model, rows):
+    found = clf.predict(model, rows).select("letter_id", "prediction", "probability_0", "probability_1")
+    joined = _matrix(rows, model).join(found, "letter_id")
+    own = _own_probability(model)
+    close = (F.abs(own - F.col("probability_1")) < 1e-9) & (F.abs(F.col("probability_0") + F.col("probability_1") - 1) < 1e-9)
+    return joined.select("letter_id", "class", _is(close & ((own > 0.5).cast("int") == F.col("prediction")), "agrees"))
 
 
 @query
 def predict_letters(spark, sf):
+    """Predictions beside those of the coefficients."""
     train, test = _splits(spark, sf)
-    return clf.predict(clf.train(train, "logistic", "vector"), test)
+    return _checked_predictions(clf.train(train, "logistic", "vector"), test)
 
 
 @query
 def save_and_load_model(spark, sf):
+    """Predictions of the loaded model beside those of the coefficients of the saved one."""
     train, test = _splits(spark, sf)
     path = sink.work_folder(spark)
-    clf.save_classifier(clf.train(train, "logistic", "vector"), spark, path)
-    return clf.predict(clf.load_classifier(spark, path), test)
+    model = clf.train(train, "logistic", "vector")
+    clf.save_classifier(model, spark, path)
+    loaded = clf.load_classifier(spark, path)
+    same = (loaded.kind, loaded.vector_source, loaded.scaler) == (model.kind, model.vector_source, model.scaler)
+    before, after = clf.predict(model, test), clf.predict(loaded, test).select("letter_id", F.col("probability_1").alias("after"))
+    joined = before.join(after, "letter_id")
+    return joined.select("letter_id", "class", _is((F.col("after") == F.col("probability_1")) & F.lit(same), "agrees"))
 
 
 @query
@@ -784,15 +844,27 @@ def evaluate_predictions(spark, sf):
 
 @query
 def feature_importance(spark, sf):
+    """Features by the size of their coefficient, the largest first."""
     train, _ = _splits(spark, sf)
-    ranked = clf.feature_importance(clf.train(train, "logistic", "vector"), spark)
-    return ranked.orderBy(F.desc(F.abs("importance")), "position")
+    model = clf.train(train, "logistic", "vector")
+    ranked = clf.feature_importance(model, spark).orderBy(F.desc(F.abs("importance")), "position")
+    coefficients = F.array(*[F.lit(float(c)) for c in model.model.coefficients.toArray()])
+    return ranked.select("position", "feature", _is(F.col("importance") == F.get(coefficients, F.col("position")), "is_coefficient"))
 
 
 @query
 def training_curve(spark, sf):
+    """Where the curve starts, and whether its loss falls from step to step and in all."""
     train, _ = _splits(spark, sf)
-    return clf.training_curve(clf.train(train, "logistic", "vector"), spark)
+    curve = clf.training_curve(clf.train(train, "logistic", "vector"), spark)
+    order = Window.orderBy("iteration")  # a row for each iteration, at most MAX_ITERATIONS
+    steps = curve.withColumns({"before": F.lag("loss").over(order), "place": F.row_number().over(order) - 1})
+    return steps.agg(
+        F.min("iteration").alias("first_iteration"),
+        _is(F.bool_and(F.coalesce(F.col("loss") <= F.col("before") + 1e-12, F.lit(True))), "never_rises"),
+        _is(F.bool_and(F.col("iteration") == F.col("place")), "is_numbered"),
+        _is(F.min_by("loss", "iteration") > F.max_by("loss", "iteration"), "falls"),
+    )
 
 
 # --- metrics ------------------------------------------------------------------------------
@@ -878,60 +950,130 @@ def load_and_analyze(spark, sf):
 
 def _experiment(spark, sf, vectors="hashing"):
     if vectors == "hashing":
-        rows = letters(spark, sf)
-        split = inp.split_of(F.col("letter_id"))
-        train, test = rows.where(split == "train"), rows.where(split == "test")
+        train, test = _letter_splits(spark, sf)
     else:
         rows = inp.embeddings(spark, sf)
         train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
     return experiments.Prepared(train, test, vectors, DEFAULT, parallelism=4)
 
 
+def _letter_splits(spark, sf):
+    rows = letters(spark, sf)
+    split = inp.split_of(F.col("letter_id"))
+    return rows.where(split == "train"), rows.where(split == "test")
+
+
+def _audited(runs):
+    """Runs with their sizes, and whether their numbers hold together.
+
+    All metrics must follow from the confusion matrix, the matrix must hold the test letters, every run must be
+    cross-validated, and a useful model is right more often than wrong.
+    """
+    again = mt.metrics_from_cells(runs.select("run_id", "tn", "fp", "fn", "tp"), absent=0.0)
+    shown = ("accuracy", "f1_weighted", "precision_weighted", "recall_weighted", "precision_class_0", "recall_class_0", "f1_class_0", "precision_class_1", "recall_class_1", "f1_class_1")
+    other = again.select("run_id", *[F.col(m).alias(f"own_{m}") for m in shown])
+    same = F.lit(True)
+    for m in shown:
+        same &= F.abs(F.col(m) - F.col(f"own_{m}")) < 1e-9
+    validated = F.col("cv_f1_mean").between(0, 1) & F.col("cv_f1_std").between(0, 1) & F.col("train_f1").between(0, 1)
+    return runs.join(other, "run_id").select(
+        "run_id",
+        "family",
+        "size",
+        "train_size",
+        "test_size",
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("cells"),
+        F.coalesce(F.round("real_synthetic_ratio", 6), F.lit(0.0)).alias("ratio"),
+        _is(same, "metrics_follow"),
+        _is(validated, "is_validated"),
+        _is(F.col("mean_prob_class_1").between(0, 1), "has_probability"),
+        _is(F.col("mean_quality").between(0, 1) | (F.col("family") != "generated"), "has_quality"),
+    )
+
+
+def _released(data, runs):
+    kept = _kept(_audited(runs))
+    data.release()
+    return kept
+
+
 @query
 def baseline_experiment(spark, sf):
     data = _experiment(spark, sf, "vector")
-    return experiments.baseline(data)
+    return _released(data, experiments.baseline(data))
 
 
 @query
 def augmentation_experiment(spark, sf):
     data = _experiment(spark, sf)
-    return experiments.synthetic_augmentation(data, folds=False)
+    return _released(data, experiments.synthetic_augmentation(data))
 
 
 @query
 def generated_experiment(spark, sf):
     data = _experiment(spark, sf)
-    return experiments.generated_augmentation(data, _answers(spark, sf), folds=False)
+    return _released(data, experiments.generated_augmentation(data, _answers(spark, sf)))
 
 
 @query
 def classifier_comparison(spark, sf):
     data = _experiment(spark, sf, "vector")
-    return experiments.classifier_comparison(data, folds=False)
+    return _released(data, experiments.classifier_comparison(data))
+
+
+LABEL = "20240101_000000"
 
 
 @query
 def full_suite(spark, sf):
-    rows = letters(spark, sf)
-    split = inp.split_of(F.col("letter_id"))
-    return experiments.full_suite(
-        rows.where(split == "train"),
-        rows.where(split == "test"),
-        _answers(spark, sf),
-        folds=False,
-        path=sink.work_folder(spark),
-        run_label="20240101_000000",
-        parallelism=4,
-    )
+    train, test = _letter_splits(spark, sf)
+    runs = experiments.full_suite(train, test, _answers(spark, sf), path=sink.work_folder(spark), run_label=LABEL, parallelism=4)
+    return _audited(runs)
+
+
+def _saved_mode(spark, path):
+    """What a mode has saved: its runs, its sections, and the first lines of its report."""
+    runs = spark.read.schema(experiments.RUN_SCHEMA).json(f"{path}/experiment_{LABEL}")
+    tested = sink.read_predictions(spark, f"{path}/models_{LABEL}").groupBy("run_id").agg(F.count("*").alias("n"))
+    report = spark.read.text(f"{path}/report_{LABEL}").where(F.col("value").rlike("^(#|Дата|\\*)"))
+    distribution = spark.read.schema("class int, count bigint").json(f"{path}/analysis_{LABEL}/class_distribution")
+    rows = [
+        runs.select(F.lit("run").alias("what"), F.col("run_id").alias("item"), F.col("train_size").alias("n")),
+        tested.select(F.lit("predictions").alias("what"), F.col("run_id").alias("item"), "n"),
+        report.select(F.lit("report").alias("what"), F.col("value").alias("item"), F.lit(1).cast("bigint").alias("n")),
+        distribution.select(F.lit("class").alias("what"), F.col("class").cast("string").alias("item"), F.col("count").alias("n")),
+    ]
+    return pf.union_all(rows)
+
+
+@query
+def analysis_mode(spark, sf):
+    train, test = _letter_splits(spark, sf)
+    sections = experiments.run_analysis(train, test, path=sink.work_folder(spark), run_label=LABEL)
+    return rounded(analysis.as_long({name: sections[name] for name in ("quality_metrics", "class_distribution", "company_distribution", "test_stats")}))
+
+
+@query
+def baseline_mode(spark, sf):
+    path = sink.work_folder(spark)
+    experiments.run_baseline(*_letter_splits(spark, sf), path=path, run_label=LABEL, parallelism=4)
+    return _saved_mode(spark, path)
 
 
 @query
 def synthetic_mode(spark, sf):
-    rows = letters(spark, sf)
-    split = inp.split_of(F.col("letter_id"))
-    train, test = rows.where(split == "train"), rows.where(split == "test")
-    return experiments.run_synthetic(train, test, sizes=(50, 100), folds=False, parallelism=4)
+    path = sink.work_folder(spark)
+    experiments.run_synthetic(*_letter_splits(spark, sf), path=path, run_label=LABEL, parallelism=4)
+    return _saved_mode(spark, path)
+
+
+@query
+def full_mode(spark, sf):
+    path = sink.work_folder(spark)
+    experiments.run_full(*_letter_splits(spark, sf), _answers(spark, sf), path=path, run_label=LABEL, parallelism=4)
+    matrix = spark.read.schema("y int, p int, count bigint").json(f"{path}/dashboard_{LABEL}/baseline_confusion_matrix")
+    tested = matrix.agg(F.sum("count").alias("n"))
+    return _saved_mode(spark, path).unionByName(tested.select(F.lit("dashboard").alias("what"), F.lit("matrix").alias("item"), "n"))
 
 
 @query

@@ -32,10 +32,6 @@ DEPTH = 10
 SEED = 42
 FOLDS = 5
 
-# A fit launches one job per iteration. Tasks of fewer rows than this would cost
-# more to launch than to run.
-ROWS_PER_FIT_TASK = 50_000
-
 T = TypeVar("T")
 
 SAVED = "classifier_type string, vector_source string, means array<double>, deviations array<double>"
@@ -54,7 +50,7 @@ def check_kind(kind: str) -> None:
         raise ValueError(f"unsupported classifier type: {kind}")
 
 
-def side_by_side(tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
+def side_by_side(tasks: Sequence[Callable[[], T]], parallelism: int, spark: SparkSession) -> list[T]:
     """Run independent fits from that many driver threads.
 
     A fit is a chain of short jobs, so several of them share the cluster well
@@ -62,7 +58,7 @@ def side_by_side(tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
     """
     if parallelism <= 1 or len(tasks) <= 1:
         return [task() for task in tasks]
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    inherit = inheritable_thread_target(spark)
     with ThreadPool(min(parallelism, len(tasks))) as pool:
         return pool.map(lambda task: task(), [inherit(task) for task in tasks])
 
@@ -83,7 +79,6 @@ def _fit(matrix: DataFrame, kind: str, counts: dict[int, int]):
     for label, n in counts.items():
         weight = F.when(F.col("class") == label, F.lit(total / (len(counts) * n))).otherwise(weight)
     weighted = matrix.select(F.col("class").cast("double").alias("label"), "features", weight.alias("weight"))
-    weighted = weighted.coalesce(max(1, -(-total // ROWS_PER_FIT_TASK)))
     if kind == "logistic":
         estimator = LogisticRegression(
             maxIter=MAX_ITERATIONS,
@@ -135,9 +130,9 @@ def _judged(predictions: DataFrame) -> DataFrame:
     return predictions.withColumnsRenamed({"class": "y", "prediction": "p"})
 
 
-def evaluate(classifier: TrainedClassifier, features: DataFrame) -> DataFrame:
-    """One row of test metrics."""
-    return evaluation(_judged(predict(classifier, features)), "probability_1")
+def evaluate(classifier: TrainedClassifier, features: DataFrame, cells: bool = False) -> DataFrame:
+    """One row of test metrics, with the four counts of the confusion matrix if asked for."""
+    return evaluation(_judged(predict(classifier, features)), "probability_1", cells=cells)
 
 
 def cross_validate(
@@ -173,7 +168,7 @@ def cross_validate(
     dealt_folds = sorted({r["fold"] for r in counted})
     if len(dealt_folds) < 2:
         raise ValueError("too few labelled rows to cross-validate")
-    parts = side_by_side([lambda f=f: held_out(f) for f in dealt_folds], parallelism)
+    parts = side_by_side([lambda f=f: held_out(f) for f in dealt_folds], parallelism, features.sparkSession)
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

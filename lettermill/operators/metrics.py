@@ -79,11 +79,12 @@ def comprehensive_metrics(predictions: DataFrame, by: Sequence[str] = (), weight
     return metrics_from_cells(confusion_cells(predictions, by, weight))
 
 
-def evaluation(predictions: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """The record of a classifier's test run; an absent class scores 0."""
+def evaluation(predictions: DataFrame, score: str, by: Sequence[str] = (), cells: bool = False) -> DataFrame:
+    """The record of a classifier's test run; an absent class scores 0. cells: also tn, fp, fn and tp."""
     rows = metrics_from_cells(confusion_cells(predictions, by, score=score), absent=0.0)
     per_class = [f"{m}_class_{c}" for c in (0, 1) for m in ("precision", "recall", "f1")]
-    return rows.select(*by, *HEADLINE, *per_class, "mean_prob_class_1")
+    counts = ("tn", "fp", "fn", "tp") if cells else ()
+    return rows.select(*by, *counts, *HEADLINE, *per_class, "mean_prob_class_1")
 
 
 def confusion_rates(predictions: DataFrame) -> DataFrame:

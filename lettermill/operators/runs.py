@@ -31,6 +31,7 @@ REPORT_GENERATED_SIZE = "- Размер LLM выборки: "
 REPORT_IMPROVEMENT = "- Улучшение: +"
 REPORT_QUALITY = "- Средняя оценка качества: "
 NO_RESULTS = "No experiment results available"
+# End of the fixed values.
 
 
 def compare_runs(runs: DataFrame, metrics: Sequence[str] = HEADLINE) -> DataFrame:
@@ -183,8 +184,16 @@ def dashboard(runs: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def matrix_of_run(runs: DataFrame, family: str) -> DataFrame:
+    """The confusion matrix (y, p, count) that a family's run carries."""
+    cells = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(p).alias("p"), F.col(c).alias("count")) for y, p, c in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))])
+    return runs.where(F.col("family") == family).select(F.inline(cells))
+
+
 def summary_lines(runs: DataFrame, run_label: str) -> DataFrame:
-    """The report as (line_number, line): one section per family that has runs."""
+    """The report as (line_number, line): one section per family that has runs; one line if there is none."""
+    if runs.isEmpty():
+        return runs.sparkSession.createDataFrame([(0, NO_RESULTS)], "line_number int, line string")
     summary = run_summary(runs)
     three = lambda c: F.format_string("%.3f", F.col(c))
     whole = lambda c: F.col(c).cast("string")

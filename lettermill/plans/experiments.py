@@ -19,6 +19,7 @@ from lettermill.operators.classifier import (
     TrainedClassifier,
     cross_validate,
     evaluate,
+    predict,
     save_classifier,
     side_by_side,
     train,
@@ -26,10 +27,17 @@ from lettermill.operators.classifier import (
 )
 from lettermill.operators.features import raw_features
 from lettermill.operators.requests import generated_set, generation_requests
-from lettermill.operators.runs import results_table, run_summary, summary_lines
+from lettermill.operators.runs import best_runs, dashboard, matrix_of_run, results_table, run_summary, summary_lines
 from lettermill.operators.synth import class_counts, ratio_preserving_set, split_size
 from lettermill.plans.analysis import load_and_analyze
-from lettermill.sources.results import write_letters_csv, write_report, write_results_table, write_runs
+from lettermill.sources.results import (
+    write_analysis,
+    write_letters_csv,
+    write_predictions,
+    write_report,
+    write_results_table,
+    write_runs,
+)
 
 # Default numbers of added letters.
 SYNTHETIC_SIZES = (50, 100, 200)
@@ -37,6 +45,7 @@ GENERATED_SIZES = (50, 100)
 
 RUN_SCHEMA = (
     "run_id string, family string, size int, train_size bigint, test_size bigint, mean_quality double, "
+    "real_synthetic_ratio double, tn bigint, fp bigint, fn bigint, tp bigint, "
     "accuracy double, f1_weighted double, precision_weighted double, recall_weighted double, "
     "precision_class_0 double, recall_class_0 double, f1_class_0 double, "
     "precision_class_1 double, recall_class_1 double, f1_class_1 double, mean_prob_class_1 double, "
@@ -83,19 +92,25 @@ def _run(
     folds: bool = True,
     model_path: str | None = None,
 ) -> DataFrame:
-    """Train, cross-validate and test once; the result is one row of metrics."""
+    """Train, cross-validate and test once; the result is one row of metrics and the confusion matrix.
+
+    With a path, the model and the tested letters' predictions and probabilities are saved there.
+    """
     spark = features.sparkSession
     model = train(features, kind, data.vectors)
     scores = cross_validate(features, kind, parallelism=data.parallelism) if folds else None
     fitted = training_record(model, features, scores).first().asDict()
-    tested = evaluate(model, data.test).first().asDict()
+    tested = evaluate(model, data.test, cells=True).first().asDict()
     if model_path is not None:
         save_classifier(model, spark, f"{model_path}/{run_id}_model")
+        write_predictions(predict(model, data.test), model_path, run_id)
+    train_size = features.count()
     row = {
         "run_id": run_id,
         "family": family,
         "size": size,
-        "train_size": features.count(),
+        "train_size": train_size,
+        "real_synthetic_ratio": (train_size - size) / size if family == "synthetic" else None,
         "test_size": data.test_size,
         "mean_quality": quality,
         **tested,
@@ -132,7 +147,7 @@ def synthetic_augmentation(
         features.unpersist()
         return row
 
-    rows = side_by_side([lambda s=s: one(s) for s in sizes], data.parallelism)
+    rows = side_by_side([lambda s=s: one(s) for s in sizes], data.parallelism, data.train.sparkSession)
     return _together(rows, data.train.sparkSession)
 
 
@@ -163,7 +178,7 @@ def generated_augmentation(
         extra.unpersist()
         return row
 
-    return _together(side_by_side([lambda s=s: one(s) for s in sizes], data.parallelism), spark)
+    return _together(side_by_side([lambda s=s: one(s) for s in sizes], data.parallelism, data.train.sparkSession), spark)
 
 
 def classifier_comparison(
@@ -174,7 +189,7 @@ def classifier_comparison(
     def one(kind: str) -> DataFrame:
         return _run(data, data.train, kind, "classifier", 0, kind, folds=folds, model_path=path)
 
-    rows = side_by_side([lambda k=k: one(k) for k in kinds], data.parallelism)
+    rows = side_by_side([lambda k=k: one(k) for k in kinds], data.parallelism, data.train.sparkSession)
     return _together(rows, data.train.sparkSession)
 
 
@@ -189,9 +204,8 @@ def full_suite(
     run_label: str = "unlabelled",
     parallelism: int = 1,
 ) -> DataFrame:
-    """All four experiments; with `path`, also the analysis, models, table and report are saved."""
-    if path is not None:
-        load_and_analyze(train_letters, test_letters, domain, f"{path}/analysis_{run_label}")
+    """The analysis and all four experiments; with `path`, analysis, models, predictions, table and report are saved."""
+    _analysed(train_letters, test_letters, domain, path, run_label)
     data = Prepared(train_letters, test_letters, vectors, domain, parallelism)
     out = None if path is None else f"{path}/models_{run_label}"
     runs = _together(
@@ -204,6 +218,15 @@ def full_suite(
         train_letters.sparkSession,
     )
     data.release()
+    return _reported(runs, path, run_label)
+
+
+def _analysed(train: DataFrame, test: DataFrame, domain: Domain, path: str | None, run_label: str) -> dict[str, DataFrame]:
+    return load_and_analyze(train, test, domain, None if path is None else f"{path}/analysis_{run_label}")[2]
+
+
+def _reported(runs: DataFrame, path: str | None, run_label: str) -> DataFrame:
+    """The same runs; with `path`, they are saved with their table and report."""
     if path is not None:
         write_runs(runs, path, run_label)
         write_results_table(results_table(runs), f"{path}/table_{run_label}")
@@ -211,22 +234,35 @@ def full_suite(
     return runs
 
 
-# --- the four ways of running it all -------------------------------------------
+# --- the four ways of running it all: each starts with the analysis and ends with the report -----
 
 
 def run_analysis(
-    train_letters: DataFrame, test_letters: DataFrame, domain: Domain = DEFAULT, path: str | None = None
+    train_letters: DataFrame,
+    test_letters: DataFrame,
+    domain: Domain = DEFAULT,
+    path: str | None = None,
+    run_label: str = "unlabelled",
 ) -> dict[str, DataFrame]:
-    return load_and_analyze(train_letters, test_letters, domain, path)[2]
+    """All sections of the analysis."""
+    return _analysed(train_letters, test_letters, domain, path, run_label)
 
 
 def run_baseline(
-    train_letters: DataFrame, test_letters: DataFrame, vectors: str = "hashing", domain: Domain = DEFAULT
+    train_letters: DataFrame,
+    test_letters: DataFrame,
+    vectors: str = "hashing",
+    domain: Domain = DEFAULT,
+    path: str | None = None,
+    run_label: str = "unlabelled",
+    parallelism: int = 1,
 ) -> DataFrame:
-    data = Prepared(train_letters, test_letters, vectors, domain)
-    rows = baseline(data)
+    """Real letters only: its one run."""
+    _analysed(train_letters, test_letters, domain, path, run_label)
+    data = Prepared(train_letters, test_letters, vectors, domain, parallelism)
+    runs = baseline(data, path=None if path is None else f"{path}/models_{run_label}")
     data.release()
-    return rows
+    return _reported(runs, path, run_label)
 
 
 def run_synthetic(
@@ -236,13 +272,17 @@ def run_synthetic(
     vectors: str = "hashing",
     domain: Domain = DEFAULT,
     folds: bool = True,
+    path: str | None = None,
+    run_label: str = "unlabelled",
     parallelism: int = 1,
 ) -> DataFrame:
     """Baseline and template augmentation, summarised."""
+    _analysed(train_letters, test_letters, domain, path, run_label)
     data = Prepared(train_letters, test_letters, vectors, domain, parallelism)
-    runs = baseline(data, folds=folds).unionByName(synthetic_augmentation(data, sizes, folds=folds))
+    out = None if path is None else f"{path}/models_{run_label}"
+    runs = baseline(data, folds=folds, path=out).unionByName(synthetic_augmentation(data, sizes, folds=folds, path=out))
     data.release()
-    return run_summary(runs)
+    return run_summary(_reported(runs, path, run_label))
 
 
 def run_full(
@@ -255,5 +295,8 @@ def run_full(
     run_label: str = "unlabelled",
     parallelism: int = 1,
 ) -> DataFrame:
+    """The full suite with the tables of its dashboard, summarised."""
     runs = full_suite(train_letters, test_letters, responses, vectors, domain, True, path, run_label, parallelism)
+    if path is not None:
+        write_analysis(dashboard(runs, matrix_of_run(best_runs(runs), "baseline")), f"{path}/dashboard_{run_label}")
     return run_summary(runs)

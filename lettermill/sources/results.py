@@ -37,6 +37,16 @@ def write_runs(runs: DataFrame, base: str, run_label: str) -> str:
     return path
 
 
+def write_predictions(predictions: DataFrame, base: str, run_id: str) -> None:
+    """Predictions and probabilities of one run's tested letters, by run."""
+    predictions.write.mode("overwrite").parquet(f"{base}/predictions/run_id={run_id}")
+
+
+def read_predictions(spark: SparkSession, base: str) -> DataFrame:
+    """Those of all saved runs, with a column run_id."""
+    return spark.read.parquet(f"{base}/predictions")
+
+
 def write_results_table(table: DataFrame, path: str) -> None:
     """A few rows, so one file."""
     table.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
