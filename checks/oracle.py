@@ -9,6 +9,12 @@ from __future__ import annotations
 from lettermill import domain as dm
 from lettermill.plans import inputs as inp
 
+# The literals of the query parse_id_forms; what they hold is written by hand in its SQL.
+ID_FORMS = (
+    "[{k}.9, -{k}]", "['{k}', \"{k}\"]", "({k}, 2)", "{{k}: 1}", "[None, {k}]", "[+{k}, - {k}]", "00{k}", "[1_000, {k}]",
+    "[0x10, 0o17, 0b101, {k}]", "[({k}), 1]", "{k}; {k}", None, "['a', {k}]",
+)
+
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 NOT_WS = r"[^\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -383,6 +389,11 @@ def oracle_queries() -> dict[str, str]:
     out["text_length"] = f"WITH {DPREP} SELECT letter_id, text_length FROM prep"
     out["word_count"] = f"WITH {DPREP} SELECT letter_id, num_words FROM prep"
     out["parse_id_lists"] = f"WITH {PREP} SELECT letter_id, parsed_service_ids AS service_ids FROM prep"
+    ids = ["k || '|' || m", "k || '|' || k", "''", "''", "''", "k || '|' || m", "k", "'1000|' || k", "'16|15|5|' || k", "k || '|1'", "k || '|' || k", "''", "k"]
+    raws = " ".join(f"WHEN {i} THEN replace({q(f)}, '{{k}}', k)" for i, f in enumerate(ID_FORMS) if f)
+    expected = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(ids))
+    out["parse_id_forms"] = f"""SELECT o_orderkey, CASE o_orderkey % {len(ids)} {raws} END AS raw,
+      CASE o_orderkey % {len(ids)} {expected} END AS ids FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k, (-o_orderkey)::VARCHAR AS m FROM orders)"""
     out["code_prefix"] = f"""WITH {PREP} SELECT DISTINCT code, substr(code, 1, 3) AS prefix
       FROM (SELECT unnest(codes) AS code FROM prep)"""
     out["diagnosis_codes"] = rf"""WITH {LET} SELECT letter_id,

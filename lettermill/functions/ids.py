@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EXP = r"(?:[eE][+-]?[0-9]+)"
-_NUMBER = rf"[+-]?[ \t]*(?:[0-9]+\.[0-9]*{_EXP}?|\.[0-9]+{_EXP}?|[0-9]+{_EXP}|0+(?![0-9.])|[1-9][0-9]*(?![0-9.]))"
+# Digits may be parted by single underscores.
+_DIGITS = r"[0-9](?:_?[0-9])*"
+_BASED = r"0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+"
+_NUMBER = rf"[+-]?[ \t]*(?:{_BASED}|{_DIGITS}\.(?:{_DIGITS})?{_EXP}?|\.{_DIGITS}{_EXP}?|{_DIGITS}{_EXP}|0(?:_?0)*(?![0-9._xXoObBjJ])|[1-9](?:_?[0-9])*(?![0-9._jJ]))"
 _QUOTED = r"'[^'\\\n]*'|\"[^\"\\\n]*\""
-_ITEM = rf"(?:{_NUMBER}|{_QUOTED}|True|False)"
+_ITEM = rf"(?:{_NUMBER}|\(\s*{_NUMBER}\s*\)|{_QUOTED}|True|False)"
 _ANY = rf"(?:{_ITEM}|None)"
 _ITEMS = rf"(?:{_ITEM}(?:\s*,\s*{_ITEM})*\s*,?)?"
 
@@ -26,10 +29,16 @@ _OTHER = rf"(?:{_TUPLE})|(?:{_DICT})|(?:{_SET})|^(?:{_QUOTED}|None|\.\.\.)$"
 
 def _to_long(item: Column) -> Column:
     """One literal as a whole number; fractions are cut off towards zero."""
-    bare = F.regexp_replace(item, r"['\" \t]", "")
+    bare = F.regexp_replace(item, r"['\"\s()_]", "")
+    sign = F.when(bare.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    number = F.regexp_extract(bare, r"^[+-]?0[xXoObB]([0-9a-fA-F]+)$", 1)
+    based = F.lit(None).cast("string")
+    for mark, base in (("[xX]", 16), ("[oO]", 8), ("[bB]", 2)):
+        based = F.when(bare.rlike(rf"^[+-]?0{mark}"), F.conv(number, base, 10)).otherwise(based)
     return (
         F.when(item == "True", F.lit(1).cast("bigint"))
         .when(item == "False", F.lit(0).cast("bigint"))
+        .when(bare.rlike(r"^[+-]?0[xXoObB]"), based.try_cast("bigint") * sign)
         .when(bare.rlike(r"^[+-]?[0-9]+$"), bare.try_cast("bigint"))
         .otherwise(bare.try_cast("double").try_cast("bigint"))
     )
@@ -40,7 +49,8 @@ def parse_service_ids(raw: Column) -> Column:
 
     A Python list literal gives its numbers, a lone number a one-item array,
     any other literal an empty one; text that is no literal gives every run
-    of digits. A number beyond bigint becomes a null item.
+    of digits. A number beyond bigint becomes a null item. Not told apart from text: complex numbers, byte strings and
+    strings written side by side.
     """
     empty = F.array().cast("array<bigint>")
     text = F.btrim(raw, F.lit(" \t\n\r\f\x0b"))

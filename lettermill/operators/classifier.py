@@ -26,6 +26,7 @@ from lettermill.operators.ranking import stratified_folds
 # Fixed values of the two classifiers.
 KINDS = ("logistic", "random_forest")
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-4
 INVERSE_PENALTY = 1.0
 TREES = 100
 DEPTH = 10
@@ -82,6 +83,7 @@ def _fit(matrix: DataFrame, kind: str, counts: dict[int, int]):
     if kind == "logistic":
         estimator = LogisticRegression(
             maxIter=MAX_ITERATIONS,
+            tol=TOLERANCE,
             regParam=1.0 / (INVERSE_PENALTY * total),
             elasticNetParam=0.0,
             standardization=False,

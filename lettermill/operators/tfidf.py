@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -212,28 +212,32 @@ def similar_letters_batch(
     n: int = 5,
     key: str = "letter_id",
     block_size: int = 1024,
-    chunk_size: int = 4096,
 ) -> DataFrame:
     """The n letters most like each target: (target_id, key, similarity, position).
 
-    A letter with the target's own key is left out. Up to `block_size` targets
-    are broadcast as one matrix, and tasks multiply their letters by it. More
-    targets are cut into blocks and the letters into chunks by a hash of the
-    key, and every (chunk, block) cell is one bounded group. Either way a task
-    keeps the n best letters per target, so no table of pairs is shuffled.
+    A letter with the target's own key is left out. Targets go out in blocks of about `block_size`, each sent to the
+    tasks as one matrix; letters are never shuffled, and a task gives exactly its n best letters for a target. The
+    letters' vectors are kept while blocks are compared; `letters.sparkSession.catalog.clearCache()` releases them.
     """
     corpus = _vectors(letters, model, key)
     wanted = _vectors(targets, model, key)
     schema = _match_schema(corpus, key)
-    found = wanted.limit(block_size + 1).toPandas()
-    if len(found) == 0:
-        return letters.sparkSession.createDataFrame([], schema + ", position int")
-    if len(found) <= block_size:
-        block = (found[key].to_numpy(), np.vstack(found["vector"].to_numpy()))
-        shared = letters.sparkSession.sparkContext.broadcast(block)
-        matches = corpus.mapInPandas(_best_of_task(shared, n, key), schema)
-    else:
-        matches = _best_of_cells(corpus, wanted, n, key, block_size, chunk_size, schema)
+    spark = letters.sparkSession
+    blocks = math.ceil(wanted.count() / block_size)
+    if not blocks:
+        return spark.createDataFrame([], schema + ", position int")
+    if blocks > 1:
+        corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
+    place = F.pmod(F.xxhash64(key), F.lit(blocks))
+    parts = []
+    for i in range(blocks):
+        found = wanted.where(place == i).toPandas()
+        if len(found):
+            shared = spark.sparkContext.broadcast((found[key].to_numpy(), np.vstack(found["vector"].to_numpy())))
+            parts.append(corpus.mapInPandas(_best_of_task(shared, n, key), schema))
+    matches = parts[0]
+    for part in parts[1:]:
+        matches = matches.unionByName(part)
     order = Window.partitionBy("target_id").orderBy(F.desc("similarity"), F.asc(key))
     return matches.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
 
@@ -249,12 +253,16 @@ def _match_schema(corpus: DataFrame, key: str) -> str:
 
 
 def _best(ids, letter_vectors, target_ids, target_vectors, n: int, key: str) -> pd.DataFrame:
-    """The n best of some letters per target, and whatever ties with the last of them."""
+    """The n best of some letters per target; of equal scores the smallest ids."""
+    order = np.argsort(ids, kind="stable")
+    ids, letter_vectors = ids[order], letter_vectors[order]
     scores = np.round(letter_vectors @ target_vectors.T, SCORE_DECIMALS)
     scores[ids[:, None] == target_ids[None, :]] = -1.0
     cut = min(n, len(ids))
     floor = np.partition(scores, len(ids) - cut, axis=0)[len(ids) - cut]
-    row, column = np.nonzero((scores >= floor) & (scores >= 0))
+    above, tie = scores > floor, scores == floor
+    keep = above | (tie & (np.cumsum(tie, axis=0) <= cut - above.sum(axis=0)))
+    row, column = np.nonzero(keep & (scores >= 0))
     return pd.DataFrame({"target_id": target_ids[column], key: ids[row], "similarity": scores[row, column] + 0.0})
 
 
@@ -280,32 +288,6 @@ def _best_of_task(shared, n: int, key: str):
     return best
 
 
-def _best_of_cells(
-    corpus: DataFrame, wanted: DataFrame, n: int, key: str, block_size: int, chunk_size: int, schema: str
-) -> DataFrame:
-    """The n best letters per target within each cell of a chunk and a block."""
-    blocks = math.ceil(wanted.count() / block_size)
-    chunks = max(1, math.ceil(corpus.count() / chunk_size))
-
-    def part(count: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = corpus.select("*", part(chunks).alias("chunk"), every(blocks).alias("block"))
-    right = wanted.select("*", part(blocks).alias("block"), every(chunks).alias("chunk"))
-
-    def cell(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"target_id": [], key: [], "similarity": []})
-        mine, theirs = np.vstack(own["vector"].to_numpy()), np.vstack(asked["vector"].to_numpy())
-        return _first_n(_best(own[key].to_numpy(), mine, asked[key].to_numpy(), theirs, n, key), n, key)
-
-    grouped = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block"))
-    return grouped.applyInPandas(cell, schema)
-
-
 def embedding_similarity(embeddings: DataFrame, target_id, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Cosine of every supplied vector to that of a target."""
     found = embeddings.where(F.col(key) == target_id).select(column).first()

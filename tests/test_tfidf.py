@@ -80,14 +80,14 @@ def test_similar_letters(corpus):
         ti.similar_letters(corpus, model, "none")
 
 
-@pytest.mark.parametrize("block_size, chunk_size, parts", [(1024, 4096, 1), (60, 4096, 5), (7, 11, 5), (59, 60, 3)])
-def test_batch_equals_brute_force_with_copies(spark, block_size, chunk_size, parts):
+@pytest.mark.parametrize("block_size, parts", [(1024, 1), (60, 5), (7, 5), (59, 3)])
+def test_batch_equals_brute_force_with_copies(spark, block_size, parts):
     """A third of the letters are copies of one text."""
     texts = ["same words here"] * 20 + [f"word{i % 7} word{i % 5} here" for i in range(40)]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "letter_id string, text_cleaned string")
     df = df.repartition(parts)
     model = ti.fit_tfidf(df, 200, (1, 1))
-    found = ti.similar_letters_batch(df, df, model, 4, block_size=block_size, chunk_size=chunk_size).collect()
+    found = ti.similar_letters_batch(df, df, model, 4, block_size=block_size).collect()
     for target in range(len(texts)):
         own = sorted((r.position, r.letter_id, r.similarity) for r in found if r.target_id == str(target))
         expected = nearest_by_hand(texts, target, 4)
