@@ -43,6 +43,9 @@ HEADLINE = (
     "wilcoxon_test",
     "run_summary",
     "logistic_training",
+    "forest_training",
+    "train_with_folds",
+    "letter_patterns",
 )
 
 
@@ -57,6 +60,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.lettermill.inputTasks", cpus if cpus.isdigit() else "8")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

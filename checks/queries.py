@@ -109,7 +109,8 @@ def read_service_catalogue(spark, sf):
 
 def _synthetic(spark, sf):
     base = letters(spark, sf)
-    return sy.ratio_preserving_set(base, 2 * base.count())
+    counts = sy.class_counts(base)
+    return sy.ratio_preserving_set(base, 2 * counts[0], counts=counts)
 
 
 def _edges(spark, sf):
@@ -1070,7 +1071,7 @@ def _saved_mode(spark, path):
 @query
 def analysis_mode(spark, sf):
     train, test = _letter_splits(spark, sf)
-    sections = experiments.run_analysis(train, test, path=sink.work_folder(spark), run_label=LABEL)
+    sections = experiments.run_analysis(train, test, path=sink.work_folder(spark))
     return rounded(analysis.as_long({name: sections[name] for name in ("quality_metrics", "class_distribution", "company_distribution", "test_stats")}))
 
 

@@ -46,14 +46,12 @@ def running_sums(df: DataFrame, column: str, sums: dict[str, Column]) -> DataFra
     inside = Window.partitionBy("range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumns({f"{n}_inside": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in sums})
 
-    # Totals per range come straight from the rows, which shuffles one row per
-    # task and range. The window without partitions and the broadcast are
-    # bounded by the number of ranges.
+    # Totals per range come from the same tallies, so the rows are counted once. The window without partitions and
+    # the broadcast are bounded by the number of ranges.
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketizer.transform(present)
-        .groupBy("range")
-        .agg(*[value.alias(name) for name, value in sums.items()])
+        placed.groupBy("range")
+        .agg(*[F.sum(name).alias(name) for name in sums])
         .select("range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_offset") for n in sums])
     )
     joined = local.join(F.broadcast(offsets), "range")

@@ -130,10 +130,11 @@ def ratio_preserving_set(
     seed: int = 42,
     rounding: str = "remainder",
     domain: Domain = DEFAULT,
+    counts: tuple[int, int, int] | None = None,
 ) -> DataFrame:
-    """Letters that bring the set to `target_size` and keep its class ratio."""
+    """Letters that bring the set to `target_size` and keep its class ratio; counts: of its classes, if known."""
     spark = letters.sparkSession
-    counts = class_counts(letters)
+    counts = counts or class_counts(letters)
     missing = max(0, target_size - counts[0])
     if missing == 0:
         return spark.createDataFrame([], SCHEMA)

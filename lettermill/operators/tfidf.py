@@ -126,15 +126,17 @@ def fit_tfidf(
     ngram_range: tuple[int, int] = (1, 3),
     text_col: str = "text_cleaned",
 ) -> TfidfModel:
-    """Choose the vocabulary and count the letters each term occurs in."""
+    """Choose the vocabulary and count the letters each term occurs in; the texts are cut into words once."""
     low, high = ngram_range
-    words = letters.select(text.tokens(F.col(text_col)).alias("words"))
+    words = letters.select(text.tokens(F.col(text_col)).alias("words")).persist(StorageLevel.MEMORY_AND_DISK)
+    size = words.count()
     ranked = _vocabulary(words, max_features, low, high)
+    words.unpersist()
     return TfidfModel(
         tuple(t for t, _, _ in ranked),
         tuple(n for _, n, _ in ranked),
         tuple(df for _, _, df in ranked),
-        letters.count(),
+        size,
         ngram_range,
     )
 

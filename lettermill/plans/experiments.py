@@ -137,10 +137,10 @@ def synthetic_augmentation(
     path: str | None = None,
 ) -> DataFrame:
     """Real letters plus `size` template letters, for each size."""
-    total = class_counts(data.train)[0]
+    counts = class_counts(data.train)
 
     def one(size: int) -> DataFrame:
-        extra = ratio_preserving_set(data.train, total + size, domain=data.domain)
+        extra = ratio_preserving_set(data.train, counts[0] + size, domain=data.domain, counts=counts)
         features = data.train.unionByName(data.features(extra), allowMissingColumns=True)
         features = features.persist(StorageLevel.MEMORY_AND_DISK)
         row = _run(data, features, f"synthetic_{size}", "synthetic", size, kind, folds=folds, model_path=path)
@@ -238,14 +238,10 @@ def _reported(runs: DataFrame, path: str | None, run_label: str) -> DataFrame:
 
 
 def run_analysis(
-    train_letters: DataFrame,
-    test_letters: DataFrame,
-    domain: Domain = DEFAULT,
-    path: str | None = None,
-    run_label: str = "unlabelled",
+    train_letters: DataFrame, test_letters: DataFrame, domain: Domain = DEFAULT, path: str | None = None
 ) -> dict[str, DataFrame]:
-    """All sections of the analysis."""
-    return _analysed(train_letters, test_letters, domain, path, run_label)
+    """All sections of the analysis; with `path`, they are saved there."""
+    return load_and_analyze(train_letters, test_letters, domain, path)[2]
 
 
 def run_baseline(

@@ -87,3 +87,20 @@ def test_latest_run(runs, spark, tmp_path):
     sink.write_runs(runs, str(tmp_path), "a")
     found = sink.latest_runs(spark, str(tmp_path), schema)
     assert found.count() == 4 and {r.experiment for r in found.collect()} == {"a"}
+
+
+def test_no_runs_give_one_line(runs):
+    assert [r.line for r in rn.summary_lines(runs.where("false"), "x").collect()] == [rn.NO_RESULTS]
+
+
+def test_matrix_of_a_run(spark):
+    table = spark.createDataFrame([("baseline", 5, 1, 2, 7), ("synthetic", 0, 0, 0, 1)], "family string, tn long, fp long, fn long, tp long")
+    assert rows(rn.matrix_of_run(table, "baseline"), "y", "p") == [(0, 0, 5), (0, 1, 1), (1, 0, 2), (1, 1, 7)]
+
+
+def test_predictions_are_kept_by_run(spark, tmp_path):
+    found = spark.createDataFrame([("a", 1, 0.25, 0.75)], "letter_id string, prediction int, probability_0 double, probability_1 double")
+    for run in ("baseline", "synthetic_50"):
+        sink.write_predictions(found, str(tmp_path), run)
+    read = sink.read_predictions(spark, str(tmp_path))
+    assert sorted((r.run_id, r.letter_id, r.probability_1) for r in read.collect()) == [("baseline", "a", 0.75), ("synthetic_50", "a", 0.75)]
