@@ -6,8 +6,11 @@ the exclusive or of whole blocks and counts bits; blocks are ordered by populati
 differ by more than the radius are skipped. A tile gives a spanning forest of its links, not all pairs, so a group of
 near copies costs links in proportion to its size. No pair within the radius is lost.
 
-Cells: the population counts of the parts of a fingerprint (`popcount_cells`: counts within the radius of each other
-in sum), or bands of text length (`length_cells`: a similarity of `s` bounds the ratio of lengths).
+Cells: the population counts of the parts of a fingerprint (`popcount_cells`: exact, as counts within the radius of each
+other in sum; for narrow fingerprints and small radii), or the smallest hashes of the shingles (`minimum_cells`: two sets
+of similarity s have one of `MINIMA` in common but for (1 - s) ** MINIMA of pairs, 1 in 15,000 at 0.8; for wide
+fingerprints, whose radius lets population counts tell nothing apart). The work of the former grows with the square of
+the number of fingerprints, a few thousandths of all pairs; that of the latter with the texts that share shingles.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ COARSE_WORDS = 4
 BLOCK = 512
 #: Parts of a 64-bit fingerprint whose population counts are a cell.
 PARTS, PART_BITS = 4, 16
+#: Smallest hashes of a text's shingles, each under another hash function, that wide fingerprints are dealt by.
+MINIMA = 6
 
 # --- fingerprints --------------------------------------------------------------------
 
@@ -74,36 +79,38 @@ def majority(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * counts > n).tobytes()
 
 
-def simhash(text: str, words: int, width: int, distinct: bool) -> tuple[bytes, int]:
-    """Fingerprint of 8 * width bytes (zero without a word) and the number of shingles."""
+def simhash(text: str, words: int, width: int, distinct: bool) -> tuple[bytes, list[int]]:
+    """Fingerprint of 8 * width bytes (zero without a word), and smallest hashes (of wide fingerprints only)."""
     hashes = shingle_hashes(text, words)
     if distinct:
         hashes = np.unique(hashes)
     if not len(hashes):
-        return bytes(8 * width), 0
-    return b"".join(majority(mixed(hashes, i)) for i in range(width)), len(hashes)
+        return bytes(8 * width), []
+    each = [mixed(hashes, i) for i in range(width)]
+    minima = [int(x.min().astype(np.int64)) for x in each[:MINIMA]] if width > 1 else []
+    return b"".join(map(majority, each)), minima
 
 
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, fp (binary) and n_shingles of every whole text (null: empty)."""
+    """doc_id, fp (binary) and minima of every whole text (null: empty)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [simhash(text, words, width, distinct) for _, texts in text_batches(batch) for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-                names=["doc_id", "fp", "n_shingles"],
+                [batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "minima"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, minima array<long>")
 
 
 # --- cells ---------------------------------------------------------------------------
 
 
 def popcount_cells(nodes: DataFrame, radius: int) -> DataFrame:
-    """Adds cell and visits to 64-bit nodes; at most (PART_BITS + 1) ** PARTS cells at any size of the data."""
+    """fp, cells and visits of 64-bit nodes; at most (PART_BITS + 1) ** PARTS cells at any size of the data."""
     base = PART_BITS + 1
     word = F.conv(F.hex("fp"), 16, -10).cast("long")
     counts = [F.bit_count(F.shiftrightunsigned(word, PART_BITS * i).bitwiseAND(2**PART_BITS - 1)) for i in range(PARTS)]
@@ -117,7 +124,7 @@ def popcount_cells(nodes: DataFrame, radius: int) -> DataFrame:
         return F.when(_all(inside), to) if inside else to
 
     visits = F.array_compact(F.array(*[there(s) for s in steps]))
-    return nodes.select("fp", cell.cast("int").alias("cell"), visits.cast("array<int>").alias("visits"))
+    return nodes.select("fp", F.array(cell.cast("long")).alias("cells"), visits.cast("array<long>").alias("visits"))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -127,11 +134,10 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def length_cells(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Adds cell and visits by n_shingles: sizes of sets of such a similarity are in the same or in adjacent bands."""
-    band = F.when(F.col("n_shingles") > 0, F.floor(F.log(F.col("n_shingles")) / -math.log(similarity) + 1e-9)).otherwise(-2)
-    band = band.cast("int")
-    return nodes.select("fp", band.alias("cell"), F.array(band, band - 1).alias("visits"))
+def minimum_cells(nodes: DataFrame) -> DataFrame:
+    """fp, cells and visits by each smallest hash; a text without shingles is in no cell."""
+    cells = F.transform("minima", lambda m, i: F.xxhash64(i, m))
+    return nodes.select("fp", cells.alias("cells"), cells.alias("visits"))
 
 
 # --- tiles ---------------------------------------------------------------------------
@@ -252,14 +258,14 @@ def _links(radius: int, width: int):
     return run
 
 
-def links(celled: DataFrame, radius: int, width: int) -> DataFrame:
+def links(celled: DataFrame, radius: int, width: int, bounded: bool) -> DataFrame:
     """(a, b) of a graph with the same components as that of all pairs of nodes within the radius.
 
-    celled: fp (distinct), cell, visits. The table of cells is broadcast: its size is bounded by the number of
-    cells, whatever the number of nodes.
+    celled: fp (distinct), cells and visits. bounded: the number of cells is, whatever the number of nodes, so that
+    their sizes may be broadcast; else they are joined by cell, one row for each, so that a large cell can be split.
     """
-    left = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n_left"))
-    visitors = celled.select("fp", F.explode("visits").alias("cell"))
+    homes, visitors = celled.select("fp", F.explode("cells").alias("cell")), celled.select("fp", F.explode("visits").alias("cell"))
+    left = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n_left"))
     right = visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("n_right"))
     # A lone node that only itself visits has no one to meet.
     tiles = left.join(right, "cell").where((F.col("n_left") > 1) | (F.col("n_right") > 1)).select(
@@ -267,10 +273,10 @@ def links(celled: DataFrame, radius: int, width: int) -> DataFrame:
         F.ceil(F.col("n_left") / LEFT_ROWS).cast("int").alias("n_a"),
         F.ceil(F.col("n_right") / RIGHT_ROWS).cast("int").alias("n_b"),
     )
-    tiles = F.broadcast(checkpointed(tiles))
+    tiles = F.broadcast(checkpointed(tiles)) if bounded else checkpointed(tiles)
     spot = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lefts = celled.select("fp", "cell").join(tiles, "cell").select("cell", spot("n_a").alias("a"), each("n_b").alias("b"), F.lit(0).alias("side"), "fp")
+    lefts = homes.join(tiles, "cell").select("cell", spot("n_a").alias("a"), each("n_b").alias("b"), F.lit(0).alias("side"), "fp")
     rights = visitors.join(tiles, "cell").select("cell", each("n_a").alias("a"), spot("n_b").alias("b"), F.lit(1).alias("side"), "fp")
     dealt = lefts.unionByName(rights).repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "side")
     return dealt.mapInArrow(_links(radius, width), "a binary, b binary")
@@ -279,14 +285,14 @@ def links(celled: DataFrame, radius: int, width: int) -> DataFrame:
 # --- groups --------------------------------------------------------------------------
 
 
-def grouped(prints: DataFrame, radius: int, width: int, similarity: float | None = None) -> DataFrame:
+def grouped(prints: DataFrame, radius: int, width: int) -> DataFrame:
     """(fp, component_id) of every fingerprint; component_id: the smallest doc_id that is reached, or null.
 
-    prints: doc_id, fp, n_shingles. similarity: also ask for lengths in that ratio, by bands.
+    prints: doc_id, fp, minima.
     """
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")))
-    celled = length_cells(nodes, similarity) if similarity else popcount_cells(nodes, radius)
-    roots = connected(links(celled, radius, width))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("minima").alias("minima")))
+    celled = popcount_cells(nodes, radius) if width == 1 else minimum_cells(nodes)
+    roots = connected(links(celled, radius, width, bounded=width == 1))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = placed.where(F.col("root").isNotNull()).select("fp", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -295,7 +301,7 @@ def grouped(prints: DataFrame, radius: int, width: int, similarity: float | None
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, distinct: bool = False, similarity: float | None = None
+    docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, distinct: bool = False
 ) -> DataFrame:
     """doc_id, fp and component_id of every document.
 
@@ -304,18 +310,16 @@ def near_duplicates(
     """
     prints = checkpointed(fingerprints(docs, words, width, distinct))
     # A fingerprint may hold a third of the rows: the planner may split that side, as the other has one row for it.
-    return prints.select("doc_id", "fp").join(grouped(prints, radius, width, similarity), "fp")
+    return prints.select("doc_id", "fp").join(grouped(prints, radius, width), "fp")
 
 
-def one_of_each(
-    docs: DataFrame, words: int = 5, radius: int = 88, width: int = 8, similarity: float = 0.8
-) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 88, width: int = 8) -> DataFrame:
     """Documents with all their columns, of each group of near duplicates the one with the smallest doc_id.
 
     Two sets of shingles with a similarity of 0.8 differ in 78 of 512 bits on average, give or take 8; the radius takes
     nine of ten such pairs, and hardly any below 0.7. Texts of fewer words than a shingle are compared as a whole. Of rows that repeat the kept id one stays; rows without an id all stay.
     """
-    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, radius, width, True, similarity)
+    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, radius, width, True)
     ids = kept.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     rank, columns = "_rank", docs.columns

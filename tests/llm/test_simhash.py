@@ -38,7 +38,7 @@ def slow_components(values, radius):
 
 
 def _check(spark, values, radius=2, width=1):
-    prints = spark.createDataFrame([(i, v.to_bytes(8 * width, "big"), 1) for i, v in enumerate(values)], "doc_id long, fp binary, n_shingles long")
+    prints = spark.createDataFrame([(i, v.to_bytes(8 * width, "big"), []) for i, v in enumerate(values)], "doc_id long, fp binary, minima array<long>")
     groups = {bytes(r.fp): r.component_id for r in simhash.grouped(prints, radius, width).collect()}
     assert [groups[v.to_bytes(8 * width, "big")] for v in values] == slow_components(values, radius)
 
@@ -109,6 +109,27 @@ def test_awkward_rows(spark):
     assert simhash.near_duplicates(awkward(spark).limit(0)).count() == 0
 
 
+def test_minima_find_similar_texts(spark):
+    """Texts with some words changed, beside the similarity of their five-word shingles."""
+    draw = np.random.default_rng(8)
+    base = [[f"w{x}" for x in draw.integers(0, 5000, 150)] for _ in range(60)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for changes in (1, 2, 3):
+            copy = list(b)
+            for at in draw.integers(0, 150, changes):
+                copy[at] = f"new{draw.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 88, 8, True).collect()}
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(similar) > 100
+    assert np.mean([group[i] == group[j] for i, j in similar]) > 0.97
+    assert all(group[i] % 60 == i % 60 or group[i] == i for i in range(60))
+    assert len(set(group.values())) >= 60
+
+
 def test_one_of_each_keeps_one_of_a_group_and_all_columns(spark):
     base = [f"term{i}" for i in range(120)]
     near = [*base[:60], "changed", *base[61:]]
