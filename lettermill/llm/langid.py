@@ -79,12 +79,12 @@ def n_gram_counts(text: str, letters: np.ndarray) -> np.ndarray | None:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-12)
+    return rows / np.maximum(np.sqrt(np.einsum("...i,...i->...", rows, rows))[..., None], 1e-12)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vectors; the square root keeps one frequent n-gram from deciding."""
-    return unit(np.sqrt(counts) * idf).astype(np.float32)
+    return unit(np.sqrt(counts, dtype=np.float32) * idf).astype(np.float32, copy=False)
 
 
 def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -103,13 +103,14 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(rows: list[tuple[str, str]]) -> LanguageModel | None:
     """rows: (language, text); None if no text has a letter."""
     letters = letters_table()
-    counted = [(language, counts) for language, text in rows if (counts := n_gram_counts(text, letters)) is not None]
+    counted = [(language, counts.astype(np.float32)) for language, text in rows if (counts := n_gram_counts(text, letters)) is not None]
     if not counted:
         return None
     matrix = np.stack([counts for _, counts in counted])
     seen = (matrix > 0).sum(axis=0)
-    idf = np.log((1 + len(matrix)) / (1 + seen)) + 1
+    idf = (np.log((1 + len(matrix)) / (1 + seen)) + 1).astype(np.float32)
     vectors = weighted(matrix, idf)
+    del matrix
     names = np.array([language for language, _ in counted])
     languages = tuple(sorted(set(names.tolist())))
     centroids, language_of, least = [], [], []
