@@ -43,9 +43,6 @@ HEADLINE = (
     "wilcoxon_test",
     "run_summary",
     "logistic_training",
-    "forest_training",
-    "train_with_folds",
-    "letter_patterns",
 )
 
 
