@@ -11,13 +11,16 @@ other in sum; for narrow fingerprints and small radii), or the smallest hashes o
 of similarity s have one of `MINIMA` in common but for (1 - s) ** MINIMA of pairs, 1 in 15,000 at 0.8; for wide
 fingerprints, whose radius lets population counts tell nothing apart). The work of the former grows with the square of
 the number of fingerprints, a few thousandths of all pairs; that of the latter with the texts that share shingles.
+
+Where similarity of the shingle sets is asked for, fingerprints only find candidates: components of pairs within a wide
+radius. Within each, texts meet in tiles again, and a pair is linked by what their sets of shingle hashes have in common.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,12 @@ BLOCK = 512
 PARTS, PART_BITS = 4, 16
 #: Smallest hashes of a text's shingles, each under another hash function, that wide fingerprints are dealt by.
 MINIMA = 6
+#: Similarity of near duplicates' shingle sets in the pipeline.
+SIMILARITY = 0.8
+#: Texts, and their characters, in each side of a tile that compares shingle sets.
+CHECK_ROWS, CHECK_CHARS = 1_024, 1 << 24
+#: Up to so many sets are intersected one by one, more by an index of all hashes of the tile.
+FEW = 8
 
 # --- fingerprints --------------------------------------------------------------------
 
@@ -92,18 +101,23 @@ def simhash(text: str, words: int, width: int, distinct: bool) -> tuple[bytes, l
 
 
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, fp (binary) and minima of every whole text (null: empty)."""
+    """doc_id, fp (binary), minima, text_hash and n_chars of every whole text (null: empty)."""
     kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "fp", "minima", "text_hash", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [simhash(text, words, width, distinct) for _, texts in text_batches(batch) for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "minima"],
-            )
+                [
+                    batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64())),
+                    batch.column("text_hash"), batch.column("n_chars"),
+                ],
+                names=names,
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, minima array<long>")
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"))
+    return text.mapInArrow(run, f"doc_id {kind}, fp binary, minima array<long>, text_hash long, n_chars int")
 
 
 # --- cells ---------------------------------------------------------------------------
@@ -282,17 +296,149 @@ def links(celled: DataFrame, radius: int, width: int, bounded: bool) -> DataFram
     return dealt.mapInArrow(_links(radius, width), "a binary, b binary")
 
 
+# --- similarity of shingle sets ------------------------------------------------------
+
+
+class Sets:
+    """The shingle sets of a tile's texts, and the links that similar sets make among and to them."""
+
+    def __init__(self, rows: list[tuple[bytes, np.ndarray]], radius: int, similarity: float) -> None:
+        self.prints, self.sets = [fp for fp, _ in rows], [one for _, one in rows]
+        self.words = np.stack([np.frombuffer(fp, np.uint64) for fp in self.prints])
+        self.sizes = np.array([len(one) for one in self.sets], np.int64)
+        self.radius, self.similarity = radius, similarity
+        self.label = np.arange(len(rows))
+        self.hashes, self.owners = None, None
+
+    def _common(self, one: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Hashes that a set has in common with each of these."""
+        if len(columns) <= FEW:
+            return np.array([len(np.intersect1d(one, self.sets[c], assume_unique=True)) for c in columns], np.int64)
+        if self.hashes is None:
+            every = np.concatenate(self.sets)
+            order = np.argsort(every, kind="stable")
+            self.hashes, self.owners = every[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        low, high = np.searchsorted(self.hashes, one, "left"), np.searchsorted(self.hashes, one, "right")
+        runs = high - low
+        at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        return np.bincount(self.owners[at], minlength=len(self.sets))[columns]
+
+    def _similar(self, one: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        common = self._common(one, columns)
+        return common >= self.similarity * (self.sizes[columns] + len(one) - common) - 1e-9
+
+    def meet(self, fp: bytes, one: np.ndarray, own: int | None = None) -> list[tuple[bytes, bytes]]:
+        """Links of a set to one of each group of the tile that it is similar to; own: its place, if it is of the tile."""
+        far = np.bitwise_count(self.words ^ np.frombuffer(fp, np.uint64)).sum(axis=1, dtype=np.int64)
+        sizes = np.minimum(self.sizes, len(one)) >= self.similarity * np.maximum(self.sizes, len(one)) - 1e-9
+        near = (far <= self.radius) & (far > 0) & sizes
+        if own is not None:
+            near &= self.label != self.label[own]
+            near[own:] = False  # later ones meet this one in their turn
+        columns = np.flatnonzero(near)
+        if not len(columns):
+            return []
+        # The nearest of each group first: where that is similar, the group's others need no look.
+        columns = columns[np.argsort(far[columns], kind="stable")]
+        first = np.zeros(len(columns), bool)
+        first[np.unique(self.label[columns], return_index=True)[1]] = True
+        found = columns[first][self._similar(one, columns[first])]
+        rest = columns[~first]
+        rest = rest[~np.isin(self.label[rest], self.label[found])]
+        if len(rest):
+            more = rest[self._similar(one, rest)]
+            found = np.concatenate([found, more[np.unique(self.label[more], return_index=True)[1]]])
+        if len(found):
+            groups = self.label[found] if own is None else np.append(self.label[found], self.label[own])
+            self.label[np.isin(self.label, groups)] = groups.min()
+        return [(fp, self.prints[c]) for c in found]
+
+    def meet_all(self) -> list[tuple[bytes, bytes]]:
+        return [pair for i, fp in enumerate(self.prints) for pair in self.meet(fp, self.sets[i], i)]
+
+
+def _similar_links(words: int, radius: int, similarity: float):
+    """Function of mapInArrow over rows (cell, a, b, side, fp, text) sorted so; gives links (a, b)."""
+
+    def link(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in zip(*pairs, strict=True)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lefts, seen, sets = None, {}, set(), None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "a", "b", "side")), strict=True))
+            prints, pairs = batch.column("fp").to_pylist(), []
+            for start, texts in text_batches(batch):
+                for i, text in enumerate(texts, start):
+                    *now, side = keys[i]
+                    if now != key:
+                        if lefts and key[1] == key[2]:
+                            pairs += Sets(list(lefts.items()), radius, similarity).meet_all()
+                        key, lefts, seen, sets = now, {}, set(), None
+                    fp = prints[i]
+                    if fp in lefts or fp in seen:
+                        continue  # repeated rows
+                    one = np.unique(shingle_hashes(text, words))
+                    if side == 0:
+                        lefts[fp] = one
+                    elif lefts:
+                        seen.add(fp)
+                        sets = sets or Sets(list(lefts.items()), radius, similarity)
+                        pairs += sets.meet(fp, one)
+            if pairs:
+                yield link(pairs)
+        if lefts and key[1] == key[2]:
+            pairs = Sets(list(lefts.items()), radius, similarity).meet_all()
+            if pairs:
+                yield link(pairs)
+
+    return run
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b) of a graph with the same components as that of all pairs of similar shingle sets among candidates.
+
+    near: links (a, b) of all pairs within the radius, or of a forest of them: a pair of its components that is not
+    linked itself is compared all the same. nodes: fp and sample, the {doc_id, text_hash, n_chars} of one of its texts.
+    """
+    placed = checkpointed(nodes.join(connected(near).withColumnRenamed("node", "fp"), "fp").select("fp", F.xxhash64("root").alias("cell"), "sample"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CHECK_ROWS, F.sum(F.col("sample.n_chars")) / CHECK_CHARS, F.lit(1))).cast("int")
+    # A component may hold a third of the nodes; its blocks are one row, so its rows can be split.
+    placed = placed.join(placed.groupBy("cell").agg(blocks.alias("n")), "cell")
+    placed = placed.select("cell", "n", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("spot"), "fp", F.col("sample.doc_id").alias("_id"), F.col("sample.text_hash").alias("_p"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_p")))
+    # Each pair of blocks once: the earlier block is the tile's own, the later one visits.
+    tile = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    dealt = texts.select("cell", "spot", tile, "fp", "text").select(
+        "cell",
+        F.least("spot", "other").alias("a"),
+        F.greatest("spot", "other").alias("b"),
+        F.when(F.col("spot") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "fp",
+        "text",
+    )
+    dealt = dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "side")
+    return dealt.mapInArrow(_similar_links(words, radius, similarity), "a binary, b binary")
+
+
 # --- groups --------------------------------------------------------------------------
 
 
-def grouped(prints: DataFrame, radius: int, width: int) -> DataFrame:
+def grouped(
+    prints: DataFrame, radius: int, width: int, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(fp, component_id) of every fingerprint; component_id: the smallest doc_id that is reached, or null.
 
-    prints: doc_id, fp, minima.
+    prints: doc_id, fp, minima. check: from nodes and candidate links the links that count.
     """
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("minima").alias("minima")))
+    least = [F.min("doc_id").alias("first_id"), F.min("minima").alias("minima")]
+    if check:
+        least.append(F.min(F.struct("doc_id", "text_hash", "n_chars")).alias("sample"))
+    nodes = checkpointed(prints.groupBy("fp").agg(*least))
     celled = popcount_cells(nodes, radius) if width == 1 else minimum_cells(nodes)
-    roots = connected(links(celled, radius, width, bounded=width == 1))
+    near = links(celled, radius, width, bounded=width == 1)
+    roots = connected(check(nodes, near) if check else near)
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = placed.where(F.col("root").isNotNull()).select("fp", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -301,25 +447,29 @@ def grouped(prints: DataFrame, radius: int, width: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, distinct: bool = False
+    docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, distinct: bool = False, similarity: float | None = None
 ) -> DataFrame:
     """doc_id, fp and component_id of every document.
 
+    similarity: of the shingle sets, from which on a pair within the radius is linked; without it every one is.
+
     Null and empty texts have a zero fingerprint and are linked like others; repeated rows fall together; a null id is
     never a component_id unless the whole group has no other; an empty table gives no rows; other columns are ignored.
     """
     prints = checkpointed(fingerprints(docs, words, width, distinct))
+    check = similarity and (lambda nodes, near: similar_links(docs, nodes, near, words, radius, similarity))
     # A fingerprint may hold a third of the rows: the planner may split that side, as the other has one row for it.
-    return prints.select("doc_id", "fp").join(grouped(prints, radius, width), "fp")
+    return prints.select("doc_id", "fp").join(grouped(prints, radius, width, check), "fp")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 88, width: int = 8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 88, width: int = 8, similarity: float = SIMILARITY) -> DataFrame:
     """Documents with all their columns, of each group of near duplicates the one with the smallest doc_id.
 
     Two sets of shingles with a similarity of 0.8 differ in 78 of 512 bits on average, give or take 8; the radius takes
-    nine of ten such pairs, and hardly any below 0.7. Texts of fewer words than a shingle are compared as a whole. Of rows that repeat the kept id one stays; rows without an id all stay.
+    nine of ten such pairs, and the sets decide. Texts of fewer words than a shingle are compared as a whole. Of rows
+    that repeat the kept id one stays; rows without an id all stay.
     """
-    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, radius, width, True)
+    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, radius, width, True, similarity)
     ids = kept.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     rank, columns = "_rank", docs.columns

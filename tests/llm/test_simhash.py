@@ -147,6 +147,44 @@ def test_one_of_each_keeps_one_of_a_group_and_all_columns(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def _similarities(texts):
+    """Similarity of the five-word shingles of all pairs."""
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    return np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+
+
+def _all_pairs(similar):
+    """Smallest index that is reached over these pairs."""
+    group = np.arange(len(similar))
+    while True:
+        new = np.where(similar, group[None, :], len(group)).min(axis=1)
+        if (new == group).all():
+            return group.tolist()
+        group = new
+
+
+@pytest.mark.parametrize("rows", [1024, 7])
+def test_pairs_below_the_similarity_are_not_linked(spark, monkeypatch, rows):
+    """Copies at 0.68 to 0.79, of which the fingerprints take many, and chains and a large group of closer ones."""
+    monkeypatch.setattr(simhash, "CHECK_ROWS", rows)
+    draw = np.random.default_rng(11)
+    texts = []
+    for i in range(40):
+        base = [f"b{i}w{x}" for x in range(104)]
+        texts.append(" ".join(base))
+        for at in ((10, 40), (10, 40, 60)):  # 90 of 110: 0.82; 85 of 115: 0.74
+            texts.append(" ".join(f"n{i}x{len(at)}y{k}" if k in at else w for k, w in enumerate(base)))
+    hot = [f"hot{x}" for x in range(104)]
+    texts += [" ".join(f"h{j}y{k}" if k in set(draw.integers(0, 104, 2)) else w for k, w in enumerate(hot)) for j in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 149, 8, True, 0.8).collect()}
+    similar = _similarities(texts) >= 0.8
+    assert [group[i] for i in range(len(texts))] == _all_pairs(similar)
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert set(np.flatnonzero(similar.sum(axis=1) == 1)) <= kept  # what is similar to no other text
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "cycles"])
 def test_components(spark, shape):
     edges = {
