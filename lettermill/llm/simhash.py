@@ -8,7 +8,7 @@ near copies costs links in proportion to its size. No pair within the radius is
 
 Cells: the population counts of the parts of a fingerprint (`popcount_cells`: exact, as counts within the radius of each
 other in sum; for narrow fingerprints and small radii), or the smallest hashes of the shingles (`minimum_cells`: two sets
-of similarity s have one of `MINIMA` in common but for (1 - s) ** MINIMA of pairs, 1 in 15,000 at 0.8; for wide
+of similarity s have one of `MINIMA` in common but for (1 - s) ** MINIMA of pairs, 1 in 10 million at 0.8; for wide
 fingerprints, whose radius lets population counts tell nothing apart). The work of the former grows with the square of
 the number of fingerprints, a few thousandths of all pairs; that of the latter with the texts that share shingles.
 
@@ -41,9 +41,13 @@ BLOCK = 512
 #: Parts of a 64-bit fingerprint whose population counts are a cell.
 PARTS, PART_BITS = 4, 16
 #: Smallest hashes of a text's shingles, each under another hash function, that wide fingerprints are dealt by.
-MINIMA = 6
+MINIMA = 10
 #: Similarity of near duplicates' shingle sets in the pipeline.
 SIMILARITY = 0.8
+#: The largest share of bits in which two sets of that similarity differ on average: of four shingles and those with a fifth.
+WORST_SHARE = 3 / 16
+#: Differing bits of 512 up to which a pair is a candidate, six standard deviations above that: one in 10**8 is beyond.
+CANDIDATE_RADIUS = 149
 #: Texts, and their characters, in each side of a tile that compares shingle sets.
 CHECK_ROWS, CHECK_CHARS = 1_024, 1 << 24
 #: Up to so many sets are intersected one by one, more by an index of all hashes of the tile.
@@ -95,9 +99,9 @@ def simhash(text: str, words: int, width: int, distinct: bool) -> tuple[bytes, l
         hashes = np.unique(hashes)
     if not len(hashes):
         return bytes(8 * width), []
-    each = [mixed(hashes, i) for i in range(width)]
+    each = [mixed(hashes, i) for i in range(max(width, MINIMA) if width > 1 else 1)]
     minima = [int(x.min().astype(np.int64)) for x in each[:MINIMA]] if width > 1 else []
-    return b"".join(map(majority, each)), minima
+    return b"".join(map(majority, each[:width])), minima
 
 
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, distinct: bool = False) -> DataFrame:
@@ -229,7 +233,8 @@ def coarse_radius(radius: int, width: int) -> int:
 
     Six standard deviations above the mean of a pair at the radius.
     """
-    share, bits = radius / (64 * width), 64 * min(width, COARSE_WORDS)
+    # The candidates' radius has its six deviations already.
+    share, bits = min(radius / (64 * width), WORST_SHARE), 64 * min(width, COARSE_WORDS)
     return math.ceil(share * bits + 6 * math.sqrt(bits * share * (1 - share)))
 
 
@@ -462,12 +467,12 @@ def near_duplicates(
     return prints.select("doc_id", "fp").join(grouped(prints, radius, width, check), "fp")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 88, width: int = 8, similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = CANDIDATE_RADIUS, width: int = 8, similarity: float = SIMILARITY) -> DataFrame:
     """Documents with all their columns, of each group of near duplicates the one with the smallest doc_id.
 
-    Two sets of shingles with a similarity of 0.8 differ in 78 of 512 bits on average, give or take 8; the radius takes
-    nine of ten such pairs, and the sets decide. Texts of fewer words than a shingle are compared as a whole. Of rows
-    that repeat the kept id one stays; rows without an id all stay.
+    Two sets of shingles with a similarity of 0.8 differ in 78 of 512 bits on average, and very short ones in up to 96,
+    give or take 9; the radius takes all such pairs, and the sets decide. Texts of fewer words than a shingle are compared
+    as a whole. Of rows that repeat the kept id one stays; rows without an id all stay.
     """
     kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, radius, width, True, similarity)
     ids = kept.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()

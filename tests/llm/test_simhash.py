@@ -185,6 +185,20 @@ def test_pairs_below_the_similarity_are_not_linked(spark, monkeypatch, rows):
     assert set(np.flatnonzero(similar.sum(axis=1) == 1)) <= kept  # what is similar to no other text
 
 
+def test_one_of_each_finds_every_similar_pair(spark):
+    """Pairs at exactly 0.8, of four and five shingles and of longer texts."""
+    texts = []
+    for i in range(100):
+        short = [f"s{i}w{x}" for x in range(9)]
+        texts += [" ".join(short[:8]), " ".join(short)]
+        long = [f"l{i}w{x}" for x in range(84)]
+        texts += [" ".join(long), " ".join(long[:68])]
+    similar = _similarities(texts)
+    assert (similar == 0.8).sum() == 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(range(0, 400, 2))
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "cycles"])
 def test_components(spark, shape):
     edges = {
