@@ -34,7 +34,7 @@ RUN = 256
 
 @dataclass(frozen=True)
 class Ownership:
-    """From so many owners or repositories on a candidate is a copied example; up to `live_owners` it looks live."""
+    """From so many owners on, or repositories of two owners or more, a candidate is a copied example; up to `live_owners` it looks live."""
 
     example_owners: int = 3
     example_repositories: int = 4
@@ -127,7 +127,8 @@ def ownership(found: DataFrame, limits: Ownership) -> DataFrame:
     seen = found.select("_owner", "_repository", value).groupBy("_hash", "_owner", "_repository").agg(F.count(F.lit(1)).alias("_n"))
     owners = seen.groupBy("_hash", "_owner").agg(F.count(F.lit(1)).alias("_repositories"))
     counts = owners.groupBy("_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repositories").alias("repositories"))
-    example = (F.col("owners") >= limits.example_owners) | (F.col("repositories") >= limits.example_repositories)
+    widely = (F.col("repositories") >= limits.example_repositories) & (F.col("owners") > 1)  # one owner's own are no copies
+    example = (F.col("owners") >= limits.example_owners) | widely
     verdict = F.when(example, "example").when(F.col("owners") <= limits.live_owners, "live").otherwise("shared")
     return counts.select("_hash", "owners", "repositories", verdict.alias("verdict"))
 

@@ -72,6 +72,17 @@ def test_ownership_parts_live_tokens_from_copied_ones(spark):
     assert found[90].spans == "hex:37:67"
 
 
+def test_one_owner_in_many_languages_is_no_copied_example(spark):
+    rows = [(i, f"use {LIVE} here", lang, "a") for i, lang in enumerate(("en", "de", "fr", "es"))]
+    rows += [(10 + i, f"see {SHARED}", lang, s) for i, (lang, s) in enumerate([("en", "a"), ("de", "a"), ("en", "b"), ("de", "b")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.spans for r in _scan(df)}
+    assert all(found[i] == f"owned:4:{4 + len(LIVE)}" for i in range(4))
+    assert all(found[10 + i] == "" for i in range(4))
+    text = {r.doc_id: r.text for r in secrets.masked(df, F.col("source"), F.struct("source", "lang")).collect()}
+    assert all(text[i] == "use [SECRET] here" for i in range(4))
+
+
 def test_masking_spares_copied_examples(spark):
     df = _owned(spark).withColumns({"_row": F.lit(1), "spans": F.lit(2), "_spans": F.lit(3)})
     clean = secrets.masked(df, F.col("source"), F.struct("source", "lang"))
