@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import ann, bpe, fingerprint, langid, mixing, quality, secrets, simhash, tokencount, urlfilter
+from lettermill.llm import (
+    ann, bpe, fingerprint, langid, mixing, periodic, quality, resample, secrets, setjoin, simhash, tokencount, urlfilter,
+)
 from lettermill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +108,24 @@ from ruled"""
 
 
 SQL["op10_url_filter"] = _url_sql()
+
+
+@query
+def op11_runs(spark, sf_dir):
+    return periodic.run_digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.planted))
+
+
+@query
+def op12_set_join(spark, sf_dir):
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_set_join"] = setjoin.join_sql()
+
+
+@query
+def op13_resample(spark, sf_dir):
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_resample"] = resample.resample_sql()
