@@ -33,7 +33,7 @@ def _kind(series: pd.Series) -> str:
 
 def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)]
-    text = frame.apply(lambda c: c.map(lambda v: "<null>" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v)))
+    text = frame.apply(lambda c: c.map(lambda v: "<null>" if v is pd.NA or pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v)))
     return text.sort_values(list(text.columns)).reset_index(drop=True)
 
 
@@ -44,6 +44,8 @@ def difference(mine: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
     if len(mine) != len(theirs):
         return f"rows {len(mine)} != {len(theirs)}"
     for column in mine.columns:
+        if str(theirs[column].dtype) in ("Int32", "Int64") and mine[column].dtype.kind == "f" and mine[column].isna().any():
+            mine = mine.assign(**{column: mine[column].astype("Int64")})  # whole numbers and nulls come as floats
         if _kind(mine[column]) != _kind(theirs[column]):
             return f"kind of {column}: {mine[column].dtype} != {theirs[column].dtype}"
     a, b = canonical(mine), canonical(theirs)
