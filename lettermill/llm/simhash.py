@@ -1,26 +1,20 @@
 """SimHash near duplicates: fingerprints, and exact comparison of tiles of them.
 
-Equal fingerprints are one node. Nodes are dealt into cells such that two nodes within the radius are in the same cell
-or in neighbouring ones, and a cell's nodes meet those of its neighbours in tiles of bounded size. In a tile numpy takes
-the exclusive or of whole blocks and counts bits; blocks are ordered by population count, and block pairs whose counts
-differ by more than the radius are skipped. A tile gives a spanning forest of its links, not all pairs, so a group of
-near copies costs links in proportion to its size. No pair within the radius is lost.
-
-Cells: the population counts of the parts of a fingerprint (`popcount_cells`: exact, as counts within the radius of each
-other in sum; for narrow fingerprints and small radii), or the smallest hashes of the shingles (`minimum_cells`: two sets
-of similarity s have one of `MINIMA` in common but for (1 - s) ** MINIMA of pairs, 1 in 10 million at 0.8; for wide
-fingerprints, whose radius lets population counts tell nothing apart). The work of the former grows with the square of
-the number of fingerprints, a few thousandths of all pairs; that of the latter with the texts that share shingles.
-
-Where similarity of the shingle sets is asked for, fingerprints only find candidates: components of pairs within a wide
-radius. Within each, texts meet in tiles again, and a pair is linked by what their sets of shingle hashes have in common.
+Equal fingerprints are one node. Nodes are dealt into cells by the population counts of the parts of a fingerprint: two
+nodes within the radius are in the same cell or in neighbouring ones, as the counts differ by the radius at most in sum.
+A cell's nodes meet those of its neighbours in tiles of bounded size. In a tile numpy takes the exclusive or of whole
+blocks and counts bits; blocks are ordered by population count, and block pairs whose counts differ by more than the
+radius are skipped. No pair within the radius is lost.
+
+A tile gives a link only if it joins two components of the tile, over all its blocks and visitors, so a group of near
+copies costs fewer links in a tile than it has nodes there. The comparisons grow with the square of the number of
+different fingerprints, a few thousandths of all pairs.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +28,10 @@ from lettermill.llm.components import connected
 SEED = 42
 #: Nodes of a cell, and nodes that visit it, in one tile.
 LEFT_ROWS, RIGHT_ROWS = 4_096, 32_768
-#: Words of wide fingerprints that are compared first; the others only where those are close.
-COARSE_WORDS = 4
 #: Rows compared at once.
 BLOCK = 512
 #: Parts of a 64-bit fingerprint whose population counts are a cell.
 PARTS, PART_BITS = 4, 16
-#: Smallest hashes of a text's shingles, each under another hash function, that wide fingerprints are dealt by.
-MINIMA = 10
-#: Similarity of near duplicates' shingle sets in the pipeline.
-SIMILARITY = 0.8
-#: The largest share of bits in which two sets of that similarity differ on average: of four shingles and those with a fifth.
-WORST_SHARE = 3 / 16
-#: Differing bits of 512 up to which a pair is a candidate, six standard deviations above that: one in 10**8 is beyond.
-CANDIDATE_RADIUS = 149
-#: Texts, and their characters, in each side of a tile that compares shingle sets.
-CHECK_ROWS, CHECK_CHARS = 1_024, 1 << 24
-#: Up to so many sets are intersected one by one, more by an index of all hashes of the tile.
-FEW = 8
 
 # --- fingerprints --------------------------------------------------------------------
 
@@ -69,16 +49,6 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((digest(x, SEED) for x in joined), np.uint64)
 
 
-def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
-    """The i-th further 64 bits from each hash (0: the hash itself)."""
-    if not i:
-        return hashes
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * i) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def majority(hashes: np.ndarray) -> bytes:
     """Eight bytes, most significant first: a bit is 1 if it is set in over half of the hashes."""
     n = len(hashes)
@@ -92,36 +62,24 @@ def majority(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * counts > n).tobytes()
 
 
-def simhash(text: str, words: int, width: int, distinct: bool) -> tuple[bytes, list[int]]:
-    """Fingerprint of 8 * width bytes (zero without a word), and smallest hashes (of wide fingerprints only)."""
+def simhash(text: str, words: int) -> bytes:
+    """Fingerprint of a text: eight bytes, zero without a word."""
     hashes = shingle_hashes(text, words)
-    if distinct:
-        hashes = np.unique(hashes)
-    if not len(hashes):
-        return bytes(8 * width), []
-    each = [mixed(hashes, i) for i in range(max(width, MINIMA) if width > 1 else 1)]
-    minima = [int(x.min().astype(np.int64)) for x in each[:MINIMA]] if width > 1 else []
-    return b"".join(map(majority, each[:width])), minima
+    return majority(hashes) if len(hashes) else bytes(8)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, fp (binary), minima, text_hash and n_chars of every whole text (null: empty)."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fp (binary) and text_hash of every whole text (null: empty)."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "fp", "minima", "text_hash", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(text, words, width, distinct) for _, texts in text_batches(batch) for text in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64())),
-                    batch.column("text_hash"), batch.column("n_chars"),
-                ],
-                names=names,
-            )
+            found = [simhash(text, words) for _, texts in text_batches(batch) for text in texts]
+            columns = [batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("text_hash")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "text_hash"])
 
-    text = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"))
-    return text.mapInArrow(run, f"doc_id {kind}, fp binary, minima array<long>, text_hash long, n_chars int")
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, fp binary, text_hash long")
 
 
 # --- cells ---------------------------------------------------------------------------
@@ -152,106 +110,101 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def minimum_cells(nodes: DataFrame) -> DataFrame:
-    """fp, cells and visits by each smallest hash; a text without shingles is in no cell."""
-    cells = F.transform("minima", lambda m, i: F.xxhash64(i, m))
-    return nodes.select("fp", cells.alias("cells"), cells.alias("visits"))
-
-
 # --- tiles ---------------------------------------------------------------------------
 
 
-def bit_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Differing bits of each right row from each left row; both are (rows, words) of 64-bit words."""
-    out = np.bitwise_count(right[:, None, 0] ^ left[None, :, 0]).astype(np.uint16)
-    for w in range(1, left.shape[1]):
-        out += np.bitwise_count(right[:, None, w] ^ left[None, :, w])
-    return out
-
-
 class Tile:
-    """The nodes of one cell's block, and the links that visiting nodes make among and to them."""
+    """The nodes of one cell's block, and the links by which visiting nodes join them."""
 
-    def __init__(self, left: np.ndarray, radius: int, coarse: int) -> None:
-        counts = np.bitwise_count(left).sum(axis=1, dtype=np.int64)
+    def __init__(self, left: np.ndarray, radius: int) -> None:
+        counts = np.bitwise_count(left)
         order = np.argsort(counts, kind="stable")
-        self.left, self.counts, self.radius, self.coarse = left[order], counts[order], radius, coarse
-        self.label = np.arange(len(left))
-
-    def meet(self, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Links (rows, rows) of a spanning forest of what these visitors join."""
-        counts = np.bitwise_count(right).sum(axis=1, dtype=np.int64)
+        self.left, self.counts, self.radius = left[order], counts[order].astype(np.int64), radius
+        self.group = np.arange(len(left))  # of each node the least of those it is joined with, by way of others
+        self.sorted = np.sort(left)
+        self.place = order.argsort()[np.argsort(left, kind="stable")]  # of each of the sorted
+
+    def _root(self, nodes: np.ndarray) -> np.ndarray:
+        """The group of each node; groups on the way are shortened."""
+        found = self.group[nodes]
+        while True:
+            up = self.group[found]
+            if (up == found).all():
+                self.group[nodes] = found
+                return found
+            found = up
+
+    def meet(self, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links (visitors, nodes): of each visitor one to every group that it is the first to join."""
+        counts = np.bitwise_count(right).astype(np.int64)
         order = np.argsort(counts, kind="stable")
         right, counts = right[order], counts[order]
-        out = []
+        at = np.minimum(np.searchsorted(self.sorted, right), len(self.sorted) - 1)
+        own = np.where(self.sorted[at] == right, self.place[at], -1)  # a visitor may be a node of the block
+        visitors, nodes = [], []
         for i in range(0, len(right), BLOCK):
-            block, own = right[i : i + BLOCK], counts[i : i + BLOCK]
             # Population counts further apart than the radius cannot be within it.
-            low = int(np.searchsorted(self.counts, own[0] - self.radius, "left"))
-            high = int(np.searchsorted(self.counts, own[-1] + self.radius, "right"))
-            for j in range(low, high, BLOCK):
-                part = slice(j, min(j + BLOCK, high))
-                hit = self._near(self.left[part], block)
-                if hit.any():
-                    out += self._join(hit, part, block)
-        return out
-
-    def _near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each right row is within the radius of each left row, and is not that row."""
-        far = bit_distances(left[:, :COARSE_WORDS], right[:, :COARSE_WORDS])
-        if left.shape[1] <= COARSE_WORDS:
-            return (far <= self.radius) & (far > 0)  # nodes differ, so 0 is the node itself
-        hit = far <= self.coarse
-        rows, columns = np.nonzero(hit)
-        if len(rows):
-            rest = np.bitwise_count(right[rows] ^ left[columns]).sum(axis=1, dtype=np.int64)
-            hit[rows, columns] = (rest <= self.radius) & (rest > 0)
-        return hit
-
-    def _join(self, hit: np.ndarray, part: slice, block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        rows = np.flatnonzero(hit.any(axis=1))
+            last = min(i + BLOCK, len(right)) - 1
+            low = int(np.searchsorted(self.counts, counts[i] - self.radius, "left"))
+            high = int(np.searchsorted(self.counts, counts[last] + self.radius, "right"))
+            hits = [self._near(right[i : i + BLOCK], j, min(j + BLOCK, high)) for j in range(low, high, BLOCK)]
+            rows = np.concatenate([r for r, _ in hits]) if hits else np.empty(0, np.int64)
+            columns = np.concatenate([c for _, c in hits]) if hits else np.empty(0, np.int64)
+            for row, column in self._joined(rows, columns, own[i : i + BLOCK]):
+                visitors.append(i + row)
+                nodes.append(column)
+        return right[visitors], self.left[nodes]
+
+    def _near(self, right: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, places) of pairs within the radius of these visitors and the nodes from low to high.
+
+        Of a visitor's nodes one of each group is enough: where there are many pairs, only those are given.
+        """
+        far = np.bitwise_count(right[:, None] ^ self.left[None, low:high])
+        hit = (far <= self.radius) & (far > 0)  # at 0 it is the node itself
+        if np.count_nonzero(hit) <= 4 * sum(hit.shape):
+            rows, columns = np.nonzero(hit)
+            return rows, columns + low
         columns = np.flatnonzero(hit.any(axis=0))
-        hit, at, none = hit[np.ix_(rows, columns)], columns + part.start, len(self.label)
-        out = []
-        label = self.label[at]
-        while True:
-            least = np.where(hit, label[None, :], none).min(axis=1)
-            new = np.minimum(label, np.where(hit, least[:, None], none).min(axis=0))
-            if (new == label).all():
-                break
-            label = new
-        changed = label != self.label[at]
-        # A node's link to an earlier label was given when it got that label.
-        out.append((self.left[at[changed]], self.left[label[changed]]))
-        out.append((block[rows], self.left[least]))
-        self.label[at] = label
-        return out
-
-
-def coarse_radius(radius: int, width: int) -> int:
-    """Differing bits among the first words beyond which a pair within the radius is as good as impossible.
-
-    Six standard deviations above the mean of a pair at the radius.
-    """
-    # The candidates' radius has its six deviations already.
-    share, bits = min(radius / (64 * width), WORST_SHARE), 64 * min(width, COARSE_WORDS)
-    return math.ceil(share * bits + 6 * math.sqrt(bits * share * (1 - share)))
-
-
-def _links(radius: int, width: int):
+        roots, all_rows, all_columns = self._root(columns + low), [], []
+        for root in np.unique(roots).tolist():
+            mine = columns[roots == root]
+            part = hit[:, mine]
+            rows = np.flatnonzero(part.any(axis=1))
+            all_rows.append(rows)
+            all_columns.append(mine[part[rows].argmax(axis=1)] + low)
+        return np.concatenate(all_rows), np.concatenate(all_columns)
+
+    def _joined(self, rows: np.ndarray, columns: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row, place) of the pairs that join groups. A visitor joins its group and those of all nodes it is near to."""
+        if not len(rows):
+            return
+        # Of a visitor's nodes one of each group is enough.
+        roots = self._root(columns)
+        _, first = np.unique(rows * len(self.group) + roots, return_index=True)
+        rows, columns = rows[first], columns[first]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            row = int(rows[low])
+            roots = self._root(columns[low:high])
+            new, each = np.unique(roots, return_index=True)
+            inside = own[row] >= 0
+            home = int(self._root(own[row : row + 1])[0]) if inside else int(new[0])
+            self.group[np.append(new, home)] = min(int(new[0]), home)
+            for root, k in zip(new.tolist(), each.tolist(), strict=True):
+                if not (inside and root == home):
+                    yield row, int(columns[low + k])
+
+
+def _links(radius: int):
     """Function of mapInArrow over rows (cell, a, b, side, fp) sorted so; gives links (a, b)."""
 
-    coarse = coarse_radius(radius, width)
-
     def words(column: pa.Array) -> np.ndarray:
-        data = b"".join(column.to_pylist())
-        return np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, width)
+        return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64)
 
-    def link(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        sides = [np.concatenate([p[k] for p in pairs]).astype(">u8").tobytes() for k in (0, 1)]
-        size = 8 * width
-        arrays = [pa.array([side[i : i + size] for i in range(0, len(side), size)], pa.binary()) for side in sides]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+    def binary(nodes: np.ndarray) -> pa.Array:
+        data = nodes.astype(">u8").tobytes()
+        return pa.array([data[i : i + 8] for i in range(0, len(data), 8)], pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, waiting, tile = None, [], None
@@ -261,7 +214,6 @@ def _links(radius: int, width: int):
             keys = np.column_stack([batch.column(c).to_numpy() for c in ("cell", "a", "b", "side")])
             nodes = words(batch.column("fp"))
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            pairs = []
             for low, high in itertools.pairwise(starts):
                 *now, side = keys[low].tolist()
                 if now != key:
@@ -269,19 +221,19 @@ def _links(radius: int, width: int):
                 if side == 0:
                     waiting.append(nodes[low:high])
                 elif waiting:
-                    tile = tile or Tile(np.concatenate(waiting), radius, coarse)
-                    pairs += tile.meet(nodes[low:high])
-            if pairs and sum(len(p[0]) for p in pairs):
-                yield link(pairs)
+                    tile = tile or Tile(np.concatenate(waiting), radius)
+                    visitors, found = tile.meet(nodes[low:high])
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([binary(visitors), binary(found)], names=["a", "b"])
 
     return run
 
 
-def links(celled: DataFrame, radius: int, width: int, bounded: bool) -> DataFrame:
+def links(celled: DataFrame, radius: int) -> DataFrame:
     """(a, b) of a graph with the same components as that of all pairs of nodes within the radius.
 
-    celled: fp (distinct), cells and visits. bounded: the number of cells is, whatever the number of nodes, so that
-    their sizes may be broadcast; else they are joined by cell, one row for each, so that a large cell can be split.
+    celled: fp (distinct), cells and visits. The number of cells is bounded whatever the number of nodes, so that their
+    sizes may be broadcast.
     """
     homes, visitors = celled.select("fp", F.explode("cells").alias("cell")), celled.select("fp", F.explode("visits").alias("cell"))
     left = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n_left"))
@@ -292,193 +244,62 @@ def links(celled: DataFrame, radius: int, width: int, bounded: bool) -> DataFram
         F.ceil(F.col("n_left") / LEFT_ROWS).cast("int").alias("n_a"),
         F.ceil(F.col("n_right") / RIGHT_ROWS).cast("int").alias("n_b"),
     )
-    tiles = F.broadcast(checkpointed(tiles)) if bounded else checkpointed(tiles)
+    tiles = F.broadcast(checkpointed(tiles))
     spot = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lefts = homes.join(tiles, "cell").select("cell", spot("n_a").alias("a"), each("n_b").alias("b"), F.lit(0).alias("side"), "fp")
     rights = visitors.join(tiles, "cell").select("cell", each("n_a").alias("a"), spot("n_b").alias("b"), F.lit(1).alias("side"), "fp")
     dealt = lefts.unionByName(rights).repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "side")
-    return dealt.mapInArrow(_links(radius, width), "a binary, b binary")
-
-
-# --- similarity of shingle sets ------------------------------------------------------
-
-
-class Sets:
-    """The shingle sets of a tile's texts, and the links that similar sets make among and to them."""
-
-    def __init__(self, rows: list[tuple[bytes, np.ndarray]], radius: int, similarity: float) -> None:
-        self.prints, self.sets = [fp for fp, _ in rows], [one for _, one in rows]
-        self.words = np.stack([np.frombuffer(fp, np.uint64) for fp in self.prints])
-        self.sizes = np.array([len(one) for one in self.sets], np.int64)
-        self.radius, self.similarity = radius, similarity
-        self.label = np.arange(len(rows))
-        self.hashes, self.owners = None, None
-
-    def _common(self, one: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Hashes that a set has in common with each of these."""
-        if len(columns) <= FEW:
-            return np.array([len(np.intersect1d(one, self.sets[c], assume_unique=True)) for c in columns], np.int64)
-        if self.hashes is None:
-            every = np.concatenate(self.sets)
-            order = np.argsort(every, kind="stable")
-            self.hashes, self.owners = every[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
-        low, high = np.searchsorted(self.hashes, one, "left"), np.searchsorted(self.hashes, one, "right")
-        runs = high - low
-        at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
-        return np.bincount(self.owners[at], minlength=len(self.sets))[columns]
-
-    def _similar(self, one: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        common = self._common(one, columns)
-        return common >= self.similarity * (self.sizes[columns] + len(one) - common) - 1e-9
-
-    def meet(self, fp: bytes, one: np.ndarray, own: int | None = None) -> list[tuple[bytes, bytes]]:
-        """Links of a set to one of each group of the tile that it is similar to; own: its place, if it is of the tile."""
-        far = np.bitwise_count(self.words ^ np.frombuffer(fp, np.uint64)).sum(axis=1, dtype=np.int64)
-        sizes = np.minimum(self.sizes, len(one)) >= self.similarity * np.maximum(self.sizes, len(one)) - 1e-9
-        near = (far <= self.radius) & (far > 0) & sizes
-        if own is not None:
-            near &= self.label != self.label[own]
-            near[own:] = False  # later ones meet this one in their turn
-        columns = np.flatnonzero(near)
-        if not len(columns):
-            return []
-        # The nearest of each group first: where that is similar, the group's others need no look.
-        columns = columns[np.argsort(far[columns], kind="stable")]
-        first = np.zeros(len(columns), bool)
-        first[np.unique(self.label[columns], return_index=True)[1]] = True
-        found = columns[first][self._similar(one, columns[first])]
-        rest = columns[~first]
-        rest = rest[~np.isin(self.label[rest], self.label[found])]
-        if len(rest):
-            more = rest[self._similar(one, rest)]
-            found = np.concatenate([found, more[np.unique(self.label[more], return_index=True)[1]]])
-        if len(found):
-            groups = self.label[found] if own is None else np.append(self.label[found], self.label[own])
-            self.label[np.isin(self.label, groups)] = groups.min()
-        return [(fp, self.prints[c]) for c in found]
-
-    def meet_all(self) -> list[tuple[bytes, bytes]]:
-        return [pair for i, fp in enumerate(self.prints) for pair in self.meet(fp, self.sets[i], i)]
-
-
-def _similar_links(words: int, radius: int, similarity: float):
-    """Function of mapInArrow over rows (cell, a, b, side, fp, text) sorted so; gives links (a, b)."""
-
-    def link(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in zip(*pairs, strict=True)], names=["a", "b"])
+    return dealt.mapInArrow(_links(radius), "a binary, b binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lefts, seen, sets = None, {}, set(), None
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "a", "b", "side")), strict=True))
-            prints, pairs = batch.column("fp").to_pylist(), []
-            for start, texts in text_batches(batch):
-                for i, text in enumerate(texts, start):
-                    *now, side = keys[i]
-                    if now != key:
-                        if lefts and key[1] == key[2]:
-                            pairs += Sets(list(lefts.items()), radius, similarity).meet_all()
-                        key, lefts, seen, sets = now, {}, set(), None
-                    fp = prints[i]
-                    if fp in lefts or fp in seen:
-                        continue  # repeated rows
-                    one = np.unique(shingle_hashes(text, words))
-                    if side == 0:
-                        lefts[fp] = one
-                    elif lefts:
-                        seen.add(fp)
-                        sets = sets or Sets(list(lefts.items()), radius, similarity)
-                        pairs += sets.meet(fp, one)
-            if pairs:
-                yield link(pairs)
-        if lefts and key[1] == key[2]:
-            pairs = Sets(list(lefts.items()), radius, similarity).meet_all()
-            if pairs:
-                yield link(pairs)
-
-    return run
 
-
-def similar_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
-    """(a, b) of a graph with the same components as that of all pairs of similar shingle sets among candidates.
-
-    near: links (a, b) of all pairs within the radius, or of a forest of them: a pair of its components that is not
-    linked itself is compared all the same. nodes: fp and sample, the {doc_id, text_hash, n_chars} of one of its texts.
-    """
-    placed = checkpointed(nodes.join(connected(near).withColumnRenamed("node", "fp"), "fp").select("fp", F.xxhash64("root").alias("cell"), "sample"))
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CHECK_ROWS, F.sum(F.col("sample.n_chars")) / CHECK_CHARS, F.lit(1))).cast("int")
-    # A component may hold a third of the nodes; its blocks are one row, so its rows can be split.
-    placed = placed.join(placed.groupBy("cell").agg(blocks.alias("n")), "cell")
-    placed = placed.select("cell", "n", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("spot"), "fp", F.col("sample.doc_id").alias("_id"), F.col("sample.text_hash").alias("_p"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_p")))
-    # Each pair of blocks once: the earlier block is the tile's own, the later one visits.
-    tile = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    dealt = texts.select("cell", "spot", tile, "fp", "text").select(
-        "cell",
-        F.least("spot", "other").alias("a"),
-        F.greatest("spot", "other").alias("b"),
-        F.when(F.col("spot") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "fp",
-        "text",
-    )
-    dealt = dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "side")
-    return dealt.mapInArrow(_similar_links(words, radius, similarity), "a binary, b binary")
+# --- groups --------------------------------------------------------------------------
 
 
-# --- groups --------------------------------------------------------------------------
+def classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, first_id) of every fingerprint; root: the least fingerprint that it reaches; first_id: its least id."""
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = connected(links(popcount_cells(nodes, radius), radius))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return placed.select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
 
 
-def grouped(
-    prints: DataFrame, radius: int, width: int, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None
-) -> DataFrame:
+def grouped(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) of every fingerprint; component_id: the smallest doc_id that is reached, or null.
 
-    prints: doc_id, fp, minima. check: from nodes and candidate links the links that count.
+    prints: doc_id, fp.
     """
-    least = [F.min("doc_id").alias("first_id"), F.min("minima").alias("minima")]
-    if check:
-        least.append(F.min(F.struct("doc_id", "text_hash", "n_chars")).alias("sample"))
-    nodes = checkpointed(prints.groupBy("fp").agg(*least))
-    celled = popcount_cells(nodes, radius) if width == 1 else minimum_cells(nodes)
-    near = links(celled, radius, width, bounded=width == 1)
-    roots = connected(check(nodes, near) if check else near)
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    linked = placed.where(F.col("root").isNotNull()).select("fp", "root", "first_id")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    alone = placed.where(F.col("root").isNull()).select("fp", F.col("first_id").alias("component_id"))
-    return linked.join(least, "root").select("fp", "component_id").unionByName(alone)
+    placed = classes(prints, radius)
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return placed.join(least, "root").select("fp", "component_id")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, distinct: bool = False, similarity: float | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp and component_id of every document.
 
-    similarity: of the shingle sets, from which on a pair within the radius is linked; without it every one is.
-
     Null and empty texts have a zero fingerprint and are linked like others; repeated rows fall together; a null id is
-    never a component_id unless the whole group has no other; an empty table gives no rows; other columns are ignored.
+    never a component_id unless the whole group has no other; very long texts are hashed whole, in parts of bounded
+    memory; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    prints = checkpointed(fingerprints(docs, words, width, distinct))
-    check = similarity and (lambda nodes, near: similar_links(docs, nodes, near, words, radius, similarity))
+    prints = checkpointed(fingerprints(docs, words).drop("text_hash"))
     # A fingerprint may hold a third of the rows: the planner may split that side, as the other has one row for it.
-    return prints.select("doc_id", "fp").join(grouped(prints, radius, width, check), "fp")
+    return prints.join(grouped(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = CANDIDATE_RADIUS, width: int = 8, similarity: float = SIMILARITY) -> DataFrame:
-    """Documents with all their columns, of each group of near duplicates the one with the smallest doc_id.
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """Documents with all their columns, of each group of linked fingerprints the one with the smallest doc_id.
 
-    Two sets of shingles with a similarity of 0.8 differ in 78 of 512 bits on average, and very short ones in up to 96,
-    give or take 9; the radius takes all such pairs, and the sets decide. Texts of fewer words than a shingle are compared
-    as a whole. Of rows that repeat the kept id one stays; rows without an id all stay.
+    Of rows with that id, the group's first text (by hash) stays, once. An id that stands for texts of several groups
+    keeps a text of each; rows without an id all stay.
     """
-    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, radius, width, True, similarity)
-    ids = kept.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    rank, columns = "_rank", docs.columns
-    while rank in columns:
-        rank += "_"
-    found = docs.join(ids, docs["doc_id"] == ids["_kept_id"], "left_semi").withColumn(rank, F.row_number().over(first))
-    return found.where(F.col(rank) == 1).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    known = docs.where(F.col("doc_id").isNotNull())
+    prints = checkpointed(fingerprints(known, words))
+    placed = prints.join(classes(prints, radius).select("fp", "root"), "fp")
+    kept = placed.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_kept")).select("_kept.*").distinct()
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    row, rank = F.struct(*[known[c] for c in docs.columns]).alias("_row"), F.row_number()
+    plain = [known[c] for c, kind in docs.dtypes if "map<" not in kind]
+    whole = known.select(row, known["doc_id"].alias("_id"), F.xxhash64(known["text"]).alias("_hash"), F.xxhash64(*plain).alias("_order"))
+    found = whole.join(kept, (F.col("_id") == F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    first = found.withColumn("_rank", rank.over(Window.partitionBy("_id", "_hash").orderBy("_order"))).where(F.col("_rank") == 1)
+    return first.select(*[F.col("_row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
