@@ -1,8 +1,8 @@
 """A training corpus from `documents`: stages that each read what the one before has written.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Documents that the quality
-classifier rejects go; of near duplicates (five-word shingles, similarity 0.8 or more) one stays; secrets that are no
-widely copied examples are masked; each document is there as often as the mix takes it; the last stage encodes it.
+classifier rejects go; of near duplicates (SimHash fingerprints of three-word shingles within two bits) one stays; secrets
+that are no widely copied examples are masked; each document is there as often as the mix takes it; the last stage encodes it.
 """
 
 from __future__ import annotations
