@@ -6,13 +6,15 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch handed to Python at once; batches also end by size.
 BATCH_CHARS = 1 << 21
+#: Rows of all labels that a model is fitted on, at most.
+SAMPLE_TOTAL = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,31 +57,32 @@ def text_batches(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, total: int = SAMPLE_TOTAL
 ) -> tuple[list[tuple], dict]:
     """(label, text) of at most `rows` documents of each label, for the driver, and the learnable ids of each label.
 
-    labels: doc_id and one label for it. Only labelled ids are counted first; the share of ids that the sample
-    needs is then chosen by hash, so the texts of no other rows leave their tasks. Rows of over `max_chars`
-    characters are no examples. The sample depends on ids alone and is the same in any partitioning.
+    labels: doc_id and one label for it. At most `total` rows are taken in all, shared out evenly where there are many
+    labels (of more labels than that, the commonest). Only labelled ids are counted first; the share of ids that the
+    sample needs is then chosen by hash, so the texts of no other rows leave their tasks, and they are read in one pass.
+    Rows of over `max_chars` characters are no examples. The sample depends on ids alone and is the same in any
+    partitioning.
     """
     # A repeated id has one label: the smallest.
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label"))
     known = known.where(~held_out())
-    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    counted = known.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+    counts = {r["_label"]: r["_n"] for r in counted.orderBy(F.desc("_n"), "_label").limit(total).collect()}
     if not counts:
         return [], {}
+    rows = max(1, min(rows, total // len(counts)))
     order = F.xxhash64("doc_id", F.lit(17))
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col("_label") == F.lit(value), F.lit(min(1.0, 2.0 * rows / n))).otherwise(share)
-    chosen = known.where(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).select(F.col("doc_id").alias("_id"), "_label")
+    # About 2 * rows ids of each label, whatever the number of documents.
+    chosen = known.join(counted, "_label").where(F.pmod(order, F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * rows / F.col("_n")) * (1 << 30))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), "_label")
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.char_length("_text").between(1, max_chars))
-    # About 2 * rows ids for each label, whatever the number of documents.
     found = texts.join(F.broadcast(chosen), "_id")
-    # Each label's texts by id: at most rows per label travel to the driver.
-    out = []
-    for value in sorted(counts, key=str):
-        mine = found.where(F.col("_label") == F.lit(value)) if len(counts) > 1 else found
-        out += [(value, r["_text"]) for r in mine.orderBy(F.xxhash64("_id", F.lit(17)), "_id", "_text").limit(rows).collect()]
-    return out, counts
+    first = Window.partitionBy("_label").orderBy(F.xxhash64("_id", F.lit(17)), "_id", "_text")
+    found = found.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows)
+    out = [(r["_label"], r["_place"], r["_text"]) for r in found.collect() if r["_label"] in counts]
+    out.sort(key=lambda r: (str(r[0]), r[1]))
+    return [(value, text) for value, _, text in out], counts

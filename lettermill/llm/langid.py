@@ -5,9 +5,11 @@ A text is lower-cased, letters stay and all else becomes one space; its 1- to 3-
 clustered by spherical k-means, since a language has several styles. A text farther from every centroid than nearly
 all learnt texts of the nearest language are from theirs is rejected (`und` in `language`); its nearest stays visible.
 
-Fitted on a bounded sample: `SAMPLE_ROWS` rows of each language, of at most `SAMPLE_CHARS` characters each.
+Fitted on a bounded sample: `SAMPLE_ROWS` rows of each language, of at most `SAMPLE_CHARS` characters each, and
+`common.SAMPLE_TOTAL` rows in all. The model has CENTROIDS vectors for each language, 128 KB.
 Null texts and texts without a letter are `und` with score 0; without any learnt language all are. Repeated rows are
-judged alike; an empty table gives no rows.
+judged alike; very long texts are counted whole, in parts; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -103,19 +105,25 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(rows: list[tuple[str, str]]) -> LanguageModel | None:
     """rows: (language, text); None if no text has a letter."""
     letters = letters_table()
-    counted = [(language, counts.astype(np.float32)) for language, text in rows if (counts := n_gram_counts(text, letters)) is not None]
-    if not counted:
+    # Only n-grams that occur are kept; the whole vectors of one language at a time.
+    sparse: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    seen, n = np.zeros(DIMENSIONS, np.int64), 0
+    for language, text in rows:
+        if (counts := n_gram_counts(text, letters)) is not None:
+            at = np.flatnonzero(counts)
+            sparse.setdefault(language, []).append((at.astype(np.int32), counts[at].astype(np.float32)))
+            seen[at] += 1
+            n += 1
+    if not sparse:
         return None
-    matrix = np.stack([counts for _, counts in counted])
-    seen = (matrix > 0).sum(axis=0)
-    idf = (np.log((1 + len(matrix)) / (1 + seen)) + 1).astype(np.float32)
-    vectors = weighted(matrix, idf)
-    del matrix
-    names = np.array([language for language, _ in counted])
-    languages = tuple(sorted(set(names.tolist())))
+    idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+    languages = tuple(sorted(sparse))
     centroids, language_of, least = [], [], []
     for i, language in enumerate(languages):
-        own = vectors[names == language]
+        matrix = np.zeros((len(sparse[language]), DIMENSIONS), np.float32)
+        for row, (at, counts) in zip(matrix, sparse.pop(language), strict=True):
+            row[at] = counts
+        own = weighted(matrix, idf)
         means = spherical_means(own, CENTROIDS)
         centroids.append(means)
         language_of += [i] * len(means)

@@ -9,8 +9,9 @@ share of label 1 to that of all learnable labels.
 
 Fitted on a bounded sample: `SAMPLE_ROWS` labelled rows of each label, of at most `SAMPLE_CHARS` characters each.
 Null and empty texts get the share of label 1 (their sizes say nothing); repeated rows score alike; with fewer than
-three rows of either label every text gets the share of label 1 among them (0.5 without any); an empty table gives no
-rows.
+three rows of either label every text gets the share of label 1 among them (0.5 without any); very long texts are
+compressed whole, piece by piece; an empty table gives no rows; other columns are ignored or, where rows are kept, stay,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -3,18 +3,19 @@
 Base spans are those of three patterns. Beyond them every long token of letters and digits is a candidate. A
 candidate's SHA-256 is counted by distinct repositories and distinct owners over all documents: what many owners hold
 is a copied example, what one owner holds looks like a live credential. Base spans stay whatever their count; a live
-token that touches no base span is added as kind `owned`.
+token that no base span contains is added as kind `owned`, also where it sticks out of one.
 
 Positions come from a text's pieces between matches (the same pattern splits and extracts). Null texts are empty and
 have no spans; a null owner or repository is one like any other; repeated rows give the same spans each; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored, whatever their names. Very long texts are scanned and masked whole, in time in proportion
+to their length.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.llm.common import checkpointed
@@ -136,18 +137,22 @@ def ownership(found: DataFrame, limits: Ownership) -> DataFrame:
 def judged(docs: DataFrame, owner: Column, repository: Column, limits: Ownership = Ownership()) -> DataFrame:
     """doc_id, _print, and spans: an array of {start, kind, end, value, verdict} of each document that has any.
 
-    Base spans all stay; tokens that touch no base span are there if live. Repeated rows are one row here.
+    Base spans all stay; tokens that no base span contains are there if live. Repeated rows are one row here.
     """
+    one = F.struct("span.start", "span.kind", "span.end", "span.value", "verdict")
+    return _placed(docs, owner, repository, limits).groupBy("doc_id", "_print").agg(F.array_sort(F.collect_set(one)).alias("spans"))
+
+
+def _placed(docs: DataFrame, owner: Column, repository: Column, limits: Ownership) -> DataFrame:
+    """doc_id, _print, span and verdict: a row for each span of each row of docs."""
     found = scanned(docs, owner, repository)
     found = found.where((F.size("base") > 0) | (F.size("tokens") > 0))
     verdicts = ownership(found, limits).select("_hash", "verdict")
-    apart = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    apart = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     spans = found.select("doc_id", "_print", F.explode(F.array_union(F.col("base"), apart)).alias("span"))
     # A value may be in a third of all documents; verdicts have one row for it, so its rows can be split.
     placed = spans.withColumn("_hash", F.sha2(F.col("span.value"), 256)).join(verdicts, "_hash")
-    placed = placed.where((F.col("span.kind") < 3) | (F.col("verdict") == "live"))
-    one = F.struct("span.start", "span.kind", "span.end", "span.value", "verdict")
-    return placed.groupBy("doc_id", "_print").agg(F.array_sort(F.collect_set(one)).alias("spans"))
+    return placed.where((F.col("span.kind") < 3) | (F.col("verdict") == "live")).drop("_hash")
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -184,17 +189,28 @@ def secret_spans(docs: DataFrame, owner: Column, repository: Column, limits: Own
 def masked(docs: DataFrame, owner: Column, repository: Column, limits: Ownership = Ownership()) -> DataFrame:
     """The documents with all their columns; secrets in their text that are no copied examples are replaced by MASK.
 
-    An assigned secret loses its value and keeps its name.
+    Secrets are masked where they stand, those that overlap or touch together; the same letters elsewhere are left. An
+    assigned secret loses its value and keeps its name.
     """
-    secret = F.filter("spans", lambda s: s["verdict"] != "example")
-    values = F.array_distinct(F.transform(secret, lambda s: s["value"]))
-    spans = judged(docs, owner, repository, limits).select("doc_id", "_print", values.alias("spans")).where(F.size("spans") > 0)
+    spans = _placed(docs, owner, repository, limits).where(F.col("verdict") != "example")
+    start = F.when(F.col("span.kind") == 0, F.col("span.end") - F.char_length("span.value")).otherwise(F.col("span.start"))
+    spans = spans.select("doc_id", "_print", start.alias("start"), F.col("span.end").alias("end")).distinct()
+    before = Window.partitionBy("doc_id", "_print").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.max("end").over(before), F.lit(0)))
+    # What stays: a piece before each group of spans, the first of which may be empty, and the rest of the text.
+    piece = F.when((F.col("start") > F.col("_before")) | (F.col("_before") == 0), F.struct(F.col("_before").alias("from"), F.col("start").alias("to")))
+    kept = spans.groupBy("doc_id", "_print").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.max("end").alias("rest"))
+    kept = kept.select("doc_id", "_print", F.struct("pieces", "rest").alias("spans"))
     columns = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("_print"))
-    joined = _joined(keyed, spans)
+    joined = _joined(keyed, kept)
     text = F.col("_row")["text"]
-    # Longer values first, so that a value inside another does not cut it.
-    ordered = F.array_sort(F.col("_spans"), lambda a, b: F.char_length(b) - F.char_length(a))
-    clean = F.aggregate(ordered, text, lambda acc, value: F.replace(acc, value, F.lit(MASK)))
+    # Four bytes a character: a piece is found without counting the characters before it.
+    wide = joined.withColumn("_wide", F.when(F.col("_spans").isNotNull(), F.encode(text, "UTF-32")))
+    mark = F.unhex(F.lit("0000FEFF"))  # the byte order that the decoder takes off, so that one in the text stays
+    cut = lambda at, n: F.decode(F.concat(mark, F.substring(F.col("_wide"), 4 * at + 1, n)), "UTF-32")
+    own = F.col("_spans.pieces"), F.col("_spans.rest")
+    pieces = F.transform(own[0], lambda p: cut(p["from"].cast("int"), (4 * (p["to"] - p["from"])).cast("int")))
+    clean = F.array_join(F.concat(pieces, F.array(cut(own[1].cast("int"), F.octet_length("_wide")))), MASK)
     clean = F.when(F.col("_spans").isNull(), text).otherwise(clean)
-    return joined.select(*[clean.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns])
+    return wide.select(*[clean.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns])

@@ -108,3 +108,69 @@ def test_awkward_quality(spark, labelled):
     assert len({r.score for r in scored if r.doc_id in (1, 9)}) == 1
     assert quality.quality_scores(awkward(spark).limit(0), labels).count() == 0
     assert {r.score for r in quality.quality_scores(awkward(spark), labels.limit(0)).collect()} == {0.5}
+
+
+def test_labels_of_any_number_share_the_sample(spark):
+    """More labels than rows of the sample: the commonest have one each; all labels have some where there is room."""
+    from lettermill.llm.common import labelled_sample
+
+    rows = [(i, f"text {i}", f"l{i % 1500}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample, counts = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", 5, 100)
+    assert len(counts) == len({l for l, _ in sample}) > 1400
+    again, _ = labelled_sample(docs.repartition(7), docs.select("doc_id", "lang"), "lang", 5, 100)
+    assert sample == again
+    few, counts = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", 5, 100, total=40)
+    assert len(counts) == 40 and len(few) <= 40
+    many, _ = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", 5, 100, total=3000)
+    assert max(sum(l == k for l, _ in many) for k in counts) <= 2
+
+
+def test_cosines_equal_a_plain_version(spark):
+    """Nearest centroid and cosine of each text, from dictionaries of n-grams instead of hashed arrays."""
+    import math
+    import re
+
+    rows = [(i, l, t) for i, (l, t) in enumerate(_language_rows())]
+    model = langid.fit([(l, t) for _, l, t in rows[::2]])
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    letters = langid.letters_table()
+
+    def slow(text):
+        plain = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+        counts = {}
+        for n in (1, 2, 3):
+            for k in range(len(plain) - n + 1):
+                counts[plain[k : k + n]] = counts.get(plain[k : k + n], 0) + 1
+        return counts
+
+    def bucket(gram):  # an n-gram's place: that of the text that adds it
+        h = (ord(gram[0]) * 0x9E3779B1) & 0xFFFFFFFF
+        for c in gram[1:]:
+            h = (((h ^ (h >> 15)) * 0x85EBCA77) + ord(c) * 0xC2B2AE3D) & 0xFFFFFFFF
+        return h >> (32 - langid.DIMENSIONS.bit_length() + 1)
+
+    found = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for i, _, text in rows:
+        vector = [0.0] * langid.DIMENSIONS
+        for gram, n in slow(text).items():
+            if gram != "  " and (len(gram) == 1 or gram != " " * len(gram)):
+                vector[bucket(gram)] += n
+        vector[bucket(" ")] -= 1  # the space before the text begins no n-gram of one
+        mine = langid.n_gram_counts(text, letters)
+        assert np.allclose(mine, vector)
+        weights = [math.sqrt(v) * w for v, w in zip(vector, model.idf)]
+        norm = math.sqrt(sum(w * w for w in weights))
+        cosines = [sum(a * b for a, b in zip(weights, c)) / norm for c in model.centroids.tolist()]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert found[i].nearest == model.languages[model.language_of[best]]
+        assert abs(found[i].score - cosines[best]) < 1e-5
+
+
+def _language_rows():
+    draw = np.random.default_rng(12)
+    parts = {"aa": "ka lo mi ta", "bb": "sch ei ung ver", "cc": "ção lh nho é"}
+    for language, syllables in parts.items():
+        own = syllables.split()
+        for _ in range(10):
+            yield language, " ".join("".join(own[k] for k in draw.integers(0, len(own), 3)) for _ in range(12)) + ", 3!"
