@@ -3,7 +3,8 @@
 On a bounded sample the graph of nearest neighbours is cut into balanced parts by recursive bisection, and a small
 network learns to tell in which parts a vector's neighbours are. Every vector is filed under its most probable part;
 a query goes to its several most probable parts and is compared exactly with all that is filed there. How many parts a
-query visits is the least that surely found `RECALL` of the neighbours of sample rows that the network has not seen.
+query visits is the least that surely found `RECALL` of the neighbours of sample rows that the network has not seen, and
+more where these hold fewer than twice the rows that are asked for.
 
 Fitted on `SAMPLE_ROWS` rows at most, chosen by a hash of the id. Parts grow with the rows up to `MOST_PARTS`; a part of
 any size is filed in blocks and queries come in chunks, so no task holds a whole part.
@@ -16,7 +17,7 @@ id. A table without vectors gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +54,13 @@ class Router:
         """The n most probable parts of each, the best first."""
         return np.argsort(-self.scores(vectors), axis=1, kind="stable")[:, :n].astype(np.int32)
 
+    def visited(self, vectors: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """The parts that each visits: `probes`, and more until these hold `least` rows. held: rows of each part."""
+        order = self.parts(vectors, len(held))
+        upto = np.cumsum(held[order], axis=1)
+        enough = np.minimum((upto < least).sum(axis=1) + 1, len(held))
+        return [row[:n] for row, n in zip(order, np.maximum(enough, self.probes), strict=True)]
+
 
 # --- fitting on the sample -------------------------------------------------------------
 
@@ -273,27 +281,30 @@ def search(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = good.sparkSession.sparkContext.broadcast(router)
 
-    def route(n: int):
+    def route(choose: Callable[[np.ndarray], list[np.ndarray]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    parts = sent.value.parts(matrix(batch.column("v")), n)
-                    yield batch.append_column("parts", pa.array(list(parts), pa.list_(pa.int32())))
+                    yield batch.append_column("parts", pa.array(choose(matrix(batch.column("v"))), pa.list_(pa.int32())))
 
         return run
 
     schema = "vec_id long, v array<double>, parts array<int>"
-    filed = good.mapInArrow(route(1), schema).select("vec_id", "v", F.col("parts")[0].alias("part"))
-    routed = good.where(is_query).mapInArrow(route(router.probes), schema).select("vec_id", "v", F.explode("parts").alias("part"))
-    # A row for each part: bounded by MOST_PARTS.
-    sizes = filed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(routed.groupBy("part").agg(F.count(F.lit(1)).alias("q")), "part")
-    cells = [(r["part"], -(-r["n"] // BLOCK_ROWS), -(-r["q"] // CHUNK_ROWS)) for r in sizes.collect()]
+    filed = good.mapInArrow(route(lambda v: list(sent.value.parts(v, 1))), schema).select("vec_id", "v", F.col("parts")[0].alias("part"))
+    # A row for each part: bounded by MOST_PARTS. Repeated rows are one, so distinct ids are counted, by a sketch that
+    # may be out by some hundredths.
+    filled = {r["part"]: r for r in filed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("vec_id").alias("ids")).collect()}
+    held = np.array([filled[p]["ids"] if p in filled else 0 for p in range(router.b2.shape[0])], np.int64)
+    routed = good.where(is_query).mapInArrow(route(lambda v: sent.value.visited(v, held, 2 * (k + 1))), schema)
+    routed = routed.select("vec_id", "v", F.explode("parts").alias("part"))
+    asked = {r["part"]: r["q"] for r in routed.groupBy("part").agg(F.count(F.lit(1)).alias("q")).collect()}
+    cells = [(p, -(-filled[p]["n"] // BLOCK_ROWS), -(-q // CHUNK_ROWS)) for p, q in asked.items() if p in filled]
     cells = F.broadcast(good.sparkSession.createDataFrame(cells, "part int, blocks int, chunks int"))
     spot = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = routed.join(cells, "part").select("part", each("blocks").alias("block"), spot("chunks", 1).alias("chunk"), F.lit(0).alias("side"), "vec_id", "v")
     points = filed.join(cells, "part").select("part", spot("blocks", 2).alias("block"), each("chunks").alias("chunk"), F.lit(1).alias("side"), "vec_id", "v")
-    dealt = queries.unionByName(points).repartition("part", "block", "chunk").sortWithinPartitions("part", "block", "chunk", "side")
+    dealt = queries.unionByName(points).repartition("part", "block", "chunk").sortWithinPartitions("part", "block", "chunk", "side", "vec_id", "v")
     found = dealt.mapInArrow(_compare(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -80,3 +80,24 @@ def test_router_finds_clusters():
     assert router.probes <= 6
     again = ann.fit(make(1600), 16, 10)
     assert again.w1.shape == router.w1.shape
+
+
+def test_every_query_gets_its_number_even_from_nearly_empty_parts(spark):
+    """All but a few of the rows are copies, which the router files under one part."""
+    draw = np.random.default_rng(6)
+    vectors = np.concatenate([np.tile(draw.normal(size=8), (900, 1)), draw.normal(size=(60, 8)) * 5])
+    found = ann.search(_frame(spark, range(960), vectors), F.col("vec_id") % 20 == 0).collect()
+    ranks = {}
+    for r in found:
+        ranks.setdefault(r.query_id, []).append(r.rank)
+    assert sorted(ranks) == list(range(0, 960, 20))
+    assert all(sorted(x) == list(range(1, 11)) for x in ranks.values())
+
+
+def test_visits_go_on_until_enough_rows_are_held():
+    zero = np.zeros
+    router = ann.Router(zero(2), 1.0, zero((2, 3)), zero(3), zero((3, 4)), np.array([4.0, 3.0, 2.0, 1.0]), 1)
+    visit = lambda held, least: [len(p) for p in router.visited(zero((1, 2)), np.array(held), least)]
+    assert visit([30, 1, 1, 1], 22) == [1]
+    assert visit([5, 0, 20, 100], 22) == [3]
+    assert visit([1, 1, 1, 1], 22) == [4]
