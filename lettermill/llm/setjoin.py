@@ -8,11 +8,11 @@ depth of DEPTH; smaller ones, and those that are left at that depth, are compare
 link.
 
 What keeps the work in proportion: equal sets are one; sets that are in one component already are not compared again,
-so a node of one component is done; in a large node all sets first meet one of them, chosen by hash, which makes most of a
-large group of near copies one component; then only what is outside a node's commonest component meets the others, in
-tiles of bounded size; and the first hash function's nodes are compared before all others. A link is
-given only if it joins two components of its tile. Work that stays quadratic: large groups of sets that share most of
-their shingles, but less than the similarity that links.
+so a node of one component is done; where nodes stay large at the last depth, all sets of a large node first meet one of
+them, chosen by hash, which makes most of a large group of near copies one component; then only what is outside a node's
+commonest component meets the others, in tiles of bounded size; and the first hash function's nodes are compared before
+all others. A link is given only if it joins two components of its tile. Work that stays quadratic: large groups of sets
+that share most of their shingles, but less than the similarity that links.
 
 Sets are compared by signatures first: of SKETCH minwise hashes two sets of 0.85 agree in 54 on average, and in fewer than
 LEAST_AGREED one pair in 10**7.
@@ -37,7 +37,7 @@ SIMILARITY = 85
 SHINGLE_WORDS = 5
 TREES, BRANCH, DEPTH = 4, 2, 3
 #: Sets of a node, and their shingles, that are compared without branching.
-LEAF_ROWS, LEAF_SHINGLES = 1_024, 1 << 22
+LEAF_ROWS, LEAF_SHINGLES = 4_096, 1 << 21
 #: Minwise hashes of a set, and how many two sets must agree in to be compared.
 SKETCH, LEAST_AGREED = 64, 38
 #: Sets that are compared with a set one by one; more are compared at once.
@@ -131,18 +131,23 @@ def _large() -> Column:
     return (F.col("rows_here") > LEAF_ROWS) | (F.col("shingles_here") > LEAF_SHINGLES)
 
 
+def _node(first: Column, *path: Column) -> Column:
+    """A node's number, even for nodes of the first hash function."""
+    return F.xxhash64(*path).bitwiseAND(F.lit(-2)) + F.when(first, 0).otherwise(1)
+
+
 def trees(sets: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(leaves, large nodes of each depth): rows node, sid, n and first (whether the node is of the first hash).
+    """(leaves, large nodes of each depth): rows node, sid, n. The last of the large ones are not branched.
 
-    The last of the large ones are not branched. sets: sid, n, keys, minima.
+    sets: sid, n, keys, minima.
     """
     rows = sets.select("sid", "n", F.posexplode("keys").alias("k", "value"))
-    rows = rows.select(F.xxhash64(F.col("k"), F.col("value")).alias("node"), "sid", "n", (F.col("k") == 0).alias("first"))
+    rows = rows.select(_node(F.col("k") == 0, F.col("k"), F.col("value")).alias("node"), "sid", "n")
     leaves, large = [], []
     for depth in range(1, DEPTH + 1):
         rows = checkpointed(_sized(rows))
-        leaves.append(rows.where(~_large()).select("node", "sid", "n", "first"))
-        many = rows.where(_large()).select("node", "sid", "n", "first")
+        leaves.append(rows.where(~_large()).select("node", "sid", "n"))
+        many = rows.where(_large()).select("node", "sid", "n")
         if many.isEmpty():
             break
         large.append(many)
@@ -151,7 +156,7 @@ def trees(sets: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
             picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(SKETCH)).cast("int")))
             value = F.substring("minima", F.col("pick") * 4 + 1, F.lit(4))
             split = many.join(sets.select("sid", "minima"), "sid").select("node", "sid", "n", "minima", F.explode(picks).alias("pick"))
-            rows = split.select(F.xxhash64("node", "pick", value).alias("node"), "sid", "n", F.lit(False).alias("first"))
+            rows = split.select(_node(F.lit(False), F.col("node"), F.col("pick"), value).alias("node"), "sid", "n")
     return leaves, large
 
 
@@ -164,10 +169,11 @@ def agreed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """One side of a tile: sets' ids, sizes, component labels and signatures; whole sets too where they are there."""
+    """One side of a tile, by size: sets' ids, sizes, component labels and signatures; whole sets too where they are there."""
 
-    def __init__(self, sids: list[bytes], sizes: list[int], labels: list[bytes], sketches: list[bytes], sets: list[np.ndarray]) -> None:
-        self.sids, self.labels, self.sets = sids, labels, sets
+    def __init__(self, rows: list[tuple[bytes, int, bytes, bytes, np.ndarray | None]]) -> None:
+        rows = sorted(rows, key=lambda r: r[1])
+        self.sids, sizes, self.labels, sketches, self.sets = (list(c) for c in zip(*rows, strict=True))
         self.sizes = np.array(sizes, np.int64)
         self.sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
@@ -175,27 +181,34 @@ class Rows:
         return len(self.sids)
 
 
-def plausible(left: Rows, right: Rows, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row of a block of right rows, whether each may be similar to each left row)."""
+def plausible(left: Rows, right: Rows, similarity: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row of a block of right rows, first of some left rows, whether each of the former may be similar to each
+    of the latter); no other left row has a size that allows it."""
     for low in range(0, len(right), BLOCK):
         part = slice(low, low + BLOCK)
-        least = np.minimum(left.sizes[None, :], right.sizes[part, None])
-        most = np.maximum(left.sizes[None, :], right.sizes[part, None])
-        yield low, (100 * least >= similarity * most) & (agreed(right.sketches[part], left.sketches) >= LEAST_AGREED)
-
-
-def hopeful(left: Rows, right: Rows | None, similarity: int) -> list[tuple[int, bytes]]:
-    """(side, id) of the sets of a tile that may be similar to one of another component. Without right, left meets itself."""
+        sizes = right.sizes[part]
+        start = int(np.searchsorted(100 * left.sizes, similarity * sizes[0], "left"))
+        end = int(np.searchsorted(similarity * left.sizes, 100 * sizes[-1], "right"))
+        if start < end:
+            window = left.sizes[start:end]
+            least = np.minimum(window[None, :], sizes[:, None])
+            most = np.maximum(window[None, :], sizes[:, None])
+            yield low, start, (100 * least >= similarity * most) & (agreed(right.sketches[part], left.sketches[start:end]) >= LEAST_AGREED)
+
+
+def hopeful(left: Rows, right: Rows | None, similarity: int) -> list[tuple[int, bytes, int]]:
+    """(side, id, size) of a tile's sets that may be similar to one of another component. Without right, left meets itself."""
     other, names = right or left, {}
     mine = np.array([names.setdefault(x, len(names)) for x in left.labels])
     theirs = np.array([names.setdefault(x, len(names)) for x in other.labels])
     from_left, from_other = np.zeros(len(left), bool), np.zeros(len(other), bool)
-    for low, near in plausible(left, other, similarity):
-        near &= theirs[low : low + BLOCK, None] != mine[None, :]
-        from_left |= near.any(axis=0)
-        from_other[low : low + BLOCK] = near.any(axis=1)
-    out = [(0, left.sids[k]) for k in np.flatnonzero(from_left).tolist()]
-    return out + [(1, right.sids[k]) for k in np.flatnonzero(from_other).tolist()] if right else out
+    for low, start, near in plausible(left, other, similarity):
+        rows, columns = slice(low, low + near.shape[0]), slice(start, start + near.shape[1])
+        near &= theirs[rows, None] != mine[None, columns]
+        from_left[columns] |= near.any(axis=0)
+        from_other[rows] = near.any(axis=1)
+    out = [(0, left.sids[k], int(left.sizes[k])) for k in np.flatnonzero(from_left).tolist()]
+    return out + [(1, right.sids[k], int(right.sizes[k])) for k in np.flatnonzero(from_other).tolist()] if right else out
 
 
 class Join:
@@ -226,13 +239,13 @@ class Join:
 
     def links(self) -> Iterator[tuple[bytes, bytes]]:
         n = len(self.left)
-        for low, block in plausible(self.left, self.other, self.similarity):
+        for low, start, block in plausible(self.left, self.other, self.similarity):
             for k in range(len(block)):
                 i = low + k
-                near = block[k] & (self.group[:n] != self.group[n + i])
+                near = block[k] & (self.group[start : start + block.shape[1]] != self.group[n + i])
                 if self.alone:
-                    near[i:] = False
-                columns = np.flatnonzero(near)
+                    near[max(i - start, 0) :] = False  # later ones meet this one in their turn
+                columns = np.flatnonzero(near) + start
                 if not len(columns):
                     continue
                 one = self.other.sets[i]
@@ -253,15 +266,15 @@ class Join:
 def _tiles(similarity: int, words: int | None):
     """Function of mapInArrow over rows (node, a, b, side, sid, n, label, sketch[, text]) sorted so.
 
-    With words it gives confirmed links (a, b); without, the rows (node, a, b, side, sid) that may have some.
+    With words it gives confirmed links (a, b); without, the rows (node, a, b, side, sid, n) that may have some.
     """
-    names = ["a", "b"] if words else ["node", "a", "b", "side", "sid"]
-    types = [pa.binary(), pa.binary()] if words else [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["a", "b"] if words else ["node", "a", "b", "side", "sid", "n"]
+    types = [pa.binary(), pa.binary()] if words else [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
 
     def done(key: tuple, sides: tuple[list, list]) -> list[tuple]:
         if not sides[0] or len(sides[0]) + len(sides[1]) < 2:
             return []
-        left, right = (Rows(*map(list, zip(*side, strict=True))) if side else None for side in sides)
+        left, right = (Rows(side) if side else None for side in sides)
         return list(Join(left, right, similarity).links()) if words else [(*key, *x) for x in hopeful(left, right, similarity)]
 
     def give(out: list[tuple]) -> pa.RecordBatch:
@@ -327,11 +340,8 @@ def _dealt(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return one.unionByName(lefts).unionByName(rights)
 
 
-def _stars(large: list[DataFrame]) -> DataFrame:
+def _stars(rows: DataFrame) -> DataFrame:
     """Tiles in which each set of a large node meets one of the node's, chosen by hash."""
-    rows = large[0]
-    for more in large[1:]:
-        rows = rows.unionByName(more)
     centres = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("sid", "node").alias("h"), "sid", "n")).alias("c"))
     pairs = rows.join(centres, "node").select(F.col("c.sid").alias("centre"), F.col("c.n").alias("centre_n"), "sid", "n")
     pairs = pairs.where(F.col("sid") != F.col("centre")).distinct()
@@ -347,14 +357,14 @@ def _stars(large: list[DataFrame]) -> DataFrame:
 def _hopes(tiles: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The rows of tiles that may have a link, by signatures."""
     found = _grouped(tiles.join(sets.select("sid", "sketch"), "sid")).mapInArrow(
-        _tiles(similarity, None), "node long, a int, b int, side int, sid binary"
+        _tiles(similarity, None), "node long, a int, b int, side int, sid binary, n long"
     )
     return checkpointed(found)
 
 
 def _links(hopes: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """(a, b): confirmed links that join components of a tile."""
-    rows = _grouped(_labelled(hopes, labels).join(texts, "sid"))
+    rows = _grouped(_labelled(hopes.drop("n"), labels).join(texts, "sid"))
     return checkpointed(rows.mapInArrow(_tiles(similarity, words), "a binary, b binary"))
 
 
@@ -379,28 +389,22 @@ def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: int)
     for more in leaves[1:]:
         rows = rows.unionByName(more)
     near = _hopes(_dealt(rows, None), sets, similarity)
-    near = checkpointed(near.select("node", "sid").join(rows, ["node", "sid"]))
-    links, labels = [], None
-    wanted = near.select("sid")
-    if large:
-        stars = _hopes(_stars(large), sets, similarity)
-        wanted = wanted.unionByName(stars.select("sid"))
-    texts = checkpointed(_texts(docs, sets, wanted))
-
-    def meet(hopes: DataFrame, known: DataFrame | None, source: DataFrame) -> DataFrame:
-        links.append(_links(hopes, known, source, words, similarity))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        return connected(every)
-
-    if large:
-        labels = meet(stars, None, texts)
-    if len(large) == DEPTH:  # too large at the last depth, and perhaps of several components
-        rest = _hopes(_dealt(large[-1], labels), sets, similarity)
-        labels = meet(rest, labels, _texts(docs, sets, rest))
-    labels = meet(_hopes(_dealt(near.where("first"), labels), sets, similarity), labels, texts)
-    return meet(_hopes(_dealt(near.where("not first"), labels), sets, similarity), labels, texts)
+    first, others = near.where(F.col("node") % 2 == 0), near.where(F.col("node") % 2 != 0)
+    wanted, links, labels = near.select("sid"), None, None
+    if len(large) == DEPTH:  # large at the last depth, and perhaps of several components
+        stars = _hopes(_stars(large[0]), sets, similarity)
+        texts = checkpointed(_texts(docs, sets, wanted.unionByName(stars.select("sid")).unionByName(large[-1].select("sid"))))
+        links = _links(stars, None, texts, words, similarity)
+        labels = connected(links)
+        first = _hopes(_dealt(first.select("node", "sid", "n").unionByName(large[-1]), labels), sets, similarity)
+    else:
+        texts = checkpointed(_texts(docs, sets, wanted))
+    more = _links(first, labels, texts, words, similarity)
+    links = links.unionByName(more) if links else more
+    labels = connected(links)
+    # What is not one component yet: the other nodes, by the components that are known now.
+    more = _links(_hopes(_dealt(others, labels), sets, similarity), labels, texts, words, similarity)
+    return connected(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:

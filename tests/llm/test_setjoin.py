@@ -94,7 +94,7 @@ def test_links_grow_with_the_group_not_its_square():
         sets = [setjoin.shingle_set(t) for t in texts]
         sketches = [(setjoin.minwise(s) >> np.uint64(24)).astype(np.uint8).tobytes() for s in sets]
         sids = [b"%06d" % i for i in range(size)]
-        rows = setjoin.Rows(sids, [len(s) for s in sets], sids, sketches, sets)
+        rows = setjoin.Rows(list(zip(sids, [len(s) for s in sets], sids, sketches, sets)))
         assert len(list(setjoin.Join(rows, None, 85).links())) == size - 1
 
 
