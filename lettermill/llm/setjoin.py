@@ -237,7 +237,15 @@ class Join:
         common = self._common(one, columns)
         return 100 * common >= self.similarity * (self.left.sizes[columns] + len(one) - common)
 
-    def links(self) -> Iterator[tuple[bytes, bytes]]:
+    def links(self) -> list[tuple[bytes, bytes]]:
+        """For each component that joins others, one of its sets with one of the first of these."""
+        before = self.group.copy()
+        self._merge()
+        sids = [*self.left.sids, *self.other.sids]
+        names, rows = np.unique(before, return_index=True)  # names are 0, 1, 2 ...
+        return [(sids[rows[g]], sids[rows[to]]) for g, to in zip(names.tolist(), self.group[rows].tolist(), strict=True) if g != to]
+
+    def _merge(self) -> None:
         n = len(self.left)
         for low, start, block in plausible(self.left, self.other, self.similarity):
             for k in range(len(block)):
@@ -260,7 +268,6 @@ class Join:
                 if len(found):
                     groups = np.append(self.group[found], self.group[n + i])
                     self.group[np.isin(self.group, groups)] = groups.min()
-                    yield from ((self.other.sids[i], self.left.sids[c]) for c in found.tolist())
 
 
 def _tiles(similarity: int, words: int | None):
@@ -275,7 +282,7 @@ def _tiles(similarity: int, words: int | None):
         if not sides[0] or len(sides[0]) + len(sides[1]) < 2:
             return []
         left, right = (Rows(side) if side else None for side in sides)
-        return list(Join(left, right, similarity).links()) if words else [(*key, *x) for x in hopeful(left, right, similarity)]
+        return Join(left, right, similarity).links() if words else [(*key, *x) for x in hopeful(left, right, similarity)]
 
     def give(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -400,8 +407,12 @@ def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: int)
     else:
         texts = checkpointed(_texts(docs, sets, wanted))
     more = _links(first, labels, texts, words, similarity)
-    links = links.unionByName(more) if links else more
-    labels = connected(links)
+    if links:
+        links = links.unionByName(more)
+        labels = connected(links)
+    else:
+        # Of the first hash a set is in one node, whose links all lead to the first set of their component.
+        links, labels = more, more.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     # What is not one component yet: the other nodes, by the components that are known now.
     more = _links(_hopes(_dealt(others, labels), sets, similarity), labels, texts, words, similarity)
     return connected(links.unionByName(more))
