@@ -13,6 +13,8 @@ from lettermill.plans import inputs as inp
 ID_FORMS = (
     "[{k}.9, -{k}]", "['{k}', \"{k}\"]", "({k}, 2)", "{{k}: 1}", "[None, {k}]", "[+{k}, - {k}]", "00{k}", "[1_000, {k}]",
     "[0x10, 0o17, 0b101, {k}]", "[({k}), 1]", "{k}; {k}", None, "['a', {k}]",
+    "[{k}j, 1]", "[b'{k}', 1]", "['{k}' '1']", "[[{k}], 1]", "([{k}])", "{k} - 1", "- {k}", "[{k}.5, 'x', None]", "[None, 'x{k}']",
+    "{{k}, 1}", "[{k}, [1, (2, {3: [4]})]", "[1, 2, 3 {k}]", "{k} + 1j", "set()", "[{k}, 1,]", "[True, {k}]",
 )
 
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
@@ -390,6 +392,8 @@ def oracle_queries() -> dict[str, str]:
     out["word_count"] = f"WITH {DPREP} SELECT letter_id, num_words FROM prep"
     out["parse_id_lists"] = f"WITH {PREP} SELECT letter_id, parsed_service_ids AS service_ids FROM prep"
     ids = ["k || '|' || m", "k || '|' || k", "''", "''", "''", "k || '|' || m", "k", "'1000|' || k", "'16|15|5|' || k", "k || '|1'", "k || '|' || k", "''", "k"]
+    ids += ["''", "k || '|1'", "k || '1'", "''", "k", "k || '|1'", "m", "k || '|5'", "''"]
+    ids += ["''", "k || '|1|2|3|4'", "'1|2|3|' || k", "''", "''", "k || '|1'", "'1|' || k"]
     raws = " ".join(f"WHEN {i} THEN replace({q(f)}, '{{k}}', k)" for i, f in enumerate(ID_FORMS) if f)
     expected = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(ids))
     out["parse_id_forms"] = f"""SELECT o_orderkey, CASE o_orderkey % {len(ids)} {raws} END AS raw,
