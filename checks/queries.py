@@ -25,6 +25,7 @@ from lettermill.operators import ranking as rk
 from lettermill.operators import requests as rq
 from lettermill.operators import runs as rn
 from lettermill.operators import significance as sg
+from lettermill.operators import similar as sm
 from lettermill.operators import synth as sy
 from lettermill.operators import tfidf as ti
 from lettermill.operators.catalogue import resolve_services, service_mapping
@@ -551,14 +552,32 @@ def similar_letters(spark, sf):
     return rounded(ti.similar_letters(rows, _similarity_model(rows), target))
 
 
+def _passages(spark, sf):
+    """Every benchmark passage, as a target."""
+    key = F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("letter_id")
+    return inp.table(spark, sf, "benchmark").select(key, tx.clean_text(F.col("text")).alias("text_cleaned"))
+
+
 @query
 def similar_letters_batch(spark, sf):
-    # Every benchmark passage is a target.
     rows = prepared_documents(spark, sf)
-    passages = inp.table(spark, sf, "benchmark").select(
-        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("letter_id"), tx.clean_text(F.col("text")).alias("text_cleaned")
-    )
-    return rounded(ti.similar_letters_batch(rows, passages, _similarity_model(rows)))
+    return rounded(ti.similar_letters_batch(rows, _passages(spark, sf), _similarity_model(rows)))
+
+
+@query
+def similar_letters_approximate(spark, sf):
+    """Letters of an approximate search, all with their exact similarity."""
+    rows = prepared_documents(spark, sf)
+    return rounded(sm.similar_letters_approximate(rows, _passages(spark, sf), _similarity_model(rows)))
+
+
+@query
+def similar_letters_recall(spark, sf):
+    """The approximate search beside the exact one."""
+    rows, passages = prepared_documents(spark, sf), _passages(spark, sf)
+    model = _similarity_model(rows)
+    found = sm.recall(sm.similar_letters_approximate(rows, passages, model), ti.similar_letters_batch(rows, passages, model))
+    return found.select("places", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query

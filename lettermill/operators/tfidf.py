@@ -30,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Similarities are compared at this many decimals: copies of a letter then tie
 # and are ordered by their id, whatever the order of the additions was.
 SCORE_DECIMALS = 9
+#: Letters of a block that meets a block of targets.
+LETTER_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -217,34 +219,35 @@ def similar_letters_batch(
 ) -> DataFrame:
     """The n letters most like each target: (target_id, key, similarity, position).
 
-    A letter with the target's own key is left out. Targets go out in blocks of about `block_size`, each sent to the
-    tasks as one matrix; letters are never shuffled, and a task gives exactly its n best letters for a target. The
-    letters' vectors are kept while blocks are compared; `letters.sparkSession.catalog.clearCache()` releases them.
+    A letter with the target's own key is left out. Targets are dealt into blocks of about `block_size` and letters into
+    blocks of LETTER_ROWS; each block of the one meets each of the other in a task of its own, as one matrix product
+    that gives exactly the n best letters of the block for a target. Nothing but two counts reaches the driver.
     """
-    corpus = _vectors(letters, model, key)
-    wanted = _vectors(targets, model, key)
-    schema = _match_schema(corpus, key)
-    spark = letters.sparkSession
-    blocks = math.ceil(wanted.count() / block_size)
-    if not blocks:
-        return spark.createDataFrame([], schema + ", position int")
-    if blocks > 1:
-        corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
-    place = F.pmod(F.xxhash64(key), F.lit(blocks))
-    parts = []
-    for i in range(blocks):
-        found = wanted.where(place == i).toPandas()
-        if len(found):
-            shared = spark.sparkContext.broadcast((found[key].to_numpy(), np.vstack(found["vector"].to_numpy())))
-            parts.append(corpus.mapInPandas(_best_of_task(shared, n, key), schema))
-    matches = parts[0]
-    for part in parts[1:]:
-        matches = matches.unionByName(part)
+    blocks = [math.ceil(df.count() / size) for df, size in ((letters, LETTER_ROWS), (targets, block_size))]
+    corpus, wanted = vectors_of(letters, model, key), vectors_of(targets, model, key)
+    if not all(blocks):
+        return letters.sparkSession.createDataFrame([], _match_schema(corpus, key) + ", position int")
+    own = lambda count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    lefts = wanted.select(every(blocks[0]).alias("a"), own(blocks[1]).alias("b"), F.lit(0).alias("side"), key, "vector")
+    rights = corpus.select(own(blocks[0]).alias("a"), every(blocks[1]).alias("b"), F.lit(1).alias("side"), key, "vector")
+    return best_of_tiles(lefts.unionByName(rights), n, key)
+
+
+def best_of_tiles(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """The n best letters for each target over all tiles in which they meet: (target_id, key, similarity, position).
+
+    rows: a and b (a tile), side (0 target, 1 letter), key and vector. A pair may meet in several tiles.
+    """
+    dealt = rows.repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    matches = dealt.mapInPandas(_best_of_task(n, key), _match_schema(rows, key))
+    matches = matches.groupBy("target_id", key).agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("target_id").orderBy(F.desc("similarity"), F.asc(key))
     return matches.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
 
 
-def _vectors(letters: DataFrame, model: TfidfModel, key: str) -> DataFrame:
+def vectors_of(letters: DataFrame, model: TfidfModel, key: str = "letter_id") -> DataFrame:
+    """The key and the TF-IDF vector as an array."""
     weighted = add_weights(letters.select(key, "text_cleaned"), model)
     return weighted.select(key, vector_to_array("tfidf").alias("vector"))
 
@@ -273,17 +276,25 @@ def _first_n(pool: pd.DataFrame, n: int, key: str) -> pd.DataFrame:
     return ordered.groupby("target_id", sort=False).head(n)
 
 
-def _best_of_task(shared, n: int, key: str):
-    """A mapInPandas function: the n best letters per target among a task's rows."""
+def _best_of_task(n: int, key: str):
+    """A mapInPandas function over sorted rows of tiles: the n best letters per target of each tile."""
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target_ids, target_vectors = shared.value
-        kept: pd.DataFrame | None = None
+        tile, waiting, targets, kept = None, [], None, None
         for frame in frames:
-            if len(frame):
-                vectors_here = np.vstack(frame["vector"].to_numpy())
-                found = _best(frame[key].to_numpy(), vectors_here, target_ids, target_vectors, n, key)
-                kept = _first_n(found if kept is None else pd.concat([kept, found]), n, key)
+            for (a, b, side), rows in frame.groupby(["a", "b", "side"], sort=False):
+                if (a, b) != tile:
+                    if kept is not None:
+                        yield kept
+                    tile, waiting, targets, kept = (a, b), [], None, None
+                ids, found = rows[key].to_numpy(), np.vstack(rows["vector"].to_numpy())
+                if side == 0:
+                    waiting.append((ids, found))
+                elif waiting:
+                    if targets is None:
+                        targets = np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting])
+                    here = _best(ids, found, *targets, n, key)
+                    kept = _first_n(here if kept is None else pd.concat([kept, here]), n, key)
         if kept is not None:
             yield kept
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from lettermill.operators import similar as sm
 from lettermill.operators import tfidf as ti
 
 TEXTS = [
@@ -80,9 +81,10 @@ def test_similar_letters(corpus):
         ti.similar_letters(corpus, model, "none")
 
 
-@pytest.mark.parametrize("block_size, parts", [(1024, 1), (60, 5), (7, 5), (59, 3)])
-def test_batch_equals_brute_force_with_copies(spark, block_size, parts):
+@pytest.mark.parametrize("block_size, parts, letter_rows", [(1024, 1, 16384), (60, 5, 16384), (7, 5, 9), (59, 3, 1)])
+def test_batch_equals_brute_force_with_copies(spark, monkeypatch, block_size, parts, letter_rows):
     """A third of the letters are copies of one text."""
+    monkeypatch.setattr(ti, "LETTER_ROWS", letter_rows)
     texts = ["same words here"] * 20 + [f"word{i % 7} word{i % 5} here" for i in range(40)]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "letter_id string, text_cleaned string")
     df = df.repartition(parts)
@@ -113,3 +115,45 @@ def test_weighting_shuffles_no_text(corpus):
     model = ti.fit_tfidf(corpus, 10, (1, 3))
     plan = ti.add_weights(corpus, model)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def _random_letters(spark, n, words, seed):
+    import random
+
+    draw = random.Random(seed)
+    texts = [" ".join(f"term{int(60 * draw.random() ** 2)}" for _ in range(words)) for _ in range(n)]
+    texts[n // 2 :: 3] = [texts[0]] * len(texts[n // 2 :: 3])
+    rows = [(f"{seed}_{i}", t) for i, t in enumerate([*texts, "", "?"])]
+    return spark.createDataFrame(rows, "letter_id string, text_cleaned string").repartition(4)
+
+
+@pytest.mark.parametrize("letter_rows, block_size", [(16384, 1024), (20, 7)])
+def test_approximate_search_finds_nine_of_ten(spark, monkeypatch, letter_rows, block_size):
+    monkeypatch.setattr(ti, "LETTER_ROWS", letter_rows)
+    letters, targets = _random_letters(spark, 700, 12, 1), _random_letters(spark, 60, 12, 2)
+    model = ti.fit_tfidf(letters, 60, (1, 1))
+    exact = ti.similar_letters_batch(letters, targets, model, 5).persist()
+    found = sm.similar_letters_approximate(letters, targets, model, 5, block_size=block_size).persist()
+    row = sm.recall(found, exact).first()
+    assert row.places > 250 and row.recall >= 0.9
+    # Every similarity is exact, and positions follow it.
+    vectors = {r.letter_id: r.vector for r in ti.vectors_of(letters.unionByName(targets), model).collect()}
+    seen = set()
+    for r in found.collect():
+        assert r.similarity == pytest.approx(sum(a * b for a, b in zip(vectors[r.target_id], vectors[r.letter_id])), abs=1e-8)
+        assert (r.target_id, r.letter_id) not in seen and r.position <= 5
+        seen.add((r.target_id, r.letter_id))
+
+
+def test_approximate_search_of_no_letters(spark):
+    letters = _random_letters(spark, 20, 5, 3)
+    model = ti.fit_tfidf(letters, 60, (1, 1))
+    assert sm.similar_letters_approximate(letters.limit(0), letters, model).count() == 0
+    assert sm.similar_letters_approximate(letters, letters.where("text_cleaned = '?'"), model).count() == 0
+    assert ti.similar_letters_batch(letters, letters.limit(0), model).count() == 0
+
+
+def test_batch_sends_nothing_through_the_driver(corpus):
+    model = ti.fit_tfidf(corpus, 10, (1, 1))
+    plan = ti.similar_letters_batch(corpus, corpus, model)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Broadcast" not in plan
