@@ -91,11 +91,10 @@ def _most_frequent(words: DataFrame, grams: Column, k: int) -> list[tuple[str, i
 def _vocabulary(words: DataFrame, k: int, low: int, high: int) -> list[tuple[str, int, int]]:
     """The k n-grams with the highest counts; ties go by the term.
 
-    An n-gram is never more frequent than its rarest word. Once the k most
-    frequent words are known, only words at least as frequent as the last of
-    them can be part of a top-k n-gram. Counting n-grams of those words alone
-    is exact, and leaves a few thousand candidates instead of about three per
-    word of the corpus.
+    An n-gram is never more frequent than its rarest word, and never before its first word in the order of terms. So
+    one that is to be placed before the k-th word either consists of words that are all more frequent than that, or is
+    as frequent, begins with one of the first k words and comes before the k-th one as text. Counting those alone is
+    exact, whatever the number of words that tie with the k-th one, and leaves a small part of the n-grams of the corpus.
     """
     column = F.col("words")
     if low > 1:
@@ -105,14 +104,27 @@ def _vocabulary(words: DataFrame, k: int, low: int, high: int) -> list[tuple[str
     single = _most_frequent(words, column, room + 1)
     if high == 1:
         return single[:k]
-    floor = single[k - 1][1] if len(single) >= k else 0
-    frequent = [t for t, n, _ in single if n >= floor]
-    # More words tie with the last one than fit a literal set: count them all.
-    pruned = column if len(frequent) > room else _only(column, frequent)
-    longer = _most_frequent(words, _ngrams(pruned, 2, high), k)
+    if len(single) < k:  # every word is among the first k, and any n-gram may be
+        return sorted(single + _most_frequent(words, _ngrams(column, 2, high), k), key=lambda t: (-t[1], t[0]))[:k]
+    last, floor, _ = single[k - 1]
+    # The n-grams' other words are as frequent too; where not too many tie, that is a set.
+    others = None if len(single) > room and single[-1][1] == floor else [t for t, n, _ in single if n >= floor]
+    grams = _ngrams(column if others is None else _only(column, others), 2, high)
+    if others is None:
+        first, above = [t for t, _, _ in single[:k]], [t for t, n, _ in single[:k] if n > floor]
+        grams = F.filter(grams, lambda g: _may_precede(g, first, above, last))
+    longer = _most_frequent(words, grams, k)
     return sorted(single[:k] + longer, key=lambda t: (-t[1], t[0]))[:k]
 
 
+def _may_precede(gram: Column, first: list[str], above: list[str], last: str) -> Column:
+    """Whether an n-gram may be placed before the word `last`; above: the words that are more frequent than it."""
+    begins = F.substring_index(gram, " ", 1).isin(first) & (gram < last)
+    if not above:
+        return begins
+    return begins | F.forall(F.split(gram, " "), lambda w: w.isin(above))
+
+
 def _counted(letters: DataFrame, terms: list[str], low: int, high: int, text_col: str) -> DataFrame:
     """Add the vector of term counts."""
     known = sorted({word for term in terms for word in term.split(" ")})

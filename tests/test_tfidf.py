@@ -52,6 +52,21 @@ def test_many_words_tied_at_the_border(spark):
     assert list(ti.fit_tfidf(df, 7, (1, 3)).terms) == by_hand(texts, 7, 3)[0]
 
 
+@pytest.mark.parametrize("k", [1, 3, 8, 20, 40])
+def test_ties_of_words_and_longer_terms(spark, k):
+    """Thousands of words tie with the last place; some n-grams are placed before it by their count, some by their text."""
+    texts = [f"w{i} w{i + 1}" for i in range(3000)] + ["aa bb cc"] * 3 + ["w0000 w0001 zz"] * 2 + ["ab w17 w18 w19"] * 2 + ["w2999 aa"]
+    df = spark.createDataFrame([(str(i), t, 0) for i, t in enumerate(texts)], "letter_id string, text_cleaned string, class int")
+    assert list(ti.fit_tfidf(df, k, (1, 3)).terms) == by_hand(texts, k, 3)[0]
+
+
+def test_few_words_and_many_terms(spark):
+    texts = ["aa bb aa bb cc", "aa cc bb", "cc cc cc cc"]
+    df = spark.createDataFrame([(str(i), t, 0) for i, t in enumerate(texts)], "letter_id string, text_cleaned string, class int")
+    for k in (2, 3, 4, 9, 50):
+        assert list(ti.fit_tfidf(df, k, (1, 3)).terms) == by_hand(texts, k, 3)[0]
+
+
 def test_mean_weights_count_the_zeros(corpus):
     terms, weights = by_hand(TEXTS, 6, 3)
     model = ti.fit_tfidf(corpus, 6, (1, 3))
