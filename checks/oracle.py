@@ -495,6 +495,16 @@ def oracle_queries() -> dict[str, str]:
     out["keyword_frequency_letters"] = keyword_sql(PREP, LET_LISTS) + FREQUENCY
     out["keyword_purity"] = keyword_sql(DPREP, DOC_LISTS) + PURITY
     out["keyword_purity_letters"] = keyword_sql(PREP, LET_LISTS) + PURITY
+    many = f"""WITH {DPREP},
+      split AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+      phrases AS (SELECT DISTINCT keyword, (length(keyword) > 8)::INTEGER AS list_class FROM (
+        SELECT unnest(w) AS keyword FROM split
+        UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split)),
+      lowered AS (SELECT class, lower(text_cleaned) AS t FROM prep),
+      hits AS (SELECT list_class, keyword, count(*) AS count, count(*) FILTER (class = 0) AS c0, count(*) FILTER (class = 1) AS c1
+        FROM lowered, phrases WHERE contains(t, keyword) GROUP BY ALL)"""
+    out["keyword_frequency_many"] = many + FREQUENCY
+    out["keyword_purity_many"] = many + PURITY
     out["coded_letter_count"] = f"WITH {PREP} SELECT count(*) FILTER (has_service_codes) AS letters_with_codes FROM prep"
     out["mean_quality"] = f"WITH {MADE} SELECT count(quality_score) AS scored, {r6('avg(quality_score)', 'mean_score')} FROM made"
     quantiles = ", ".join(

@@ -20,6 +20,7 @@ from lettermill.functions.ids import parse_service_ids
 from lettermill.operators import classifier as clf
 from lettermill.operators import features as ft
 from lettermill.operators import metrics as mt
+from lettermill.operators import phrases as ph
 from lettermill.operators import profile as pf
 from lettermill.operators import ranking as rk
 from lettermill.operators import requests as rq
@@ -490,6 +491,25 @@ def keyword_purity_letters(spark, sf):
     return rounded(pf.keyword_purity(pf.keyword_counts(prepared(spark, sf))))
 
 
+def _many_phrases(spark, sf):
+    """Every word of the benchmark passages, and every two words side by side; the longer ones stand for class 1."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    split = inp.table(spark, sf, "benchmark").select(words.alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    found = split.select(F.explode(F.concat("w", pairs)).alias("keyword")).distinct()
+    return found.withColumn("list_class", (F.char_length("keyword") > 8).cast("int"))
+
+
+@query
+def keyword_frequency_many(spark, sf):
+    return pf.keyword_frequency(ph.keyword_counts(prepared_documents(spark, sf), _many_phrases(spark, sf)))
+
+
+@query
+def keyword_purity_many(spark, sf):
+    return rounded(pf.keyword_purity(ph.keyword_counts(prepared_documents(spark, sf), _many_phrases(spark, sf))))
+
+
 @query
 def coded_letter_count(spark, sf):
     return prepared(spark, sf).agg(F.count_if("has_service_codes").alias("letters_with_codes"))
