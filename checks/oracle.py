@@ -594,6 +594,7 @@ def oracle_queries() -> dict[str, str]:
         FROM wanted w LEFT JOIN asked a ON a.request_id = w.i::VARCHAR AND a.class = w.class),
       {letters_of_requests('answered')}
       SELECT * REPLACE (round(quality_score, 6) AS quality_score) FROM made"""
+    out["generated_set_with_retries"] = out["generated_set"]
     coded = f"regexp_matches(guarantee_letter_text, '{CODE}')::INTEGER"
     out["generation_quality"] = f"""WITH {MADE} SELECT count(*) AS total_samples, {r6('avg(quality_score)', 'avg_quality_score')},
       {r6('min(quality_score)', 'min_quality_score')}, {r6('abs(0.5 - avg((class = 0)::INTEGER))', 'class_balance')},

@@ -743,6 +743,21 @@ def generated_set(spark, sf):
     return rounded(rq.generated_set(requests, _answers(spark, sf)))
 
 
+@query
+def generated_set_with_retries(spark, sf):
+    """The same letters from a ledger of broken early answers, retries, repeats and broken late ones."""
+    base = letters(spark, sf)
+    counts = sy.class_counts(base)
+    requests = rq.generation_requests(spark, sy.split_size(counts[0], counts, "truncate"))
+    answers = _answers(spark, sf).withColumn("received", F.lit(5))
+    broken = answers.withColumn("response", F.lit('{"letter_text": "cut'))
+    third = F.pmod(F.xxhash64("request_id"), F.lit(3))
+    early, late = broken.where(third < 2).withColumn("received", F.lit(1)), broken.where(third > 0).withColumn("received", F.lit(9))
+    ledger = rq.merge_responses(early, answers.where(third == 0))
+    ledger = rq.merge_responses(late, rq.merge_responses(ledger, answers), answers)
+    return rounded(rq.generated_set(requests, ledger))
+
+
 @query
 def generation_quality(spark, sf):
     return rounded(rq.generation_quality(rq.parse_responses(rq.add_requests(inp.responses(spark, sf)))))
@@ -1074,17 +1089,10 @@ def classifier_comparison(spark, sf):
 LABEL = "20240101_000000"
 
 
-# Folders of full runs, by session and tables: two queries look at one run.
-FULL_RUNS: dict[tuple[str, str], str] = {}
-
-
 def _full_run(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in FULL_RUNS:
-        path = sink.work_folder(spark)
-        experiments.run_full(*_letter_splits(spark, sf), _answers(spark, sf), path=path, run_label=LABEL, parallelism=4)
-        FULL_RUNS[key] = path
-    return FULL_RUNS[key]
+    path = sink.work_folder(spark)
+    experiments.run_full(*_letter_splits(spark, sf), _answers(spark, sf), path=path, run_label=LABEL, parallelism=4)
+    return path
 
 
 @query

@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -135,3 +136,26 @@ def test_generation_quality(spark):
     assert (row.total_samples, row.min_quality_score, row.class_balance) == (4, 0.5, 0.25)
     assert row.class_1_code_presence == pytest.approx(2 / 3) and row.class_0_no_codes == 1.0
     assert rq.generation_quality(df.where("false")).count() == 0
+
+
+def test_the_last_complete_response_of_a_request_wins(spark):
+    import itertools
+
+    whole = lambda text: json.dumps({"letter_text": text, "quality_score": 0.9, "reasoning": "r"})
+    schema = "request_id string, response string, received int"
+    parts = [
+        [("a", whole("first"), 1), ("b", "{broken", 1), ("c", None, 1)],
+        [("a", whole("second"), 2), ("b", whole("retried"), 2), ("b", whole("retried"), 2)],
+        [("a", "{late and broken", 3), ("b", None, 4), ("c", "{broken", 2), (None, whole("lost"), 1), ("d", whole("x"), 1), ("d", whole("y"), 1)],
+    ]
+    want = {("a", whole("second")), ("b", whole("retried")), ("c", "{broken"), ("d", whole("y"))}
+    frames = [spark.createDataFrame(p, schema) for p in parts]
+    for order in itertools.permutations(frames):
+        once = rq.merge_responses(*order)
+        stepwise = rq.merge_responses(rq.merge_responses(order[0], order[1]), order[2])
+        assert {(r.request_id, r.response) for r in once.collect()} == want
+        assert {tuple(r) for r in once.collect()} == {tuple(r) for r in stepwise.collect()}
+    asked = rq.add_requests(spark.createDataFrame([("a", 0), ("b", 1), ("e", 1)], "request_id string, class int"))
+    repeated = frames[0].unionByName(frames[1]).unionByName(frames[2]).drop("received")
+    made = rq.generated_set(asked, repeated).collect()
+    assert sorted(r.letter_id for r in made) == ["fallback_e", "synthetic_llm_a", "synthetic_llm_b"]
