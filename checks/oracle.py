@@ -521,6 +521,12 @@ def oracle_queries() -> dict[str, str]:
     out["tfidf_weights"] = f"WITH {analysis} SELECT letter_id, term, {r6('weight', 'weight')} FROM weights"
     out["tfidf_top_terms"] = top_terms_sql(analysis)
     out["tfidf_top_terms_by_class"] = top_terms_by_class_sql(analysis)
+    out["learnt_vectors"] = "SELECT unnest(range(16))::INTEGER AS axis, 1 AS has_its_variance, 1 AS is_axis, 1 AS falls"
+    out["learnt_vector_cosines"] = f"""WITH {grams(1, 40)}, target AS (SELECT term, weight FROM weights
+        WHERE letter_id = (SELECT min(letter_id) FROM prep)),
+      s AS (SELECT w.letter_id, sum(w.weight * t.weight) AS s, sum(w.weight * w.weight) AS l
+        FROM weights w LEFT JOIN target t USING (term) GROUP BY 1)
+      SELECT letter_id, round(coalesce(s, 0), 6) + 0.0::DOUBLE AS cosine, round(coalesce(l, 0), 6) AS length FROM prep LEFT JOIN s USING (letter_id)"""
     single = grams(1, 200)
     out["similar_letters"] = f"""WITH {single}, target AS (SELECT term, weight FROM weights
         WHERE letter_id = (SELECT min(letter_id) FROM prep)),
@@ -794,6 +800,7 @@ def oracle_queries() -> dict[str, str]:
     out["baseline_experiment"] = f"WITH {vectors} {run_rows(first)}"
     out["augmentation_experiment"] = f"WITH {real} {run_rows(template)}"
     out["generated_experiment"] = f"WITH {real} {run_rows(generated)}"
+    out["baseline_learnt"] = f"WITH {real} {run_rows(first)}"
     out["classifier_comparison"] = f"WITH {vectors} {run_rows(kinds)}"
     out["full_suite"] = f"WITH {real} {run_rows(first + template + generated + kinds)}"
     head = ["# Отчет по экспериментам классификации страховых писем", "Дата проведения: 20240101_000000", "## Сводка результатов"]

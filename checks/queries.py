@@ -28,6 +28,7 @@ from lettermill.operators import runs as rn
 from lettermill.operators import significance as sg
 from lettermill.operators import similar as sm
 from lettermill.operators import synth as sy
+from lettermill.operators import termspace as ts
 from lettermill.operators import tfidf as ti
 from lettermill.operators.catalogue import resolve_services, service_mapping
 from lettermill.operators.preprocess import FEATURE_NAMES, handcrafted_features, preprocess_letters
@@ -791,6 +792,40 @@ def document_vectors(spark, sf):
     return rounded(values.where(F.col("value") != 0))
 
 
+AXES = 16
+
+
+@query
+def learnt_vectors(spark, sf):
+    """The coordinates' sums of products over all letters: the variances, and nothing between two axes."""
+    rows = prepared_documents(spark, sf)
+    space = ts.fit_term_space(rows, ti.fit_tfidf(rows, max_features=200, ngram_range=(1, 1)), AXES)
+    learnt = ts.add_learnt_vectors(rows.select("text_cleaned"), space)
+    products = F.flatten(F.transform("learnt", lambda a: F.transform("learnt", lambda b: a * b)))
+    sums = learnt.select(products.alias("products")).select(F.posexplode("products").alias("place", "product"))
+    cells = sums.groupBy((F.col("place") / AXES).cast("int").alias("axis"), (F.col("place") % AXES).alias("other")).agg(F.sum("product").alias("s"))
+    own, first = F.element_at(F.array(*[F.lit(v) for v in space.variances]), F.col("axis") + 1), max(space.variances[0], 1e-12)
+    near = F.abs(F.col("s") - F.when(F.col("axis") == F.col("other"), own).otherwise(0.0)) < 1e-7 * first
+    exact = F.lit(space.error < 1e-7)
+    falls = F.lit(list(space.variances) == sorted(space.variances, reverse=True))
+    agreed = cells.groupBy("axis").agg(F.min(near).alias("near"))
+    return agreed.select("axis", _is(F.col("near"), "has_its_variance"), _is(exact, "is_axis"), _is(falls, "falls"))
+
+
+@query
+def learnt_vector_cosines(spark, sf):
+    """With as many axes as terms the space is only turned: the cosines are those of the TF-IDF rows."""
+    rows = prepared_documents(spark, sf)
+    space = ts.fit_term_space(rows, ti.fit_tfidf(rows, max_features=40, ngram_range=(1, 1)), 40)
+    learnt = ts.add_learnt_vectors(rows.select("letter_id", "text_cleaned"), space)
+    target = learnt.orderBy("letter_id").select("learnt").first()[0]
+    weights = F.array(*[F.lit(v) for v in target])
+    products = F.zip_with("learnt", weights, lambda a, b: a * b)
+    cosine = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+    length = F.aggregate("learnt", F.lit(0.0), lambda a, b: a + b * b)
+    return learnt.select("letter_id", (F.round(cosine, 6) + 0.0).alias("cosine"), F.round(length, 6).alias("length"))
+
+
 @query
 def scaled_features(spark, sf):
     rows = handcrafted_features(letters(spark, sf)).select("letter_id", *FEATURE_NAMES)
@@ -1068,6 +1103,14 @@ def baseline_experiment(spark, sf):
     return _released(data, experiments.baseline(data))
 
 
+@query
+def baseline_learnt(spark, sf):
+    """The baseline with vectors learnt from the training letters."""
+    train, test = _letter_splits(spark, sf)
+    data = experiments.Prepared(train, test, ts.learnt_space(train, 32, 300), DEFAULT, parallelism=4)
+    return _released(data, experiments.baseline(data))
+
+
 @query
 def augmentation_experiment(spark, sf):
     data = _experiment(spark, sf)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lettermill.domain import DEFAULT, Domain
 from lettermill.functions import text
 from lettermill.operators.preprocess import FEATURE_NAMES, handcrafted_features
+from lettermill.operators.termspace import TermSpace, add_learnt_vectors
 
 
 @dataclass(frozen=True)
@@ -24,15 +25,18 @@ class Scaler:
 
 def add_vectors(
     letters: DataFrame,
-    source: str = "hashing",
+    source: str | TermSpace = "hashing",
     size: int = 128,
     text_col: str = "guarantee_letter_text",
 ) -> DataFrame:
     """Add `embedding`, an array<double> per letter.
 
-    `source` names a column with supplied vectors, or is "hashing" for
+    `source` names a column with supplied vectors, or is a space fitted to cleaned texts, or "hashing" for
     L2-normalised hashed word counts, which need no fitting and no shuffle.
     """
+    if isinstance(source, TermSpace):
+        cleaned = letters.withColumn("_cleaned", text.clean_text(F.col(text_col)))
+        return add_learnt_vectors(cleaned, source, "_cleaned", "embedding").drop("_cleaned")
     if source in letters.columns:
         return letters.withColumn("embedding", F.col(source).cast("array<double>"))
     if source != "hashing":
@@ -48,7 +52,7 @@ def add_vectors(
 
 def raw_features(
     letters: DataFrame,
-    source: str = "hashing",
+    source: str | TermSpace = "hashing",
     size: int = 128,
     domain: Domain = DEFAULT,
     key: str = "letter_id",

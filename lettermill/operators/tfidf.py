@@ -126,9 +126,9 @@ def _may_precede(gram: Column, first: list[str], above: list[str], last: str) ->
 
 
 def _counted(letters: DataFrame, terms: list[str], low: int, high: int, text_col: str) -> DataFrame:
-    """Add the vector of term counts."""
+    """Add the vector of term counts; a null text has none."""
     known = sorted({word for term in terms for word in term.split(" ")})
-    worded = letters.withColumn("_words", _only(text.tokens(F.col(text_col)), known))
+    worded = letters.withColumn("_words", _only(text.tokens(F.coalesce(F.col(text_col), F.lit(""))), known))
     grams = worded.withColumn("_grams", _ngrams(F.col("_words"), low, high)).drop("_words")
     counter = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_counts")
     return counter.transform(grams).drop("_grams")

@@ -29,6 +29,7 @@ from lettermill.operators.features import raw_features
 from lettermill.operators.requests import generated_set, generation_requests
 from lettermill.operators.runs import best_runs, dashboard, matrix_of_run, results_table, run_summary, summary_lines
 from lettermill.operators.synth import class_counts, ratio_preserving_set, split_size
+from lettermill.operators.termspace import TermSpace, save_term_space
 from lettermill.plans.analysis import load_and_analyze
 from lettermill.sources.results import (
     write_analysis,
@@ -64,17 +65,18 @@ class Prepared:
         self,
         train_letters: DataFrame,
         test_letters: DataFrame,
-        vectors: str = "hashing",
+        vectors: str | TermSpace = "hashing",
         domain: Domain = DEFAULT,
         parallelism: int = 1,
     ):
-        self.vectors, self.domain, self.parallelism = vectors, domain, parallelism
+        self.source, self.domain, self.parallelism = vectors, domain, parallelism
+        self.vectors = "learnt" if isinstance(vectors, TermSpace) else vectors
         self.train = self.features(train_letters).persist(StorageLevel.MEMORY_AND_DISK)
         self.test = self.features(test_letters).persist(StorageLevel.MEMORY_AND_DISK)
         self.test_size = self.test.count()
 
     def features(self, letters: DataFrame) -> DataFrame:
-        return raw_features(letters, self.vectors, domain=self.domain)
+        return raw_features(letters, self.source, domain=self.domain)
 
     def release(self) -> None:
         self.train.unpersist()
@@ -94,7 +96,7 @@ def _run(
 ) -> DataFrame:
     """Train, cross-validate and test once; the result is one row of metrics and the confusion matrix.
 
-    With a path, the model and the tested letters' predictions and probabilities are saved there.
+    With a path, the model (a learnt space beside it) and the tested letters' predictions and probabilities are saved there.
     """
     spark = features.sparkSession
     model = train(features, kind, data.vectors)
@@ -103,6 +105,8 @@ def _run(
     tested = evaluate(model, data.test, cells=True).first().asDict()
     if model_path is not None:
         save_classifier(model, spark, f"{model_path}/{run_id}_model")
+        if isinstance(data.source, TermSpace):
+            save_term_space(data.source, spark, f"{model_path}/{run_id}_space")
         write_predictions(predict(model, data.test), model_path, run_id)
     train_size = features.count()
     row = {
@@ -197,7 +201,7 @@ def full_suite(
     train_letters: DataFrame,
     test_letters: DataFrame,
     responses: DataFrame | None = None,
-    vectors: str = "hashing",
+    vectors: str | TermSpace = "hashing",
     domain: Domain = DEFAULT,
     folds: bool = True,
     path: str | None = None,
@@ -247,7 +251,7 @@ def run_analysis(
 def run_baseline(
     train_letters: DataFrame,
     test_letters: DataFrame,
-    vectors: str = "hashing",
+    vectors: str | TermSpace = "hashing",
     domain: Domain = DEFAULT,
     path: str | None = None,
     run_label: str = "unlabelled",
@@ -265,7 +269,7 @@ def run_synthetic(
     train_letters: DataFrame,
     test_letters: DataFrame,
     sizes: Sequence[int] = SYNTHETIC_SIZES,
-    vectors: str = "hashing",
+    vectors: str | TermSpace = "hashing",
     domain: Domain = DEFAULT,
     folds: bool = True,
     path: str | None = None,
@@ -285,7 +289,7 @@ def run_full(
     train_letters: DataFrame,
     test_letters: DataFrame,
     responses: DataFrame | None = None,
-    vectors: str = "hashing",
+    vectors: str | TermSpace = "hashing",
     domain: Domain = DEFAULT,
     path: str | None = None,
     run_label: str = "unlabelled",
