@@ -778,6 +778,13 @@ def oracle_queries() -> dict[str, str]:
     out["train_with_folds"] = f"""WITH {vectors}, dealt AS (SELECT class, ((row_number() OVER (
         PARTITION BY class ORDER BY md5('42:' || letter_id), letter_id) - 1) % 5)::INTEGER AS fold FROM rows WHERE split = 'train')
       SELECT fold, class, count(*) AS n, 1 AS is_scored, 1 AS record_agrees FROM dealt GROUP BY ALL"""
+    out["folds_in_one_scan"] = out["train_with_folds"].replace("is_scored", "is_optimal").replace("record_agrees", "is_its_score")
+    zero = f"""(count(*) FILTER (split = '{{split}}' AND class = 0))::DOUBLE / count(*) FILTER (split = '{{split}}')"""
+    start = ", ".join(
+        f"{r6('ln(2.0::DOUBLE)', p + 'loss')}, {r6(share, p + 'accuracy')}, {r6(f'pow({share}, 2)', p + 'precision')}, {r6(share, p + 'recall')}"
+        for p, share in (("", zero.format(split="train")), ("val_", zero.format(split="test")))
+    )
+    out["held_out_curve"] = f"WITH {vectors} SELECT 0 AS iteration, {start}, 1 AS last_agrees, 1 AS falls FROM rows"
     out["predict_letters"] = f"WITH {vectors} SELECT letter_id, class, 1 AS agrees FROM rows WHERE split = 'test'"
     out["save_and_load_model"] = out["predict_letters"]
     held = "1 AS metrics_follow, 1 AS is_validated, 1 AS has_probability, 1 AS has_quality"

@@ -900,6 +900,54 @@ def train_with_folds(spark, sf):
     return dealt.select("fold", "class", "n", _is(scored, "is_scored"), F.lit(int(agrees)).alias("record_agrees"))
 
 
+def _scaled_rows(rows, scaler):
+    return ft.feature_matrix(rows, scaler).select("*", ft.vector_to_array(F.col("features")).alias("x"))
+
+
+@query
+def folds_in_one_scan(spark, sf):
+    """Rows of each fold and class; whether the fold's fit has no slope left, and its score is that of its predictions."""
+    train, _ = _splits(spark, sf)
+    dealt = rk.stratified_folds(train.where(F.col("class").isNotNull())).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = dealt.groupBy("fold", "class").agg(F.count("*").alias("n")).collect()
+    fits, scaler = clf.fit_folds(dealt, counted), ft.fit_scaler(dealt)
+    scores = {r["fold"]: r["f1_weighted"] for r in clf.cross_validate(train).collect()}
+    rows = _scaled_rows(dealt, scaler)
+    found = []
+    for fold, fit in fits.items():
+        score = vx.logistic_score(F.col("x"), fit.coefficients, fit.intercept)
+        weight = F.element_at(F.array(*[F.lit(w) for w in fit.plan.weights]), F.col("class") + 1)
+        error = weight * (score - F.col("class"))
+        inside = rows.where(F.col("fold") != fold).select(F.transform("x", lambda v: v * error).alias("g"), error.alias("e"))
+        sums = inside.agg(F.array(*[F.sum(F.get("g", F.lit(i))) for i in range(len(fit.coefficients))]).alias("g"), F.sum("e").alias("e")).first()
+        slope = max(abs(g + w) for g, w in zip([*sums["g"], sums["e"]], [*fit.coefficients, 0.0], strict=True)) / fit.plan.rows
+        outside = rows.where(F.col("fold") == fold).select(F.col("class").alias("y"), (score > 0.5).cast("int").alias("p"))
+        own = mt.comprehensive_metrics(outside).first()["f1_weighted"]
+        found.append((fold, int(slope < 1e-7), int(abs(own - scores[fold]) < 1e-9)))
+    dealt.unpersist()
+    flags = spark.createDataFrame(found, "fold int, is_optimal int, is_its_score int")
+    return spark.createDataFrame(counted, "fold int, class int, n bigint").join(flags, "fold")
+
+
+@query
+def held_out_curve(spark, sf):
+    """The first step, where all coefficients are zero; the last beside the metrics of the fit's own predictions."""
+    train, test = _splits(spark, sf)
+    curve, fit, scaler = clf.held_out_curve(train, test)
+    steps = [r.asDict() for r in curve.orderBy("iteration").collect()]
+    names = (("accuracy", "accuracy"), ("precision", "precision_weighted"), ("recall", "recall_weighted"))
+    agrees = True
+    for rows, prefix in ((train, ""), (test, "val_")):
+        score = vx.logistic_score(F.col("x"), fit.coefficients, fit.intercept)
+        judged = _scaled_rows(rows, scaler).select(F.col("class").alias("y"), (score > 0.5).cast("int").alias("p"))
+        own = mt.comprehensive_metrics(judged).first()
+        agrees &= all(abs(steps[-1][prefix + a] - own[b]) < 1e-9 for a, b in names)
+    falls = steps[-1]["loss"] < steps[0]["loss"] and fit.converged
+    shown = [prefix + name for prefix in ("", "val_") for name in ("loss", "accuracy", "precision", "recall")]
+    first = curve.where(F.col("iteration") == 0).select("iteration", *shown)
+    return rounded(first).select("*", _is(F.lit(agrees), "last_agrees"), _is(F.lit(falls), "falls"))
+
+
 def _checked_predictions(model, rows):
     found = clf.predict(model, rows).select("letter_id", "prediction", "probability_0", "probability_1")
     joined = _matrix(rows, model).join(found, "letter_id")

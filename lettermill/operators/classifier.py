@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -18,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.operators import newton
 from lettermill.operators.features import Scaler, feature_matrix, fit_scaler
 from lettermill.operators.metrics import comprehensive_metrics, confusion_cells, evaluation, metrics_from_cells
 from lettermill.operators.preprocess import FEATURE_NAMES
@@ -137,6 +139,80 @@ def evaluate(classifier: TrainedClassifier, features: DataFrame, cells: bool = F
     return evaluation(_judged(predict(classifier, features)), "probability_1", cells=cells)
 
 
+def _fold_scalers(dealt: DataFrame) -> dict[int, Scaler]:
+    """The scaler of each fold's training rows, from one aggregation: parts of the sums are put together."""
+    parts = dealt.groupBy("fold").agg(
+        F.count("*").alias("n"),
+        *[F.avg(c).alias(f"mean_{c}") for c in FEATURE_NAMES],
+        *[F.var_pop(c).alias(f"var_{c}") for c in FEATURE_NAMES],
+        *[g(c).alias(f"{n}_{c}") for c in FEATURE_NAMES for n, g in (("min", F.min), ("max", F.max))],
+    ).collect()
+    out = {}
+    for left_out in {r["fold"] for r in parts}:
+        inside = [r for r in parts if r["fold"] != left_out]
+        n = np.array([[r["n"]] for r in inside], float)
+        means = np.array([[r[f"mean_{c}"] or 0.0 for c in FEATURE_NAMES] for r in inside], float)
+        variances = np.array([[r[f"var_{c}"] or 0.0 for c in FEATURE_NAMES] for r in inside], float)
+        mean = (n * means).sum(axis=0) / n.sum()
+        variance = (n * (variances + (means - mean) ** 2)).sum(axis=0) / n.sum()
+        for i, c in enumerate(FEATURE_NAMES):
+            bounds = {float(r[f"{b}_{c}"] or 0.0) for r in inside for b in ("min", "max")}
+            if len(bounds) == 1:  # a constant, whatever rounding has left
+                mean[i], variance[i] = bounds.pop(), 0.0
+        out[left_out] = Scaler(tuple(mean.tolist()), tuple(np.sqrt(variance).tolist()))
+    return out
+
+
+def _plain(features: DataFrame) -> DataFrame:
+    """Rows (fold, class, x) with the unscaled features behind the embedding; classes other than 0 and 1 have no part."""
+    x = F.concat(F.col("embedding"), F.array(*[F.col(c).cast("double") for c in FEATURE_NAMES]))
+    return features.where(F.col("class").isin(0, 1)).select("fold", "class", x.alias("x"))
+
+
+def _plan(left_out: int, counts: dict[int, int], scaler: Scaler, width: int) -> newton.Plan:
+    """width: length of the embedding, which is not scaled. A constant feature becomes 0."""
+    counts = {c: n for c, n in counts.items() if c in (0, 1)}
+    spread = [d if d > 0 else np.inf for d in scaler.deviations]
+    shift, scale = np.append(np.zeros(width), scaler.means), np.append(np.ones(width), spread)
+    return newton.Plan(left_out, counts, shift, scale, INVERSE_PENALTY)
+
+
+def _inside(counted: Sequence, fold: int) -> dict[int, int]:
+    """Rows by class outside of a fold."""
+    counts: dict[int, int] = {}
+    for r in counted:
+        if r["fold"] != fold:
+            counts[r["class"]] = counts.get(r["class"], 0) + r["n"]
+    return counts
+
+
+def fit_folds(dealt: DataFrame, counted: Sequence, leak_free: bool = False) -> dict[int, newton.Fit]:
+    """The logistic model that leaves out each fold, all of them fitted in the same scans.
+
+    dealt: labelled rows of `raw_features` with their fold; counted: rows by fold and class.
+    """
+    folds = sorted({r["fold"] for r in counted})
+    scalers = _fold_scalers(dealt) if leak_free else dict.fromkeys(folds, fit_scaler(dealt))
+    width = dealt.select(F.size("embedding").alias("n")).first()["n"]
+    plans = [_plan(f, _inside(counted, f), scalers[f], width) for f in folds]
+    return dict(zip(folds, newton.fit_together(_plain(dealt), plans), strict=True))
+
+
+def held_out_curve(train_features: DataFrame, test_features: DataFrame) -> tuple[DataFrame, newton.Fit, Scaler]:
+    """Loss, accuracy, precision and recall of each step on the training rows, val_ on the test rows; and the fit."""
+    columns = ["class", "embedding", *FEATURE_NAMES]
+    parts = [df.where(F.col("class").isNotNull()).select(*columns, F.lit(i).alias("fold")) for i, df in enumerate((train_features, test_features))]
+    both = parts[0].unionByName(parts[1]).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = _inside(_label_counts(both, "fold"), 1)
+    if not counts:
+        raise ValueError("no labelled rows to train on")
+    inside = both.where(F.col("fold") == 0)
+    scaler, width = fit_scaler(inside), inside.select(F.size("embedding").alias("n")).first()["n"]
+    (fit,) = newton.fit_together(_plain(both), [_plan(1, counts, scaler, width)])
+    both.unpersist()
+    return newton.steps_as_rows([fit], train_features).drop("model"), fit, scaler
+
+
 def cross_validate(
     features: DataFrame,
     kind: str = "logistic",
@@ -148,29 +224,33 @@ def cross_validate(
     """Weighted F1 per stratified fold: (fold, f1_weighted).
 
     By default every fold sees features scaled over all rows; `leak_free`
-    scales by the training rows of the fold alone. The held-out predictions of
-    all folds are evaluated together in one aggregation.
+    scales by the training rows of the fold alone. Logistic models of all folds
+    are fitted and judged in the same scans, and `parallelism` is for forests;
+    their held-out predictions are evaluated together in one aggregation.
     """
     check_kind(kind)
     dealt = stratified_folds(features.where(F.col("class").isNotNull()), folds, SEED, key)
     dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     counted = _label_counts(dealt, "fold")
-    overall = None if leak_free else fit_scaler(dealt)
+    dealt_folds = sorted({r["fold"] for r in counted})
+    if len(dealt_folds) < 2:
+        raise ValueError("too few labelled rows to cross-validate")
+    spark = features.sparkSession
+    if kind == "logistic":
+        fits = fit_folds(dealt, counted, leak_free)
+        dealt.unpersist()
+        judged = [(fold, *fit.steps[-1].outside) for fold, fit in fits.items()]
+        table = spark.createDataFrame(judged, "fold int, tn bigint, fp bigint, fn bigint, tp bigint")
+        return metrics_from_cells(table).select("fold", "f1_weighted")
+    scalers = _fold_scalers(dealt) if leak_free else dict.fromkeys(dealt_folds, fit_scaler(dealt))
 
     def held_out(fold: int) -> DataFrame:
         inside, outside = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
-        counts: dict[int, int] = {}
-        for r in counted:
-            if r["fold"] != fold:
-                counts[r["class"]] = counts.get(r["class"], 0) + r["n"]
-        scaler = fit_scaler(inside) if leak_free else overall
-        model = _fit(feature_matrix(inside, scaler), kind, counts)
+        scaler = scalers[fold]
+        model = _fit(feature_matrix(inside, scaler), kind, _inside(counted, fold))
         return predict(TrainedClassifier(kind, model, scaler), outside).select("fold", "class", "prediction")
 
-    dealt_folds = sorted({r["fold"] for r in counted})
-    if len(dealt_folds) < 2:
-        raise ValueError("too few labelled rows to cross-validate")
-    parts = side_by_side([lambda f=f: held_out(f) for f in dealt_folds], parallelism, features.sparkSession)
+    parts = side_by_side([lambda f=f: held_out(f) for f in dealt_folds], parallelism, spark)
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -178,7 +258,7 @@ def cross_validate(
     cells = confusion_cells(_judged(union), by=["fold"])
     rows = cells.collect()
     dealt.unpersist()
-    counted_cells = features.sparkSession.createDataFrame(rows, cells.schema)
+    counted_cells = spark.createDataFrame(rows, cells.schema)
     return metrics_from_cells(counted_cells).select("fold", "f1_weighted")
 
 

@@ -64,10 +64,14 @@ def raw_features(
 
 
 def fit_scaler(features: DataFrame) -> Scaler:
-    """One aggregation; a single row of sixteen numbers reaches the driver."""
+    """One aggregation; a single row of sixteen numbers reaches the driver.
+
+    Parts of a deviation that are put together leave a rounding error, so a constant is known by its bounds.
+    """
+    same = lambda c: F.min(c) == F.max(c)
     row = features.agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in FEATURE_NAMES],
-        *[F.stddev_pop(c).alias(f"dev_{c}") for c in FEATURE_NAMES],
+        *[F.when(same(c), F.min(c).cast("double")).otherwise(F.avg(c)).alias(f"mean_{c}") for c in FEATURE_NAMES],
+        *[F.when(same(c), 0.0).otherwise(F.stddev_pop(c)).alias(f"dev_{c}") for c in FEATURE_NAMES],
     ).first()
     return Scaler(
         tuple(float(row[f"mean_{c}"] or 0.0) for c in FEATURE_NAMES),
