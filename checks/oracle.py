@@ -677,6 +677,32 @@ def oracle_queries() -> dict[str, str]:
         count(*) FILTER (p <> y AND q = y) AS only_second FROM prd)
       SELECT only_first, only_second,
         {r6('pow(only_first - only_second, 2)::DOUBLE / (only_first + only_second)', 'statistic')} FROM c"""
+    out["wilcoxon_exact"] = f"""WITH RECURSIVE {RANKED_PAIRS},
+      w AS (SELECT sum(n)::BIGINT AS n, sum(positive * midrank) AS w_plus, sum((n - positive) * midrank) AS w_minus FROM mid),
+      copies AS (SELECT (2 * midrank)::BIGINT AS r, unnest(range(n)) AS copy FROM mid),
+      dealt AS (SELECT r, row_number() OVER (ORDER BY r, copy) AS i FROM copies),
+      sums AS (
+        SELECT 0::BIGINT AS i, 0::BIGINT AS total, 1.0::DOUBLE AS chance
+        UNION ALL
+        SELECT s.i + 1, s.total + sign * r, sum(s.chance / 2)
+        FROM sums s JOIN dealt d ON d.i = s.i + 1 CROSS JOIN (VALUES (0), (1)) AS v(sign) GROUP BY ALL),
+      p AS (SELECT least(1.0::DOUBLE, 2 * sum(chance)) AS p FROM sums, w WHERE i = n AND total <= 2 * least(w_plus, w_minus))
+      SELECT n, {r6('w_plus', 'w_plus')}, {r6('w_minus', 'w_minus')}, {r6('least(w_plus, w_minus)', 'statistic')}, 1 AS exact,
+        {r6('p + 1e-9', 'p_value')}, (p < 0.05)::INTEGER AS significant FROM w, p"""
+    out["mcnemar_exact"] = f"""WITH {PRD.replace("SELECT (l_returnflag", "SELECT l_suppkey, (l_returnflag")},
+      {SIMPSON},
+      c AS (SELECT l_suppkey, count(*) FILTER (p = y AND q <> y) AS only_first,
+        count(*) FILTER (p <> y AND q = y) AS only_second FROM prd GROUP BY 1),
+      s AS (SELECT *, only_first + only_second AS n, least(only_first, only_second) AS k,
+        pow(only_first - only_second, 2)::DOUBLE / nullif(only_first + only_second, 0) AS statistic FROM c),
+      area AS (SELECT l_suppkey, sum(f * exp(-statistic * pow(i / 20000.0, 2) / 2)) * sqrt(any_value(statistic) / (2 * pi())) / 20000.0 / 3 AS a
+        FROM s, points GROUP BY 1),
+      places AS (SELECT l_suppkey, n, unnest(range(k + 1)) AS j FROM s),
+      tails AS (SELECT l_suppkey, sum(exp(lgamma(n + 1.0) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1.0) END - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1.0) END - n * ln(2.0::DOUBLE))) AS tail
+        FROM places GROUP BY 1),
+      p AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * tail) END AS p_value FROM s JOIN area USING (l_suppkey) JOIN tails USING (l_suppkey))
+      SELECT l_suppkey, only_first, only_second, {r6('statistic', 'statistic')}, {r6('1 - 2 * a', 'p_chi_square')},
+        {r6('p_value + 1e-9', 'p_value')}, (p_value < 0.05)::INTEGER AS significant FROM p"""
     gains = " UNION ALL ".join(
         f"""SELECT run_id, family, size, '{h}' AS metric, {r6(f'{h} - b_{h}', 'absolute_improvement')},
           {r6(f'({h} - b_{h}) / b_{h} * 100', 'relative_improvement')}, ({h} > b_{h})::INTEGER AS is_better

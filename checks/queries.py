@@ -1067,6 +1067,23 @@ def mcnemar_test(spark, sf):
     return rounded(sg.mcnemar(inp.predictions(spark, sf)))
 
 
+def _off_the_half(p: Column) -> Column:
+    """Exact p-values are sums of powers of a half and may lie midway between two roundings."""
+    return p + 1e-9
+
+
+@query
+def wilcoxon_exact(spark, sf):
+    found = sg.wilcoxon_exact(inp.pairs(spark, sf)).drop("test_type")
+    return _verdict(found.withColumns({"exact": F.col("exact").cast("int"), "p_value": _off_the_half(F.col("p_value"))}))
+
+
+@query
+def mcnemar_exact(spark, sf):
+    found = sg.mcnemar_p(inp.predictions_by_supplier(spark, sf), ["l_suppkey"])
+    return _verdict(found.withColumn("p_value", _off_the_half(F.col("p_value"))))
+
+
 @query
 def improvement_over_baseline(spark, sf):
     rows = rn.improvements(inp.runs(spark, sf))

@@ -165,6 +165,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def predictions_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_discount", "l_tax")
+    return lines.select(
+        "l_suppkey",
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        (F.col("l_discount") * 10 + F.col("l_tax") > F.lit(0.6)).cast("int").alias("p"),
+        (F.col("l_discount") > F.lit(0.05)).cast("int").alias("q"),
+    )
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of two rules per supplier."""
     truth = F.col("l_returnflag") == "R"

@@ -1,3 +1,4 @@
+import itertools
 import math
 import warnings
 
@@ -123,3 +124,52 @@ def test_unknown_test_falls_back_with_a_warning(spark):
 def test_mcnemar(spark):
     df = spark.createDataFrame([(1, 1, 0)] * 6 + [(1, 0, 1)] * 2 + [(0, 0, 0)] * 3, "y int, p int, q int")
     assert rows(sg.mcnemar(df)) == [(6, 2, 2.0)]
+
+
+def enumerated(differences):
+    """Two-sided p by all signs of the ranks."""
+    sizes = np.abs([d for d in differences if d])
+    ranks = [(sizes < s).sum() + ((sizes == s).sum() + 1) / 2 for s in sizes]
+    w = min(sum(r for r, d in zip(ranks, [d for d in differences if d]) if sign * d > 0) for sign in (1, -1))
+    sums = [sum(r for r, up in zip(ranks, signs) if up) for signs in itertools.product((0, 1), repeat=len(ranks))]
+    return min(1.0, 2 * np.mean([s <= w for s in sums]))
+
+
+@pytest.mark.parametrize(
+    "differences", [[0, 1, 1, -1, 2, 2, -3, 0], [1, 2, 3, 4, -5, 6, 7, 8], [1] * 12, [-2, -2, -2, 5, 1, 1, 1, 1, 9, -9, 4, 4], [3], [1, -1]]
+)
+def test_signed_ranks_by_all_signs(spark, differences):
+    row = sg.wilcoxon_exact(pair(spark, differences)).first()
+    assert row.exact and row.n == sum(d != 0 for d in differences)
+    assert row.p_value == pytest.approx(enumerated(differences), abs=1e-12)
+
+
+def test_signed_ranks_of_no_and_of_many_differences(spark):
+    none = sg.wilcoxon_exact(pair(spark, [0, 0])).first()
+    assert (none.n, none.p_value, none.significant) == (0, 1.0, False)
+    assert sg.wilcoxon_exact(pair(spark, [])).first().p_value == 1.0
+    many = pair(spark, [(-1) ** i * (i % 40 + 1) for i in range(300)])
+    exact, normal = sg.wilcoxon_exact(many).first(), sg.wilcoxon_exact(many, most=299).first()
+    assert exact.exact and not normal.exact and normal.p_value == pytest.approx(sg.wilcoxon(many).first().p_value)
+    assert exact.p_value == pytest.approx(normal.p_value, rel=0.05)
+
+
+def test_even_throws():
+    for n in (1, 2, 7, 30, 101, 400):
+        for k in range(n + 1):
+            want = min(1.0, 2 * sum(math.comb(n, j) for j in range(min(k, n - k) + 1)) / 2**n)
+            assert sg.even_binomial_two_sided(k, n) == pytest.approx(want, rel=1e-10)
+    # Far out and very large: the normal distribution is close.
+    n = 10**10
+    k = n // 2 - 98_000
+    assert sg.even_binomial_two_sided(k, n) == pytest.approx(math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 4) / math.sqrt(2)), rel=1e-4)
+    assert sg.even_binomial_two_sided(0, 5000) == 0.0 and sg.even_binomial_two_sided(0, 0) == 1.0
+
+
+def test_mcnemar_with_p_values(spark):
+    cases = [("a", 1, 1, 0)] * 6 + [("a", 1, 0, 1)] * 2 + [("a", 0, 0, 0)] * 3 + [("b", 1, 1, 1), ("b", None, 1, 0)]
+    df = spark.createDataFrame(cases, "g string, y int, p int, q int")
+    a, b = sg.mcnemar_p(df, ["g"]).orderBy("g").collect()
+    assert (a.only_first, a.only_second, a.statistic) == (6, 2, 2.0)
+    assert a.p_value == pytest.approx(2 * (1 + 8 + 28) / 256) and a.p_chi_square == pytest.approx(0.157299, abs=1e-6)
+    assert (b.only_first, b.only_second, b.statistic, b.p_chi_square, b.p_value) == (0, 0, None, None, 1.0)
