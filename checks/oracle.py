@@ -381,6 +381,9 @@ def oracle_queries() -> dict[str, str]:
     out["latest_run"] = f"""WITH {RUN} SELECT run_id, family, size, {r6('f1_weighted', 'f1_weighted')},
       '20240102_000000' AS experiment FROM runs"""
 
+    out["latest_committed_run"] = f"""WITH {RUN} SELECT run_id, family, size, {r6('f1_weighted', 'f1_weighted')},
+      2::BIGINT AS version, '20240101_000000' AS run_label FROM runs"""
+
     # row-wise text functions
     out["clean_text"] = f"WITH {DPREP} SELECT letter_id, text_cleaned FROM prep"
     out["code_presence"] = f"WITH {PREP} SELECT letter_id, has_service_codes::INTEGER AS has_service_codes FROM prep"

@@ -36,6 +36,7 @@ from lettermill.plans import analysis, experiments
 from lettermill.plans import inputs as inp
 from lettermill.sources import letters as src
 from lettermill.sources import results as sink
+from lettermill.sources import runstore as store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,6 +198,17 @@ def latest_run(spark, sf):
     return rounded(sink.latest_runs(spark, path, RUN_COLUMNS))
 
 
+@query
+def latest_committed_run(spark, sf):
+    """Two committed suites and a later one that was written, but not committed."""
+    path = sink.work_folder(spark)
+    runs = inp.runs(spark, sf).select("run_id", "family", "size", "f1_weighted")
+    store.commit_runs(runs.where(F.col("family") == "baseline"), path, "20240102_000000")
+    store.commit_runs(runs, path, "20240101_000000")
+    store.write_pending(runs.limit(1), path)
+    return rounded(store.committed_runs(spark, path, RUN_COLUMNS))
+
+
 # --- row-wise text functions -----------------------------------------------------
 
 

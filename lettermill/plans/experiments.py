@@ -39,6 +39,7 @@ from lettermill.sources.results import (
     write_results_table,
     write_runs,
 )
+from lettermill.sources.runstore import commit_runs
 
 # Default numbers of added letters.
 SYNTHETIC_SIZES = (50, 100, 200)
@@ -230,11 +231,12 @@ def _analysed(train: DataFrame, test: DataFrame, domain: Domain, path: str | Non
 
 
 def _reported(runs: DataFrame, path: str | None, run_label: str) -> DataFrame:
-    """The same runs; with `path`, they are saved with their table and report."""
+    """The same runs; with `path`, they are saved with their table and report, and then committed."""
     if path is not None:
         write_runs(runs, path, run_label)
         write_results_table(results_table(runs), f"{path}/table_{run_label}")
         write_report(summary_lines(runs, run_label), f"{path}/report_{run_label}")
+        commit_runs(runs, path, run_label)
     return runs
 
 
