@@ -801,7 +801,7 @@ def oracle_queries() -> dict[str, str]:
     features = [f"embedding_{i}" for i in range(64)] + list(FEATURES)
     named = f"SELECT unnest(range({len(features)}))::INTEGER AS position, unnest({array(features)}) AS feature"
     out["logistic_training"] = f"{named}, 1 AS is_optimal"
-    out["forest_training"] = f"{named}, 1 AS in_range, 1.0::DOUBLE AS total"
+    out["forest_training"] = f"{named}, 1 AS in_range, 1.0::DOUBLE AS total, 1 AS has_learnt"
     out["feature_importance"] = f"{named}, 1 AS is_coefficient"
     out["training_curve"] = "SELECT 0 AS first_iteration, 1 AS never_rises, 1 AS is_numbered, 1 AS falls"
     out["train_with_folds"] = f"""WITH {vectors}, dealt AS (SELECT class, ((row_number() OVER (
@@ -839,13 +839,16 @@ def oracle_queries() -> dict[str, str]:
     out["baseline_learnt"] = f"WITH {real} {run_rows(first)}"
     out["classifier_comparison"] = f"WITH {vectors} {run_rows(kinds)}"
     out["full_suite"] = f"WITH {real} {run_rows(first + template + generated + kinds)}"
-    head = ["# Отчет по экспериментам классификации страховых писем", "Дата проведения: 20240101_000000", "## Сводка результатов"]
-    titles = {"baseline": "**Базовая модель (только реальные данные):**", "synthetic": "**Лучший результат с синтетическими данными:**",
-              "generated": "**Лучший результат с LLM данными:**"}
+    head = ["# Отчет по экспериментам классификации страховых писем", "Дата проведения: #_#", "", "## Сводка результатов", ""]
+    told = {
+        "baseline": ["**Базовая модель (только реальные данные):**", "- F#-score: #", "- Accuracy: #", ""],
+        "synthetic": ["**Лучший результат с синтетическими данными:**", "- Размер синтетической выборки: #", "- F#-score: #", "- Улучшение: #%", ""],
+        "generated": ["**Лучший результат с LLM данными:**", "- Размер LLM выборки: #", "- F#-score: #", "- Средняя оценка качества: #", ""],
+    }
 
     def saved(settings) -> str:
         families = dict.fromkeys(family for _, family, _, _ in settings)
-        lines = head + [titles[f] for f in families if f in titles]
+        lines = head + [line for f in families for line in told.get(f, [])]
         return f"""WITH {real}, runs AS ({run_rows(settings)})
           SELECT 'run' AS what, run_id AS item, train_size AS n FROM runs
           UNION ALL SELECT 'predictions', run_id, test_size FROM runs
@@ -861,6 +864,7 @@ def oracle_queries() -> dict[str, str]:
         long_rows("quality_metrics", f"WITH {train_letters} {quality}", [], measured),
         long_rows("class_distribution", f"WITH {train_letters} SELECT class, count(*) AS count FROM prep GROUP BY 1", ["class"], ["count"]),
         long_rows("company_distribution", f"WITH {train_letters} SELECT insurance_company, count(*) AS count FROM prep GROUP BY 1", ["insurance_company"], ["count"]),
+        *[long_rows(*s) for s in analysed(train_letters, LET_LISTS)],
         long_rows("test_stats", f"WITH {LET} SELECT count(*) AS total_samples FROM letters WHERE {SPLIT} >= 7", [], ["total_samples"]),
     ])
     return out

@@ -889,9 +889,13 @@ def logistic_training(spark, sf):
 @query
 def forest_training(spark, sf):
     train, _ = _splits(spark, sf)
-    ranked = clf.feature_importance(clf.train(train, "random_forest", "vector"), spark)
+    forest = clf.train(train, "random_forest", "vector")
+    ranked = clf.feature_importance(forest, spark)
+    # A forest that has learnt nothing is no better than the commonest class.
+    commonest = train.groupBy("class").count().agg(F.max("count")).first()[0] / train.count()
+    learnt = clf.evaluate(forest, train).first()["accuracy"] > commonest + 0.05
     total = F.round(F.sum("importance").over(Window.partitionBy()), 6)
-    return ranked.select("position", "feature", _is(F.col("importance").between(0, 1), "in_range"), total.alias("total"))
+    return ranked.select("position", "feature", _is(F.col("importance").between(0, 1), "in_range"), total.alias("total"), _is(F.lit(learnt), "has_learnt"))
 
 
 @query
@@ -1120,7 +1124,11 @@ def _document_splits(spark, sf):
 def load_and_analyze(spark, sf):
     train, test = _document_splits(spark, sf)
     path = sink.work_folder(spark)
-    sections = analysis.load_and_analyze(train, test, DOC, path)[2]
+    return _saved_sections(spark, analysis.load_and_analyze(train, test, DOC, path)[2], path)
+
+
+def _saved_sections(spark, sections, path):
+    """All sections of an analysis, as they were saved."""
     saved = {name: spark.read.schema(df.schema).json(f"{path}/{name}") for name, df in sections.items()}
     return rounded(analysis.as_long(saved))
 
@@ -1221,10 +1229,10 @@ def full_suite(spark, sf):
 
 
 def _saved_mode(spark, path):
-    """What a mode has saved: its runs, its sections, and the first lines of its report."""
+    """What a mode has saved: its runs, its sections, and its report with # for every number."""
     runs = spark.read.schema(experiments.RUN_SCHEMA).json(f"{path}/experiment_{LABEL}")
     tested = sink.read_predictions(spark, f"{path}/models_{LABEL}").groupBy("run_id").agg(F.count("*").alias("n"))
-    report = spark.read.text(f"{path}/report_{LABEL}").where(F.col("value").rlike("^(#|Дата|\\*)"))
+    report = spark.read.text(f"{path}/report_{LABEL}").select(F.regexp_replace("value", "[+-]*[0-9]+([.][0-9]+)?", "#").alias("value"))
     distribution = spark.read.schema("class int, count bigint").json(f"{path}/analysis_{LABEL}/class_distribution")
     rows = [
         runs.select(F.lit("run").alias("what"), F.col("run_id").alias("item"), F.col("train_size").alias("n")),
@@ -1238,8 +1246,8 @@ def _saved_mode(spark, path):
 @query
 def analysis_mode(spark, sf):
     train, test = _letter_splits(spark, sf)
-    sections = experiments.run_analysis(train, test, path=sink.work_folder(spark))
-    return rounded(analysis.as_long({name: sections[name] for name in ("quality_metrics", "class_distribution", "company_distribution", "test_stats")}))
+    path = sink.work_folder(spark)
+    return _saved_sections(spark, experiments.run_analysis(train, test, path=path), path)
 
 
 @query
