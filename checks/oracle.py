@@ -518,6 +518,11 @@ def oracle_queries() -> dict[str, str]:
         UNION ALL SELECT class, 'num_words', num_words FROM prep)
       SELECT class, measure, {quantiles} FROM s WHERE class IS NOT NULL GROUP BY ALL"""
 
+    out["size_quantiles_merged"] = f"""WITH {DPREP}, s AS (SELECT class, 'text_length' AS measure, text_length AS size FROM prep
+        UNION ALL SELECT class, 'num_words', num_words FROM prep)
+      SELECT class, measure, count(*) AS n, min(size)::BIGINT AS minimum, max(size)::BIGINT AS maximum, 1 AS within_bound
+      FROM s WHERE class IS NOT NULL GROUP BY ALL"""
+
     # text vectors
     analysis = grams(3, 100)
     out["tfidf_vocabulary"] = f"WITH {analysis} SELECT term, term_count, document_count, {r6('idf', 'idf')} FROM idfs"

@@ -22,6 +22,7 @@ from lettermill.operators import features as ft
 from lettermill.operators import metrics as mt
 from lettermill.operators import phrases as ph
 from lettermill.operators import profile as pf
+from lettermill.operators import quantiles as qt
 from lettermill.operators import ranking as rk
 from lettermill.operators import requests as rq
 from lettermill.operators import runs as rn
@@ -539,6 +540,23 @@ def size_quantiles(spark, sf):
     return rounded(pf.size_quantiles(prepared_documents(spark, sf)))
 
 
+@query
+def size_quantiles_merged(spark, sf):
+    """Sketches saved by split, merged, and their quartiles placed among all letters."""
+    rows = prepared_documents(spark, sf).withColumn("split", inp.split_of(F.col("letter_id")))
+    path = sink.work_folder(spark)
+    qt.size_sketches(rows, "split").write.parquet(path)
+    found = qt.five_numbers(qt.merged(spark.read.parquet(path)))
+    sizes = rows.select("class", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("size")) for c in ("text_length", "num_words")])))
+    # Two rows for each class are broadcast by the planner's own size check.
+    placed = sizes.join(found, ["class", "measure"])
+    inside = F.lit(True)
+    for name in ("quartile_1", "median", "quartile_3"):
+        below, upto = F.avg((F.col("size") < F.col(name)).cast("int")), F.avg((F.col("size") <= F.col(name)).cast("int"))
+        inside &= (below - qt.rank_error() <= qt.SHARES[name]) & (qt.SHARES[name] <= upto + qt.rank_error())
+    return placed.groupBy("class", "measure", "n", "minimum", "maximum").agg(_is(inside, "within_bound"))
+
+
 @query
 def letter_patterns(spark, sf):
     rows = prepared(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
