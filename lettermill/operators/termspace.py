@@ -57,8 +57,8 @@ def _dense(rows: pd.DataFrame, terms: int) -> Iterator[np.ndarray]:
     for start in range(0, len(rows), step):
         part = rows.iloc[start : start + step]
         out = np.zeros((len(part), terms))
-        for i, (indices, values) in enumerate(zip(part["indices"], part["values"])):
-            out[i, indices] = values
+        places = np.repeat(np.arange(len(part)), [len(i) for i in part["indices"]])
+        out[places, np.concatenate(part["indices"].to_numpy())] = np.concatenate(part["values"].to_numpy())
         yield out
 
 
