@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -832,8 +833,9 @@ def learnt_vectors(spark, sf):
     space = ts.fit_term_space(rows, ti.fit_tfidf(rows, max_features=200, ngram_range=(1, 1)), AXES)
     learnt = ts.add_learnt_vectors(rows.select("text_cleaned"), space)
     products = F.flatten(F.transform("learnt", lambda a: F.transform("learnt", lambda b: a * b)))
-    sums = learnt.select(products.alias("products")).select(F.posexplode("products").alias("place", "product"))
-    cells = sums.groupBy((F.col("place") / AXES).cast("int").alias("axis"), (F.col("place") % AXES).alias("other")).agg(F.sum("product").alias("s"))
+    sums = learnt.agg(ft.vector_to_array(Summarizer.sum(ft.array_to_vector(products))).alias("sums"))
+    placed = sums.select(F.posexplode("sums").alias("place", "s"))
+    cells = placed.select((F.col("place") / AXES).cast("int").alias("axis"), (F.col("place") % AXES).alias("other"), "s")
     own, first = F.element_at(F.array(*[F.lit(v) for v in space.variances]), F.col("axis") + 1), max(space.variances[0], 1e-12)
     near = F.abs(F.col("s") - F.when(F.col("axis") == F.col("other"), own).otherwise(0.0)) < 1e-7 * first
     exact = F.lit(space.error < 1e-7)
