@@ -15,10 +15,11 @@ from lettermill.sources.results import write_analysis
 def letter_patterns(letters: DataFrame, domain: Domain = DEFAULT) -> dict[str, DataFrame]:
     """The six pattern sections of preprocessed letters.
 
-    Fitting the TF-IDF vocabulary runs jobs; all other sections are lazy.
+    Fitting the TF-IDF vocabulary, looking for keywords and adding up weights run jobs, each of which serves two sections
+    and leaves a few rows; all other sections are lazy.
     """
     model = tfidf.fit_tfidf(letters)
-    keywords = profile.keyword_counts(letters, domain)
+    keywords = _kept(profile.keyword_counts(letters, domain))
     sections = {
         "general_stats": profile.general_statistics(letters),
         "class_patterns": profile.class_profile(letters),
@@ -37,11 +38,17 @@ def letter_patterns(letters: DataFrame, domain: Domain = DEFAULT) -> dict[str, D
     }
     if model.terms:
         sections["tfidf_vocabulary"] = tfidf.vocabulary(letters, model)
-        sections["tfidf_top"] = tfidf.top_terms(letters, model)
-        sections["tfidf_top_by_class"] = tfidf.top_terms_by_class(letters, model)
+        sums = _kept(tfidf.weight_sums(letters, model))
+        sections["tfidf_top"] = tfidf.top_of_sums(sums, model)
+        sections["tfidf_top_by_class"] = tfidf.top_of_sums_by_class(sums, model)
     return sections
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """A row per phrase or class, computed once for all that read them."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def as_long(sections: dict[str, DataFrame]) -> DataFrame:
     """All sections as (section, item, measure, value) rows.
 
@@ -60,15 +67,16 @@ def as_long(sections: dict[str, DataFrame]) -> DataFrame:
 
 
 def load_and_analyze(
-    train: DataFrame, test: DataFrame, domain: Domain = DEFAULT, path: str | None = None
+    train: DataFrame, test: DataFrame, domain: Domain = DEFAULT, path: str | None = None, keep: bool = False
 ) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Preprocess both splits, analyse the training one, and save if asked.
 
     Saving evaluates some twenty sections, so the preprocessed letters are
     kept on the executors' disks meanwhile instead of being made anew for each.
+    keep: they stay there for the caller, who releases them.
     """
     train, test = preprocess_letters(train, domain), preprocess_letters(test, domain)
-    if path is not None:
+    if path is not None or keep:
         train.persist(StorageLevel.DISK_ONLY)
     sections = {
         "quality_metrics": profile.data_quality(train),
@@ -79,5 +87,6 @@ def load_and_analyze(
     }
     if path is not None:
         write_analysis(sections, path)
-        train.unpersist()
+        if not keep:
+            train.unpersist()
     return train, test, sections
