@@ -148,3 +148,16 @@ def test_streams_give_the_batch_result(spark, made, trained, tmp_path):
     assert cleaned.exceptAll(preprocess_letters(made)).count() == 0 and cleaned.count() == made.count()
     scored = drain(score_stream(clf.train(ft.raw_features(made)), stream), "scored_letters")
     assert scored.where("prediction = class").count() == made.count()
+
+
+def test_letters_that_experiments_share_are_fitted_and_stored_once(spark, made, monkeypatch):
+    fitted, fit = [], ex.train
+    monkeypatch.setattr(ex, "train", lambda rows, kind, source: fitted.append(kind) or fit(rows, kind, source))
+    data = ex.Prepared(made.where("letter_id LIKE '%1'"), made.where("letter_id LIKE '%2'"))
+    assert data.train.schema["embedding"].dataType.typeName() == "vectorudt" and data.train.storageLevel.useMemory
+    runs = ex.baseline(data, folds=False).unionByName(ex.classifier_comparison(data, ("logistic",), folds=False)).collect()
+    augmented = ex.synthetic_augmentation(data, (10,), folds=False).first()
+    assert fitted == ["logistic", "logistic"]  # the letters alone, and with ten more
+    assert [r.run_id for r in runs] == ["baseline", "logistic"] and runs[0].f1_weighted == runs[1].f1_weighted
+    assert runs[0].train_size == data.train.count() == augmented.train_size - 10
+    data.release()

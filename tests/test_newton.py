@@ -97,3 +97,14 @@ def test_curve(spark, dealt):
     assert rows[-1].val_accuracy > rows[0].val_accuracy and rows[-1].val_loss < rows[0].val_loss
     none, _, _ = clf.held_out_curve(train, test.where("false"))
     assert none.where("val_loss IS NULL AND val_accuracy IS NULL AND accuracy IS NOT NULL").count() == none.count()
+
+
+def test_folds_near_a_model_take_fewer_scans_to_the_same_weights(spark, dealt, monkeypatch):
+    cold = clf.fit_folds(dealt, counts(dealt))
+    seen, scan = [], newton._scan
+    monkeypatch.setattr(newton, "_scan", lambda m, fits: seen.append(len(fits)) or scan(m, fits))
+    warm = clf.fit_folds(dealt, counts(dealt), near=clf.train(dealt))
+    assert len(seen) < max(len(f.steps) for f in cold.values()) and all(f.converged for f in warm.values())
+    for fold, fit in cold.items():
+        assert np.allclose(fit.weights, warm[fold].weights, atol=1e-7)
+        assert fit.steps[-1].outside == warm[fold].steps[-1].outside
