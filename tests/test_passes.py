@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import text as tx
 from lettermill.operators import profile as pf
+from lettermill.operators import tfidf as ti
 from lettermill.operators.preprocess import preprocess_letters
 from lettermill.plans import inputs as inp
 
@@ -50,3 +51,21 @@ def test_variants_are_looked_for_in_two_ranges(spark):
     points = spark.range(1, 0x10000).where(~F.col("id").between(0xD800, 0xDFFF)).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'utf-32')").alias("c"))
     found = points.where(F.col("c").rlike(tx.ANY_VARIANT)).collect()
     assert sorted(r["c"] for r in found) == sorted(tx.VARIANTS)
+
+
+def test_ngrams_are_made_of_words_looked_up_once(spark):
+    rows = spark.createDataFrame([("a b c a b x b",), ("",), (None,), ("b a",)], "t string").repartition(2)
+    words = rows.select(F.split("t", " ").alias("words"))
+    grams = ti._known_ngrams(words, "words", ["a b c", "b"], 1, 3, "grams")
+    assert optimized(grams).count("transform(") == 1
+    found = sorted(sorted(r["grams"] or []) for r in grams.collect())
+    first = ["a", "a", "a b", "a b", "a b c", "b", "b", "b", "b c", "b c a", "c", "c a", "c a b"]
+    assert found == [[], [], first, ["a", "b", "b a"]]
+
+
+def test_letters_of_a_term_are_counted_once_each(spark):
+    rows = spark.createDataFrame([("aa bb aa bb",), ("bb aa cc",), ("bb cc bb cc",)], "text_cleaned string").repartition(2)
+    model = ti.fit_tfidf(rows, max_features=5, ngram_range=(1, 2))
+    assert list(zip(model.terms, model.term_counts, model.document_counts)) == [
+        ("bb", 5, 3), ("aa", 3, 2), ("cc", 3, 2), ("aa bb", 2, 1), ("bb aa", 2, 2)
+    ]
