@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from checks import queries as q
 from lettermill.functions import text as tx
 from lettermill.operators import profile as pf
 from lettermill.operators import tfidf as ti
@@ -69,3 +70,18 @@ def test_letters_of_a_term_are_counted_once_each(spark):
     assert list(zip(model.terms, model.term_counts, model.document_counts)) == [
         ("bb", 5, 3), ("aa", 3, 2), ("cc", 3, 2), ("aa bb", 2, 1), ("bb aa", 2, 2)
     ]
+
+
+def test_sections_that_are_written_read_the_letters_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    rows = [(str(i), f"СОГАЗ  письмо {i}", i % 2) for i in range(20)]
+    letters = spark.createDataFrame(rows, "letter_id string, guarantee_letter_text string, class int")
+    monkeypatch.setattr(q, "prepared", lambda *_: preprocess_letters(letters.mapInPandas(counted, letters.schema)))
+    assert q.write_analysis_json(spark, "").count() > 0
+    assert read.value == 20
