@@ -34,6 +34,8 @@ TREES = 100
 DEPTH = 10
 SEED = 42
 FOLDS = 5
+#: Rows that one task of a forest's fit holds at most, unless there are fewer of these than cores.
+FOREST_TASK_ROWS = 200_000
 
 T = TypeVar("T")
 
@@ -92,16 +94,25 @@ def _fit(matrix: DataFrame, kind: str, counts: dict[int, int]):
             weightCol="weight",
         )
     else:
+        # The rows keep the nodes they have reached; recomputing them from the parent needs no checkpoint.
         estimator = RandomForestClassifier(
             numTrees=TREES,
             maxDepth=DEPTH,
             featureSubsetStrategy="sqrt",
             seed=SEED,
             weightCol="weight",
+            cacheNodeIds=True,
+            checkpointInterval=-1,
         )
+        weighted = weighted.coalesce(_forest_tasks(matrix.sparkSession, total))
     return estimator.fit(weighted)
 
 
+def _forest_tasks(spark: SparkSession, rows: int) -> int:
+    """At each level a task makes and shuffles the counts of all open nodes, so there are no more tasks than are of use."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // FOREST_TASK_ROWS))
+
+
 def train(
     features: DataFrame, kind: str = "logistic", vector_source: str = "hashing"
 ) -> TrainedClassifier:

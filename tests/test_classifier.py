@@ -44,6 +44,15 @@ def test_forest(features):
     assert len(importance) == 16 + 8 and importance.importance.sum() == pytest.approx(1)
 
 
+def test_forest_has_as_many_tasks_as_cores_whatever_the_partitions(spark, features, monkeypatch):
+    tasks, fit = [], clf.RandomForestClassifier.fit
+    monkeypatch.setattr(clf.RandomForestClassifier, "fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    forest = clf.train(features.repartition(40), "random_forest")
+    assert tasks == [spark.sparkContext.defaultParallelism]
+    assert forest.model.getNumTrees == clf.TREES and clf.evaluate(forest, features).first().accuracy == 1.0
+    assert clf._forest_tasks(spark, 100 * clf.FOREST_TASK_ROWS + 1) == 101  # many rows are more tasks
+
+
 @pytest.mark.parametrize("leak_free", [False, True])
 def test_folds(features, leak_free):
     scores = clf.cross_validate(features, leak_free=leak_free, parallelism=3)
