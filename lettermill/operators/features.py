@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import md5
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -43,15 +47,29 @@ def add_vectors(
         return letters.withColumn("embedding", F.col(source).cast("array<double>"))
     if source != "hashing":
         raise ValueError(f"no vector column {source!r}")
-    words = text.tokens(text.model_text(F.col(text_col)))
-    bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % size).cast("string")
-    worded = letters.withColumn("_words", F.transform(words, bucket))
+    # Outer whitespace is in no token, so the text is not trimmed.
+    words = text.tokens(F.coalesce(F.col(text_col), F.lit("")))
+    worded = letters.withColumn("_words", _buckets(size)(words))
     buckets = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_words", outputCol="_hashed")
     hashed = buckets.transform(worded)
     normal = Normalizer(p=2.0, inputCol="_hashed", outputCol="_normal").transform(hashed)
     return normal.withColumn("embedding", F.col("_normal") if packed else vector_to_array("_normal")).drop("_words", "_hashed", "_normal")
 
 
+def _buckets(size: int) -> Callable[[Column], Column]:
+    """The buckets of arrays of words: the first 32 bits of a word's md5 modulo size; each word of a batch is hashed once."""
+
+    @F.arrow_udf("array<string>")
+    def buckets(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()
+        hashed = [int.from_bytes(md5(w, usedforsecurity=False).digest()[:4], "big") % size for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(words), 0)).cast(pa.int32())
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(offsets, pa.array([str(h) for h in hashed], pa.string()).take(coded.indices))
+
+    return buckets
+
+
 def embedding_array(features: DataFrame) -> Column:
     """The embedding as an array, whether it is packed or not."""
     packed = isinstance(features.schema["embedding"].dataType, VectorUDT)

@@ -1,11 +1,14 @@
 """How often texts are read and shuffled, by the plans; with the results that must stay the same."""
 
 import re
+from collections import Counter
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
 from checks import queries as q
 from lettermill.functions import text as tx
+from lettermill.operators import features as ft
 from lettermill.operators import profile as pf
 from lettermill.operators import tfidf as ti
 from lettermill.operators.preprocess import preprocess_letters
@@ -85,3 +88,31 @@ def test_sections_that_are_written_read_the_letters_once(spark, monkeypatch):
     monkeypatch.setattr(q, "prepared", lambda *_: preprocess_letters(letters.mapInPandas(counted, letters.schema)))
     assert q.write_analysis_json(spark, "").count() > 0
     assert read.value == 20
+
+
+def test_words_of_a_document_are_found_and_hashed_once(spark, tmp_path):
+    texts = ["Foo bar foo", "\u00a0 été_9 \n", "", None, " - ", "x yy", "foo"]
+    docs = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, inp.SCHEMAS["documents"]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], inp.SCHEMAS["labels"]).write.parquet(f"{tmp_path}/labels.parquet")
+    found = q.document_vectors(spark, str(tmp_path))
+    plan = optimized(found)
+    assert plan.count("regexp_extract_all") == 1 and "md5" not in plan
+    bucket = lambda w: int(md5(w.encode()).hexdigest()[:8], 16) % 128
+    expected = []
+    for i, words in enumerate((["foo", "bar", "foo"], ["été_9"], [], [], [], ["yy"], ["foo"])):
+        counts = Counter(bucket(w) for w in words)
+        expected += [(str(i), 128, b, round(n / sum(m * m for m in counts.values()) ** 0.5, 6)) for b, n in counts.items()]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
+def test_buckets_of_small_batches_and_of_no_rows(spark):
+    rows = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 4))) for i in range(50)], "i int, t string").coalesce(1)
+    hashed = lambda df: df.select("i", ft._buckets(10)(tx.tokens(F.col("t"))).alias("b"))
+    assert hashed(rows.where("i < 0")).collect() == []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = hashed(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.i: r.b for r in found} == {i: [str(int(md5(f"w{j}".encode()).hexdigest()[:8], 16) % 10) for j in range(i % 4)] for i in range(50)}
