@@ -17,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, cloudpickle
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions import text
+from lettermill.operators.storage import stored
 from lettermill.operators.tfidf import TfidfModel, add_weights, fit_tfidf
 
 # The functions run in tasks travel with the query: executors need no copy of this package.
@@ -109,7 +110,7 @@ def fit_term_space(
     """
     terms = len(model.terms)
     size = min(size, terms)
-    rows = _sparse(letters, model, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, _ = stored(_sparse(letters, model, text_col))
     basis, images = np.zeros((terms, 0)), np.zeros((terms, 0))
     start = np.random.default_rng(seed).standard_normal((terms, min(terms, size + SPARE_COLUMNS)))
     block = _orthonormal(start, basis)
