@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.domain import DEFAULT, Domain
 from lettermill.operators import profile, tfidf
 from lettermill.operators.preprocess import preprocess_letters
+from lettermill.operators.storage import stored
 from lettermill.sources.results import write_analysis
 
 
@@ -77,7 +77,7 @@ def load_and_analyze(
     """
     train, test = preprocess_letters(train, domain), preprocess_letters(test, domain)
     if path is not None or keep:
-        train.persist(StorageLevel.DISK_ONLY)
+        train, _ = stored(train)
     sections = {
         "quality_metrics": profile.data_quality(train),
         "class_distribution": profile.value_counts(train, "class"),
