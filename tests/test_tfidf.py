@@ -172,3 +172,18 @@ def test_batch_sends_nothing_through_the_driver(corpus):
     model = ti.fit_tfidf(corpus, 10, (1, 1))
     plan = ti.similar_letters_batch(corpus, corpus, model)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("cells", [1, 70, 1 << 20])
+def test_a_task_holds_a_bounded_number_of_scores(spark, monkeypatch, cells):
+    letters, targets = _random_letters(spark, 300, 12, 1), _random_letters(spark, 30, 12, 2)
+    model = ti.fit_tfidf(letters, 60, (1, 1))
+    want = sorted(map(tuple, ti.similar_letters_batch(letters, targets, model, 5).collect()))
+    parts = [ti.vectors_of(df, model).selectExpr("0 AS a", "0 AS b", f"{side} AS side", "letter_id", "vector").toPandas() for side, df in enumerate((targets, letters))]
+    held, own = [], ti._best
+    monkeypatch.setattr(ti, "_best", lambda ids, v, t, *rest: held.append(len(ids) * len(t)) or own(ids, v, t, *rest))
+    monkeypatch.setattr(ti, "SCORE_CELLS", cells)
+    (got,) = ti._best_of_task(5, "letter_id")(iter(parts))
+    assert max(held) <= max(cells, len(parts[0]))
+    place = got.groupby("target_id").cumcount() + 1
+    assert sorted(zip(got["target_id"], got["letter_id"], got["similarity"], place)) == want
