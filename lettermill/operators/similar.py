@@ -26,6 +26,9 @@ from lettermill.operators import tfidf
 # The functions run in tasks travel with the query: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Buckets whose numbers of blocks are sent to every task.
+MOST_SENT = 1 << 16
+
 
 @dataclass(frozen=True)
 class Projections:
@@ -88,7 +91,10 @@ def similar_letters_approximate(
     sizes = sizes.join(visits.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_targets")), bucket)
     blocks = lambda count, size: F.ceil(F.col(count) / size).cast("int")
     sizes = sizes.select(*bucket, blocks("n_letters", tfidf.LETTER_ROWS).alias("n_a"), blocks("n_targets", block_size).alias("n_b"))
-    # A bucket's blocks are one row: the rows of a hot bucket can be split.
+    # A bucket's blocks are one row. While there are few buckets they are sent to all tasks, and vectors are shuffled once;
+    # else the rows of a hot bucket can be split.
+    if projections.tables << projections.bits <= MOST_SENT:
+        sizes = F.broadcast(sizes)
     own = lambda count: F.pmod(F.xxhash64(key), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     lefts = visits.join(sizes, bucket).select("table", "code", every("n_a").alias("i"), own("n_b").alias("b"), F.lit(0).alias("side"), key, "vector")

@@ -187,3 +187,18 @@ def test_a_task_holds_a_bounded_number_of_scores(spark, monkeypatch, cells):
     assert max(held) <= max(cells, len(parts[0]))
     place = got.groupby("target_id").cumcount() + 1
     assert sorted(zip(got["target_id"], got["letter_id"], got["similarity"], place)) == want
+
+
+@pytest.mark.parametrize("most, sent", [(sm.MOST_SENT, 2), (5119, 0)])
+def test_approximate_search_shuffles_vectors_once(spark, monkeypatch, most, sent):
+    monkeypatch.setattr(sm, "MOST_SENT", most)
+    letters, targets = _random_letters(spark, 60, 12, 1), _random_letters(spark, 10, 12, 2)
+    model = ti.fit_tfidf(letters, 60, (1, 1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sm.similar_letters_approximate(letters, targets, model)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == sent
+        assert {r.target_id for r in found.collect()} <= {r.letter_id for r in targets.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
