@@ -45,15 +45,15 @@ class Projections:
         return np.random.default_rng(self.seed).normal(size=(dimensions, self.tables * self.bits))
 
 
-def _codes(projections: Projections, dimensions: int):
+def _codes(projections: Projections, idf: list[float]):
     """A mapInPandas function that adds the codes of each table."""
-    directions = projections.directions(dimensions)
+    directions, factors = projections.directions(len(idf)), np.array(idf)
     shape, values = (-1, projections.tables, projections.bits), 1 << np.arange(projections.bits)
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                signs = np.vstack(frame["vector"].to_numpy()) @ directions > 0
+                signs = tfidf.weighted(np.vstack(frame["counts"].to_numpy()), factors) @ directions > 0
                 yield frame.assign(codes=list((signs.reshape(shape) * values).sum(axis=2)))
 
     return code
@@ -78,14 +78,14 @@ def similar_letters_approximate(
         return letters.sparkSession.createDataFrame([], f"target_id {kind}, {key} {kind}, similarity double, position int")
 
     def filed(df: DataFrame) -> DataFrame:
-        vectors = tfidf.vectors_of(df, model, key).where(F.exists("vector", lambda x: x != 0))
-        coded = vectors.mapInPandas(_codes(projections, len(model.terms)), f"{key} {kind}, vector array<double>, codes array<bigint>")
-        return coded.select(key, "vector", F.posexplode("codes").alias("table", "code"))
+        counts = tfidf.counts_of(df, model, key).where(F.exists("counts", lambda x: x != 0))
+        coded = counts.mapInPandas(_codes(projections, model.idf), f"{key} {kind}, counts array<int>, codes array<bigint>")
+        return coded.select(key, "counts", F.posexplode("codes").alias("table", "code"))
 
     corpus, wanted = filed(letters), filed(targets)
     # The own code, and each that differs in one bit.
     near = F.array(*[F.col("code").bitwiseXOR(F.lit(flip)) for flip in (0, *(1 << b for b in range(projections.bits)))])
-    visits = wanted.select(key, "vector", "table", F.explode(near).alias("code"))
+    visits = wanted.select(key, "counts", "table", F.explode(near).alias("code"))
     bucket = ["table", "code"]
     sizes = corpus.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_letters"))
     sizes = sizes.join(visits.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_targets")), bucket)
@@ -97,10 +97,10 @@ def similar_letters_approximate(
         sizes = F.broadcast(sizes)
     own = lambda count: F.pmod(F.xxhash64(key), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    lefts = visits.join(sizes, bucket).select("table", "code", every("n_a").alias("i"), own("n_b").alias("b"), F.lit(0).alias("side"), key, "vector")
-    rights = corpus.join(sizes, bucket).select("table", "code", own("n_a").alias("i"), every("n_b").alias("b"), F.lit(1).alias("side"), key, "vector")
-    rows = lefts.unionByName(rights).select(F.xxhash64("table", "code", "i").alias("a"), "b", "side", key, "vector")
-    return tfidf.best_of_tiles(rows, n, key)
+    lefts = visits.join(sizes, bucket).select("table", "code", every("n_a").alias("i"), own("n_b").alias("b"), F.lit(0).alias("side"), key, "counts")
+    rights = corpus.join(sizes, bucket).select("table", "code", own("n_a").alias("i"), every("n_b").alias("b"), F.lit(1).alias("side"), key, "counts")
+    rows = lefts.unionByName(rights).select(F.xxhash64("table", "code", "i").alias("a"), "b", "side", key, "counts")
+    return tfidf.best_of_tiles(rows, model, n, key)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lettermill.operators import similar as sm
@@ -179,11 +180,11 @@ def test_a_task_holds_a_bounded_number_of_scores(spark, monkeypatch, cells):
     letters, targets = _random_letters(spark, 300, 12, 1), _random_letters(spark, 30, 12, 2)
     model = ti.fit_tfidf(letters, 60, (1, 1))
     want = sorted(map(tuple, ti.similar_letters_batch(letters, targets, model, 5).collect()))
-    parts = [ti.vectors_of(df, model).selectExpr("0 AS a", "0 AS b", f"{side} AS side", "letter_id", "vector").toPandas() for side, df in enumerate((targets, letters))]
+    parts = [ti.counts_of(df, model).selectExpr("0 AS a", "0 AS b", f"{side} AS side", "letter_id", "counts").toPandas() for side, df in enumerate((targets, letters))]
     held, own = [], ti._best
     monkeypatch.setattr(ti, "_best", lambda ids, v, t, *rest: held.append(len(ids) * len(t)) or own(ids, v, t, *rest))
     monkeypatch.setattr(ti, "SCORE_CELLS", cells)
-    (got,) = ti._best_of_task(5, "letter_id")(iter(parts))
+    (got,) = ti._best_of_task(5, "letter_id", model.idf)(iter(parts))
     assert max(held) <= max(cells, len(parts[0]))
     place = got.groupby("target_id").cumcount() + 1
     assert sorted(zip(got["target_id"], got["letter_id"], got["similarity"], place)) == want
@@ -202,3 +203,13 @@ def test_approximate_search_shuffles_vectors_once(spark, monkeypatch, most, sent
         assert {r.target_id for r in found.collect()} <= {r.letter_id for r in targets.collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_weights_are_made_from_the_counts_that_are_shuffled(spark):
+    letters = _random_letters(spark, 200, 12, 1)
+    model = ti.fit_tfidf(letters, 60, (1, 1))
+    joined = ti.counts_of(letters, model).join(ti.vectors_of(letters, model), "letter_id").collect()
+    made = ti.weighted(np.array([r.counts for r in joined]), np.array(model.idf))
+    assert len(joined) == 202 and np.abs(made - np.array([r.vector for r in joined])).max() < 1e-15 and not made.sum(axis=1).all()
+    plan = ti.similar_letters_batch(letters, letters, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "counts#" in plan and "vector#" not in plan
